@@ -63,3 +63,17 @@ def smallable(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id is not in gone(doc_id); a null id stays."""
     return docs.join(smallable(gone.select("doc_id").distinct()), "doc_id", "left_anti")
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton's method; the last is the intercept."""
+    x = np.c_[x, np.ones(len(x))]
+    keep = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + keep, x.T @ (p - y) + keep @ w)
+        w -= np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w

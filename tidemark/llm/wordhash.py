@@ -55,27 +55,44 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, offsets - offsets[0]
 
 
+class Words:
+    """The words of every text, in order: hashes, the rows they stand in, and where they start and end in the bytes of all."""
+
+    def __init__(self, texts: pa.Array, kind: str):
+        self.data, offsets = flat(texts)
+        data = self.data
+        if not len(data):
+            self.starts = self.ends = self.rows = np.zeros(0, np.int64)
+            self.hashes = np.zeros(0, np.uint64)
+            return
+        inside = _KINDS[kind][data]
+        before = np.empty_like(inside)
+        before[0], before[1:] = False, inside[:-1]
+        after = np.empty_like(inside)
+        after[-1], after[:-1] = False, inside[1:]
+        edges = offsets[1:-1]
+        before[edges[edges < len(data)]] = False
+        after[edges[edges > 0] - 1] = False
+        self.starts, self.ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+        power, self._inverse = _power_tables(len(data) + 1)
+        self._sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_VALUE[data] * power[: len(data)], out=self._sums[1:])
+        self.hashes = self._of(self.starts, self.ends)
+        self.rows = np.searchsorted(offsets, self.starts, side="right") - 1
+
+    def _of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self._sums[ends] - self._sums[starts]) * self._inverse[starts] + (ends - starts).astype(np.uint64))
+
+    def prefixes(self, which: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of the first ``length`` bytes of some words (0: whole words); shorter words count whole."""
+        starts, ends = self.starts[which], self.ends[which]
+        return self._of(starts, np.minimum(starts + length, ends) if length else ends)
+
+
 def hashed_words(texts: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, start byte, end byte) of every word of every text, in order."""
-    data, offsets = flat(texts)
-    if not len(data):
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none
-    inside = _KINDS[kind][data]
-    before = np.empty_like(inside)
-    before[0], before[1:] = False, inside[:-1]
-    after = np.empty_like(inside)
-    after[-1], after[:-1] = False, inside[1:]
-    edges = offsets[1:-1]
-    before[edges[edges < len(data)]] = False
-    after[edges[edges > 0] - 1] = False
-    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * power[: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    rows = np.searchsorted(offsets, starts, side="right") - 1
-    return hashes, rows, starts, ends
+    words = Words(texts, kind)
+    return words.hashes, words.rows, words.starts, words.ends
 
 
 def chained(words: np.ndarray, n: int) -> np.ndarray:
