@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import toxicity
+from tidemark.llm import quality, toxicity
 
-_MODULES = (toxicity,)
+_MODULES = (quality, toxicity)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
