@@ -55,6 +55,18 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, offsets - offsets[0]
 
 
+class Spans:
+    """Hashes of any spans of some bytes; A-Z count as a-z."""
+
+    def __init__(self, data: np.ndarray):
+        power, self._inverse = _power_tables(len(data) + 1)
+        self._sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_VALUE[data] * power[: len(data)], out=self._sums[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self._sums[ends] - self._sums[starts]) * self._inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 class Words:
     """The words of every text, in order: hashes, the rows they stand in, and where they start and end in the bytes of all."""
 
@@ -74,15 +86,10 @@ class Words:
         before[edges[edges < len(data)]] = False
         after[edges[edges > 0] - 1] = False
         self.starts, self.ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-        power, self._inverse = _power_tables(len(data) + 1)
-        self._sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_VALUE[data] * power[: len(data)], out=self._sums[1:])
+        self._of = Spans(data).hashes
         self.hashes = self._of(self.starts, self.ends)
         self.rows = np.searchsorted(offsets, self.starts, side="right") - 1
 
-    def _of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self._sums[ends] - self._sums[starts]) * self._inverse[starts] + (ends - starts).astype(np.uint64))
-
     def prefixes(self, which: np.ndarray, length: int) -> np.ndarray:
         """Hashes of the first ``length`` bytes of some words (0: whole words); shorter words count whole."""
         starts, ends = self.starts[which], self.ends[which]
