@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import lines, quality, toxicity
+from tidemark.llm import lines, quality, sharding, toxicity
 
-_MODULES = (quality, lines, toxicity)
+_MODULES = (quality, sharding, lines, toxicity)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
