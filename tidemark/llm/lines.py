@@ -20,7 +20,6 @@ other; 64-bit hashes stand for keys.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 

@@ -28,6 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _VALUE = mix(_LOWER.astype(np.uint64) + np.uint64(0x1234567))
+_EXACT = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x1234567))
 _KINDS = {"space": np.ones(256, bool), "alnum": np.zeros(256, bool)}
 _KINDS["space"][[9, 10, 11, 12, 13, 32]] = False
 _KINDS["alnum"][[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -56,12 +57,12 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Spans:
-    """Hashes of any spans of some bytes; A-Z count as a-z."""
+    """Hashes of any spans of some bytes; with ``fold``, A-Z count as a-z."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, fold: bool = True):
         power, self._inverse = _power_tables(len(data) + 1)
         self._sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_VALUE[data] * power[: len(data)], out=self._sums[1:])
+        np.cumsum((_VALUE if fold else _EXACT)[data] * power[: len(data)], out=self._sums[1:])
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self._sums[ends] - self._sums[starts]) * self._inverse[starts] + (ends - starts).astype(np.uint64))
