@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import lines, neardup, pieces, quality, sharding, toxicity
+from tidemark.llm import decontam, lines, neardup, pieces, quality, sharding, toxicity
 
-_MODULES = (quality, pieces, sharding, lines, neardup, toxicity)
+_MODULES = (quality, pieces, decontam, sharding, lines, neardup, toxicity)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
