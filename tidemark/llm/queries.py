@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontam, lines, neardup, pieces, quality, sharding, topk, toxicity
+from tidemark.llm import decontam, licenses, lines, neardup, pieces, quality, sharding, topk, toxicity
 
-_MODULES = (quality, pieces, decontam, sharding, lines, neardup, toxicity, topk)
+_MODULES = (quality, licenses, pieces, decontam, sharding, lines, neardup, toxicity, topk)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
