@@ -29,6 +29,7 @@ from tidemark.llm.base import read
 
 #: Words: what stands between ASCII characters other than letters and digits.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Statements by which licenses are named or granted.
@@ -56,7 +57,7 @@ def lowered(text: str) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(text, GAP), "")
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -106,8 +107,7 @@ def _places(words: Column, phrase: str) -> Column:
 def scan(docs: DataFrame, templates: tuple = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    likely = "|".join(phrase.replace(" ", gap) for phrase in PHRASES)
+    likely = "|".join(phrase.replace(" ", GAP) for phrase in PHRASES)
     low = docs.select("doc_id", "text_hash", lowered("text").alias("low")).select("doc_id", "text_hash", _words(F.col("low")).alias("words"), F.col("low").rlike(likely).alias("likely"))
     none = F.array().cast("array<int>")
     found = {label: F.when(F.col("likely"), _places(F.col("words"), phrase)).otherwise(none) for phrase, label in PHRASES.items()}
