@@ -22,6 +22,7 @@ id of its own in the hash.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +38,8 @@ from tidemark.llm.wordhash import Spans, flat, mix
 MODEL, DROPOUT, SEED = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 17
 #: The marker that stands for a space in pieces, and a rank behind all others.
 MARKER, NEVER = "▁", np.int32(1 << 30)
+#: Bytes of text that go through the merges together.
+SLICE = 256 << 10
 _SLOT_BITS = 21
 
 
@@ -189,7 +192,7 @@ class Pieces:
         width = 1
         while (size > 0).any():
             now = np.flatnonzero((size > 0) & (size <= width))
-            for some in np.array_split(now, max(1, len(now) * width >> 22)):
+            for some in np.array_split(now, max(1, len(now) * width >> 18)):
                 if not len(some):
                     continue
                 places = start[one[some]][:, None] + np.arange(width)
@@ -241,20 +244,26 @@ def _vocabulary(spark: SparkSession, model: str):
         return spark.sparkContext.broadcast(Pieces.load(f.read()))
 
 
-def encode(docs: DataFrame, model: str = MODEL, rate: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """docs(doc_id, text) to doc_id and tokens, a list of piece ids."""
+def encode(docs: DataFrame, model: str = MODEL, rate: float = DROPOUT, seed: int = SEED, restored: bool = False) -> DataFrame:
+    """docs(doc_id, text) to doc_id and tokens, a list of piece ids.
+
+    With ``restored``, also n_bytes and text_sha256 of the text that the tokens decode to.
+    """
     held = _vocabulary(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = mix(batch.column("turn").to_numpy().view(np.uint64) ^ mix(np.array([seed], np.uint64)))
-            for a, b in byte_slices(batch.column("text")):
+            for a, b in byte_slices(batch.column("text"), SLICE):
                 ids, ends = held.value.encode(batch.column("text").slice(a, b - a), keys[a:b], rate)
-                tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), tokens], ["doc_id", "tokens"])
+                columns = [batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))]
+                if restored:
+                    texts = held.value.decode(ids, ends).to_pylist()
+                    columns += [pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tokens", "n_bytes", "text_sha256"][: len(columns)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id").alias("turn"))
-    return rows.mapInArrow(run, "doc_id long, tokens array<int>")
+    return rows.mapInArrow(run, "doc_id long, tokens array<int>" + ", n_bytes long, text_sha256 string" * restored)
 
 
 def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:
@@ -273,22 +282,8 @@ def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its number of tokens, a hash of them, and the decoded text's size and SHA-256."""
-    tokens = encode(read(spark, sf_dir, "documents"))
-    held = _vocabulary(spark, MODEL)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        for batch in batches:
-            lists = batch.column("tokens")
-            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            ids, ends = lists.flatten().to_numpy(), np.r_[0, np.cumsum(sizes)]
-            texts = held.value.decode(ids, ends).to_pylist()
-            marks = [hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            columns = [pa.array(sizes.astype(np.int64)), pa.array(marks), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_tokens", "tokens_sha256", "n_bytes", "text_sha256"])
-
-    return tokens.mapInArrow(run, "doc_id long, n_tokens long, tokens_sha256 string, n_bytes long, text_sha256 string")
+    tokens = encode(read(spark, sf_dir, "documents"), restored=True)
+    return tokens.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.xxhash64("tokens").alias("tokens_hash"), "n_bytes", "text_sha256")
 
 
 QUERIES = {"op3_pieces": op3_pieces}
