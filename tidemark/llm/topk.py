@@ -32,22 +32,36 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import read, written
+from tidemark.llm.base import byte_slices, read, written
 from tidemark.llm.wordhash import Words
 
 #: Results a query, BM25's parameters, and the words in one broadcast block of queries.
 TOP, K1, B, QUERY_WORDS = 10, 1.2, 0.75, 4_000_000
 #: Bytes of text in a shard, rows in a block, the share of a shard's rows from which a word is only bounded, the most such words, and queries handled together.
-SHARD_BYTES, BLOCK, FREQUENT, MOST, TOGETHER = 32 << 20, 64, 0.04, 256, 64
-
-
-def _distinct(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word, row, times) of the distinct words of each text, by word then row, and each text's number of words."""
-    words = Words(texts, "alnum")
-    order = np.lexsort((words.rows, words.hashes))
-    word, row = words.hashes[order], words.rows[order]
-    first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (row[1:] != row[:-1])]) if len(word) else np.zeros(0, np.int64)
-    return word[first], row[first], np.diff(np.r_[first, len(word)]), np.bincount(words.rows, minlength=len(texts))
+SHARD_BYTES, BLOCK, FREQUENT, MOST, TOGETHER = 24 << 20, 64, 0.04, 256, 64
+
+
+def _distinct(texts: pa.Array, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, row, times) of the distinct words of each text, by word then row, and each text's number of words.
+
+    With a vocabulary, only its words, as places in it.
+    """
+    parts, sizes = [], np.zeros(len(texts), np.int64)
+    for a, b in byte_slices(texts):
+        words = Words(texts.slice(a, b - a), "alnum")
+        sizes[a:b] = np.bincount(words.rows, minlength=b - a)
+        order = np.lexsort((words.rows, words.hashes))
+        word, row = words.hashes[order], words.rows[order]
+        first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (row[1:] != row[:-1])]) if len(word) else np.zeros(0, np.int64)
+        word, row, times = word[first], (a + row[first]).astype(np.int32), np.diff(np.r_[first, len(order)]).astype(np.int32)
+        if vocabulary is not None:
+            at = np.minimum(np.searchsorted(vocabulary, word), len(vocabulary) - 1)
+            known = vocabulary[at] == word
+            word, row, times = at[known].astype(np.int32), row[known], times[known]
+        parts.append((word, row, times))
+    word, row, times = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.uint64)] * 3
+    order = np.argsort(word, kind="stable")  # slices follow each other, so rows stay in order
+    return word[order], row[order], times[order], sizes
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array]]:
@@ -74,7 +88,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, rows): in how many rows of a shard each word stands; word null: the shard's rows and words."""
     for _, texts in _shards(batches):
         word, _, _, sizes = _distinct(texts)
-        found, counts = np.unique(word, return_counts=True)
+        begins = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
+        found, counts = word[begins], np.diff(np.r_[begins, len(word)])
         yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64)), pa.nulls(len(found), pa.int64())], ["word", "rows", "words"])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([len(sizes)], pa.int64()), pa.array([int(sizes.sum())], pa.int64())], ["word", "rows", "words"])
 
@@ -89,14 +104,11 @@ class Shard:
     """The index of some rows for the words of some queries."""
 
     def __init__(self, ids: np.ndarray, texts: pa.Array, vocabulary: np.ndarray, idf: np.ndarray, mean: float):
-        word, row, times, sizes = _distinct(texts)
+        term, row, times, sizes = _distinct(texts, vocabulary)
         order = np.lexsort((ids, sizes))
         place = np.empty(len(ids), np.int64)
         place[order] = np.arange(len(ids))
         self.ids, n = ids[order], len(ids)
-        at = np.minimum(np.searchsorted(vocabulary, word), len(vocabulary) - 1)
-        known = vocabulary[at] == word
-        term, row, times = at[known], row[known], times[known]
         impact = idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * sizes[row] / mean))
         row = place[row]
         self.begin = np.searchsorted(term, np.arange(len(vocabulary) + 1))
