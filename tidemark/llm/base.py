@@ -62,7 +62,8 @@ def smallable(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id is not in gone(doc_id); a null id stays."""
-    return docs.join(smallable(gone.select("doc_id").distinct()), "doc_id", "left_anti")
+    ids = written(gone.select("doc_id").filter("doc_id is not null").distinct())
+    return docs.join(smallable(ids), "doc_id", "left_anti").select(*docs.columns)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:

@@ -79,7 +79,7 @@ class Index:
         term, item = pairs // n, pairs % n
         df = np.bincount(term, minlength=len(terms))
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] / max(sizes.mean(), 1e-9)))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] * n / max(sizes.sum(), 1)))
         impact /= np.bincount(item, impact, n)[item]
         begin = np.searchsorted(term, np.arange(len(terms) + 1))
         rest, essential = np.zeros(n), np.ones(len(terms), bool)

@@ -3,11 +3,11 @@
 Every line gets the hash of its key (the line without ASCII white space at
 both ends, A-Z lower-cased).  The hashes are range-partitioned with document
 and position as further sort keys, so a hot line is spread over partitions, and
-each partition is read once as a stream of runs of equal hashes.  Two rules:
-``first`` drops every line but the first occurrence, ``frequent`` drops all
-lines whose key stands in at least ``min_docs`` documents.  A run that touches
-a partition's edge and is not decided there is settled from the runs' counts,
-of which there are two a partition at most.
+each partition is read once as a stream of runs of equal hashes.  Lines whose
+key stands in at least ``min_docs`` documents are dropped, all of them or, with
+``keep_first``, all but the first occurrence.  A run that touches a partition's
+edge and is not decided there is settled from the runs' counts, of which there
+are two a partition at most.
 
 The result is a bitmap of kept lines for each document, packed and compressed,
 instead of texts; ``apply`` joins it back to texts.
@@ -77,101 +77,91 @@ NO_ID = -(1 << 63)
 _STREAM = "kind int, line long, doc_id long, text_hash long, position int, part int, docs long, last_id long, last_hash long"
 
 
-def _stream(rule: str, min_docs: int):
+def _stream(min_docs: int, keep_first: bool):
     """Reads one partition's sorted lines; memory holds a batch and one undecided run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        none = np.zeros(0, np.int64)
-        held = [none] * 4  # the lines of the last run that are not yet decided
-        state = None  # of that run: line, documents so far, first and last document
+        none = [np.zeros(0, np.int64)] * 4
+        held = none  # the lines of the last run that are not yet decided, its first one in front
+        state = None  # of that run: line, documents so far, first and last document, whether they are enough
         opening = True  # the run is the partition's first
+        before_all = np.full((4, 1), -1, np.int64)  # the last line seen; equal ones are of repeated rows
 
-        def rows(kind, line, doc, text, position, docs=None, last=None):
-            n = len(line)
+        def rows(kind, lines, docs=0, last=(0, 0)):
+            n = len(lines[0])
             full = lambda x: pa.array(np.full(n, x, np.int64))
-            extra = [full(docs), full(last[0]), full(last[1])] if docs is not None else [full(0)] * 3
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.array(x) for x in (line, doc, text)), pa.array(position.astype(np.int32)), pa.array(np.full(n, part, np.int32)), *extra], ["kind", "line", *_KEYS, "position", "part", "docs", "last_id", "last_hash"])
-
-        def edge(state):
-            one = lambda x: np.array([x], np.int64)
-            return rows(EDGE, one(state["line"]), one(state["first"][0]), one(state["first"][1]), one(0), state["docs"], state["last"])
+            counts = pa.array((np.arange(n) == 0).astype(np.int64)) if kind == OPEN else full(docs)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.array(x) for x in lines[:3]), pa.array(lines[3].astype(np.int32)), pa.array(np.full(n, part, np.int32)), counts, full(last[0]), full(last[1])], ["kind", "line", *_KEYS, "position", "part", "docs", "last_id", "last_hash"])
 
         def settle(held, state, at_edge):
             """What becomes of a finished run's undecided lines."""
             if at_edge:
-                yield edge(state)
-            if len(held[0]) and at_edge:
-                yield rows(OPEN, *held)
+                yield rows(EDGE, [np.array([x], np.int64) for x in (state["line"], *state["first"], 0)], state["docs"], state["last"])
+                if len(held[0]):
+                    yield rows(OPEN, held)
 
         for batch in batches:
             cols = [batch.column(c).cast(pa.int64()).fill_null(NO_ID).to_numpy() for c in ("line", *_KEYS, "position")]
-            if not len(cols[0]):
-                continue
+            again = np.logical_and.reduce([np.r_[last, c[:-1]] == c for last, c in zip(before_all, cols, strict=True)]) if len(cols[0]) else np.zeros(0, bool)
+            cols = [c[~again] for c in cols]
             line, doc, text, _ = cols
-            begins = np.flatnonzero(np.r_[state is None or line[0] != state["line"], line[1:] != line[:-1]])
-            if len(begins) == 0 or begins[0] != 0:
-                begins = np.r_[0, begins]
-                goes_on = True
-            else:
-                goes_on = False
-                if state is not None:
-                    yield from settle(held, state, opening)
-                    opening, held = False, [none] * 4
+            if not len(line):
+                continue
+            before_all = np.array([[c[-1]] for c in cols])
+            goes_on = state is not None and line[0] == state["line"]
+            if state is not None and not goes_on:
+                yield from settle(held, state, opening)
+                opening, held = False, none
+            begins = np.r_[0, np.flatnonzero(line[1:] != line[:-1]) + 1]
             ends = np.r_[begins[1:], len(line)]
             fresh = np.r_[True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (line[1:] != line[:-1])]
             if goes_on and (doc[0], text[0]) == state["last"]:
                 fresh[0] = False
             docs = np.add.reduceat(fresh.astype(np.int64), begins)
-            first_open = opening
             for k in sorted({0, len(begins) - 1}):  # the runs at the batch's ends, one by one
                 a, b = begins[k], ends[k]
                 before = state if k == 0 and goes_on else None
-                now = {"line": int(line[a]), "docs": int(docs[k]) + (before["docs"] if before else 0), "first": before["first"] if before else (int(doc[a]), int(text[a])), "last": (int(doc[b - 1]), int(text[b - 1])), "decided": bool(before and before["decided"])}
-                mine = [np.r_[h, c[a:b]] for h, c in zip(held, cols, strict=True)] if before else [c[a:b] for c in cols]
-                if rule == "first":
-                    if len(mine[0]) and not now["decided"]:
-                        yield rows(DROP, *(c[1:] for c in mine))
-                        mine, now["decided"] = [c[:1] for c in mine], True
-                    elif before:
-                        yield rows(DROP, *(c[len(held[0]) :] for c in mine))
-                        mine = held
+                now = {"line": int(line[a]), "docs": int(docs[k]) + (before["docs"] if before else 0), "first": before["first"] if before else (int(doc[a]), int(text[a])), "last": (int(doc[b - 1]), int(text[b - 1]))}
+                new = [c[a:b] for c in cols]
+                mine = [np.r_[h, c] for h, c in zip(held, new, strict=True)] if before else new
+                if now["docs"] >= min_docs and keep_first:
+                    yield rows(DROP, [c[1:] for c in mine])
+                    mine = [c[:1] for c in mine]
                 elif now["docs"] >= min_docs:
-                    yield rows(DROP, *mine)
-                    mine = [none] * 4
+                    yield rows(DROP, mine)
+                    mine = none
                 if k < len(begins) - 1:
-                    yield from settle(mine, now, first_open if k == 0 else False)
+                    yield from settle(mine, now, opening)
                     opening = False
                 else:
                     held, state = mine, now
             inner = np.zeros(len(line), bool)
             if len(begins) > 2:
-                inner[ends[0] : begins[-1]] = True
-                if rule == "first":
-                    inner[begins[1:-1]] = False
-                else:
-                    inner &= np.repeat(docs >= min_docs, ends - begins)
+                inner[ends[0] : begins[-1]] = np.repeat(docs[1:-1] >= min_docs, (ends - begins)[1:-1])
+                inner[begins[1:-1]] &= not keep_first
             if inner.any():
-                yield rows(DROP, *(c[inner] for c in cols))
+                yield rows(DROP, [c[inner] for c in cols])
         if state is not None:
             yield from settle(held, state, True)
 
     return run
 
 
-def dropped_lines(docs: DataFrame, rule: str = "first", min_docs: int = 2, min_chars: int = 1) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_docs: int = 1, keep_first: bool = True, min_chars: int = 1) -> DataFrame:
     """(doc_id, text_hash, position) of every line to drop from docs(doc_id, text)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     lines = written(keyed.mapInArrow(_lines(min_chars), "line long, doc_id long, text_hash long, position int"))
     order = ("line", "doc_id", "text_hash", "position")
     ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = written(ranged.mapInArrow(_stream(rule, min_docs), _STREAM))
+    found = written(ranged.mapInArrow(_stream(min_docs, keep_first), _STREAM))
     by_part = Window.partitionBy("line").orderBy("part")
     same = (F.lag("last_id").over(by_part) == F.col("doc_id")) & (F.lag("last_hash").over(by_part) == F.col("text_hash"))
     edges = found.filter(F.col("kind") == EDGE).withColumn("again", F.coalesce(same, F.lit(False)).cast("int"))
     totals = edges.groupBy("line").agg((F.sum("docs") - F.sum("again")).alias("in_docs"), F.min("part").alias("first_part"))
     opened = found.filter(F.col("kind") == OPEN).join(F.broadcast(totals), "line")  # two edges a partition at most
-    late = opened.filter(F.col("part") > F.col("first_part")) if rule == "first" else opened.filter(F.col("in_docs") >= min_docs)
+    stays = F.lit(keep_first) & (F.col("docs") == 1) & (F.col("part") == F.col("first_part"))
+    late = opened.filter((F.col("in_docs") >= min_docs) & ~stays)
     gone = found.filter(F.col("kind") == DROP).select(*_KEYS, "position").unionByName(late.select(*_KEYS, "position"))
     return gone.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
@@ -191,9 +181,9 @@ def _same_document(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
 
 
-def line_bitmaps(docs: DataFrame, rule: str = "first", min_docs: int = 2, min_chars: int = 1) -> DataFrame:
+def line_bitmaps(docs: DataFrame, min_docs: int = 1, keep_first: bool = True, min_chars: int = 1) -> DataFrame:
     """Per distinct (doc_id, text): doc_id, text_hash, n_lines, n_dropped and ``keep``, the compressed bitmap."""
-    gone = dropped_lines(docs, rule, min_docs, min_chars).groupBy(*_KEYS).agg(F.collect_list("position").alias("gone"))
+    gone = dropped_lines(docs, min_docs, keep_first, min_chars).groupBy(*_KEYS).agg(F.collect_list("position").alias("gone"))
     text = F.coalesce("text", F.lit(""))
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     lines = lines.groupBy(*_KEYS).agg(F.max("n_lines").alias("n_lines"))
@@ -216,17 +206,17 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def apply(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with ``text`` cut down to the kept lines; n_lines and n_dropped are added."""
-    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
-    joined = keyed.join(bitmaps, _same_document(keyed, bitmaps)).select(*(keyed[c] for c in docs.columns), "n_lines", "n_dropped", "keep")
-    names = [c for c in joined.columns if c not in ("text", "keep")]
-    schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in names)
-    return joined.mapInArrow(_kept, f"{schema}, text string")
+    """docs with ``text`` cut down to the kept lines, and with n_lines and n_dropped, which replace columns of that name."""
+    mine = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    keyed = docs.select(F.struct(*mine).alias("rest"), "text", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    joined = keyed.join(bitmaps, _same_document(keyed, bitmaps)).select("rest", "text", "n_lines", "n_dropped", "keep")
+    cut = joined.mapInArrow(_kept, f"rest {keyed.schema['rest'].dataType.simpleString()}, n_lines long, n_dropped long, text string")
+    return cut.select(*(F.col("rest")[c].alias(c) for c in mine), "text", "n_lines", "n_dropped")
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    bitmaps = line_bitmaps(docs, "frequent", min_docs=10)
+    bitmaps = line_bitmaps(docs, min_docs=10, keep_first=False)
     return apply(docs, bitmaps).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
