@@ -11,8 +11,10 @@ The search of a shard is block-max WAND, for many queries at once.  A query's
 rarer words are read from their posting lists and added up by row.  Its most
 frequent words are only bounded, by the block maxima of a row's block.  A row
 whose sum and bound together stay below the query's k-th best score so far is
-skipped; the other rows get their exact scores.  Shards' best rows are merged
-exactly, as every shard gives its k best and all scores are global.
+skipped; the other rows get their exact scores.  A share of the rows is searched
+first, and its k-th best scores are thresholds for all other shards.  The best
+rows are merged exactly, as no shard drops one of its k best that reaches the
+threshold, and all scores are global.
 
 Queries travel in broadcast blocks of at most ``QUERY_WORDS`` words in all; the
 collection is read once a block.
@@ -37,6 +39,10 @@ from tidemark.llm.wordhash import Words
 
 #: Results a query, BM25's parameters, and the words in one broadcast block of queries.
 TOP, K1, B, QUERY_WORDS = 10, 1.2, 0.75, 4_000_000
+#: Decimals of a score, and what rounding may have added to a threshold.
+DIGITS, SLACK = 9, 1e-8
+#: One row of so many goes ahead to give thresholds, in tasks of about so many words.
+AHEAD, SHARD_WORDS = 8, 4_000_000
 #: Bytes of text in a shard, rows in a block, the share of a shard's rows from which a word is only bounded, the most such words, and queries handled together.
 SHARD_BYTES, BLOCK, FREQUENT, MOST, TOGETHER = 24 << 20, 64, 0.04, 256, 64
 
@@ -146,13 +152,14 @@ class Shard:
                 if floor <= 0 and n > k:  # a first threshold from the k rows of the best sums
                     first = np.argpartition(-hope, k - 1)[:k]
                     floor = (sums[first] + self.exact[first] @ weights[:, i]).min()
-                near = np.flatnonzero((hope >= floor * (1 - 1e-12)) & (hope > 0))
+                near = np.flatnonzero((hope >= floor - SLACK) & (hope > 0))
                 if len(near) > n // 16:
                     full = self.exact @ weights if full is None else full
                     scores = sums[near] + full[near, i]
                 else:
                     scores = sums[near] + self.exact[near] @ weights[:, i]
-                good = np.flatnonzero((scores > 0) & (scores >= least[a + i] * (1 - 1e-12)))
+                scores = np.round(scores, DIGITS)  # equal texts get equal scores in any shard
+                good = np.flatnonzero((scores > 0) & (scores >= least[a + i]))
                 near, scores = near[good], scores[good]
                 if len(near) > k:
                     edge = np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -175,34 +182,58 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     df = F.col("rows")
     weighed = written(words.join(counts.filter("word is not null").select("word", "rows"), "word").select("query", "word", F.log1p((n - df + 0.5) / (df + 0.5)).alias("idf")))
     parts = max(1, -(-weighed.count() // QUERY_WORDS))
-    schema, found = "query_id long, doc_id long, score double", None
+    found = None
     for part in range(parts):
         some = weighed.filter(F.pmod(F.xxhash64("query"), F.lit(parts)) == part).toArrow()
-        query, word, idf = (some.column(c).to_numpy() for c in range(3))
-        vocabulary, first, term = np.unique(word.view(np.uint64), return_index=True, return_inverse=True)
-        order = np.lexsort((term, query))
-        names, begin = np.unique(query[order], return_index=True)
-        held = spark.sparkContext.broadcast((vocabulary, idf[first], names, term[order].astype(np.int32), np.r_[begin, len(order)]))
+        hits = _search(rows, [some.column(c).to_numpy() for c in range(3)], mean, n * mean, k)
+        found = hits if found is None else found.unionByName(hits)
+    return found.select("query_id", "rank", "doc_id", "score")
+
+
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return hits.withColumn("rank", place).filter(F.col("rank") <= k)
+
+
+def _search(rows: DataFrame, weighed: list[np.ndarray], mean: float, words: float, k: int) -> DataFrame:
+    """The k best of rows for a block of queries, given as (query, word, idf).
 
-        def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+    A share of the rows goes first; its k-th best scores are thresholds for the
+    others, so tasks return about the rows that can still be among the best.
+    """
+    query, word, idf = weighed
+    vocabulary, first, term = np.unique(word.view(np.uint64), return_index=True, return_inverse=True)
+    order = np.lexsort((term, query))
+    names, begin = np.unique(query[order], return_index=True)
+    spark = rows.sparkSession
+    held = spark.sparkContext.broadcast((vocabulary, idf[first], names, term[order].astype(np.int32), np.r_[begin, len(order)]))
+
+    def searched(some: DataFrame, least: np.ndarray) -> DataFrame:
+        floor = spark.sparkContext.broadcast(least)
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vocabulary, idf, names, terms, begin = held.value
             if not len(names):
                 return
             lists = [terms[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-            best = np.zeros((len(names), k))  # the k best scores so far in this task
+            scores, docs = np.zeros((len(names), k)), np.zeros((len(names), k), np.int64)  # the best so far
             for ids, texts in _shards(batches):
-                shard, out = Shard(ids, texts, vocabulary, idf, mean), []
-                for q, docs, scores in shard.search(lists, best.min(1), k):
-                    merged = np.sort(np.r_[best[q], scores])[-k:]
-                    best[q] = merged
-                    out.append((np.full(len(docs), names[q]), docs, scores))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "doc_id", "score"])
-
-        hits = rows.mapInArrow(search, schema)
-        found = hits if found is None else found.unionByName(hits)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+                shard = Shard(ids, texts, vocabulary, idf, mean)
+                for q, more, values in shard.search(lists, np.maximum(scores.min(1), floor.value), k):
+                    both, all_docs = np.r_[scores[q], values], np.r_[docs[q], more]
+                    top = np.lexsort((all_docs, -both))[:k]
+                    scores[q], docs[q] = both[top], all_docs[top]
+            q, at = np.nonzero((scores > 0) & (scores >= floor.value[:, None]))
+            yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(docs[q, at]), pa.array(scores[q, at])], ["query_id", "doc_id", "score"])
+
+        return some.mapInArrow(search, "query_id long, doc_id long, score double")
+
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(AHEAD)) == 0
+    ahead = written(_best(searched(rows.filter(share).repartition(max(1, round(words / AHEAD / SHARD_WORDS))), np.zeros(len(names))), k).drop("rank"))
+    kth = ahead.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).filter(F.col("n") == k).toArrow()
+    least = np.zeros(len(names))
+    least[np.searchsorted(names, kth.column("query_id").to_numpy())] = kth.column("least").to_numpy()
+    return _best(ahead.unionByName(searched(rows.filter(~share), least)), k)
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
