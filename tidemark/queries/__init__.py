@@ -1,4 +1,7 @@
 """Registered queries of the market-data operators with their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidemark.queries import holdings, indicators, metrics, portfolio, quality, screener, series, sources, streams
+
+_PAGES = (series, metrics, portfolio, holdings, screener, quality, indicators, sources, streams)
+QUERIES = {name: query for page in _PAGES for name, query in page.BOOK.queries.items()}
+ORACLES = {name: sql for page in _PAGES for name, sql in page.BOOK.oracles.items()}
