@@ -17,6 +17,8 @@ KEYS = {
     "brand": ("part", "p_brand"),
     "flag": ("", "l_returnflag"),
 }
+#: Added to a value before it is rounded, so that short decimals never lie on a rounding edge.
+NUDGE = 0.3137e-8
 _ON = {"supplier": ("l_suppkey", "s_suppkey"), "nation": ("s_nationkey", "n_nationkey"), "region": ("n_regionkey", "r_regionkey"), "part": ("l_partkey", "p_partkey")}
 
 
@@ -38,7 +40,8 @@ def nav(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """k, d, nav: one compounded series a key."""
     daily = keyed_lines(spark, sf_dir, kind).groupBy("k", "d").agg((F.avg("l_discount") - 0.05).alias("r"))
     running = Window.partitionBy("k").orderBy("d")
-    return daily.select("k", "d", (100 * F.exp(F.sum(F.log1p(F.col("r") / 4)).over(running))).alias("nav"))
+    value = 100 * F.exp(F.sum(F.log1p(F.col("r") / 4)).over(running))
+    return daily.select("k", "d", F.round(value + NUDGE, 8).alias("nav"))
 
 
 def _joins(kind: str) -> str:
@@ -46,7 +49,7 @@ def _joins(kind: str) -> str:
 
 
 def nav_sql(kind: str) -> str:
-    return f"""SELECT k, d, 100 * exp(sum(ln(1 + r / 4)) OVER (PARTITION BY k ORDER BY d)) AS nav
+    return f"""SELECT k, d, round(100 * exp(sum(ln(1 + r / 4)) OVER (PARTITION BY k ORDER BY d)) + {NUDGE}, 8) AS nav
     FROM (SELECT {KEYS[kind][1]} AS k, CAST(l_shipdate AS DATE) AS d, avg(l_discount) - 0.05 AS r
           FROM {_joins(kind)} GROUP BY 1, 2)"""
 

@@ -143,12 +143,12 @@ def lag_features(spark, sf_dir):
 @BOOK.add(
     "w26_imputation",
     f"""WITH nav AS ({nav_sql("brand")}), holes AS (SELECT k, d, CASE WHEN day(d) % 7 <> 0 THEN nav END AS v FROM nav)
-SELECT k, d, round(coalesce(v, avg(v) OVER (PARTITION BY k ORDER BY d ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), avg(v) OVER (PARTITION BY k), 0), 6) AS v FROM holes""", dates="d"
+SELECT k, d, round(coalesce(v, avg(v) OVER (PARTITION BY k ORDER BY d ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), avg(v) OVER (PARTITION BY k), 0) + 100 * {_NUDGE}, 6) AS v FROM holes""", dates="d"
 )
 def imputation(spark, sf_dir):
     rows = nav(spark, sf_dir, "brand").select("k", "d", F.when(F.dayofmonth("d") % 7 != 0, F.col("nav")).alias("v"))
     near = F.avg("v").over(ordered().rowsBetween(-1, 1))
-    return rows.select("k", "d", F.round(F.coalesce("v", near, F.avg("v").over(Window.partitionBy("k")), F.lit(0.0)), 6).alias("v"))
+    return rows.select("k", "d", F.round(F.coalesce("v", near, F.avg("v").over(Window.partitionBy("k")), F.lit(0.0)) + 100 * _NUDGE, 6).alias("v"))
 
 
 @BOOK.add(
@@ -268,10 +268,10 @@ def density(spark, sf_dir):
     return rows.select("k", "r").join(F.broadcast(grid), "k").groupBy("k", "i", "n", "h").agg(F.sum(kernel).alias("s")).select("k", "i", F.round(F.col("s") / (F.col("n") * F.col("h") * F.sqrt(2 * F.pi())), 6).alias("density"))
 
 
-@BOOK.add("j13_densified", f"WITH nav AS (SELECT * FROM ({nav_sql('brand')}) WHERE day(d) % 3 = 0), spine AS (SELECT * FROM (SELECT DISTINCT d FROM nav), (SELECT DISTINCT k FROM nav)) SELECT k, d, round(last_value(nav IGNORE NULLS) {_W}, 6) AS nav FROM spine LEFT JOIN nav USING (k, d)", dates="d")
+@BOOK.add("j13_densified", f"WITH nav AS (SELECT * FROM ({nav_sql('brand')}) WHERE day(d) % 3 = 0), spine AS (SELECT * FROM (SELECT DISTINCT d FROM nav), (SELECT DISTINCT k FROM nav)) SELECT k, d, last_value(nav IGNORE NULLS) {_W} AS nav FROM spine LEFT JOIN nav USING (k, d)", dates="d")
 def densified(spark, sf_dir):
     sparse = nav(spark, sf_dir, "brand").filter(F.dayofmonth("d") % 3 == 0)
-    return densify(sparse).select("k", "d", F.round(forward_filled("nav"), 6).alias("nav"))
+    return densify(sparse).select("k", "d", forward_filled("nav").alias("nav"))
 
 
 @BOOK.add("f23_business_days", "SELECT k, min(d) AS a, max(d) AS b, (SELECT count(*) FROM (SELECT unnest(range(min(d), max(d), INTERVAL 1 DAY)) AS x) WHERE isodow(x) < 6) AS days FROM (SELECT l_returnflag AS k, CAST(l_shipdate AS DATE) AS d FROM lineitem) GROUP BY k", dates="a b")
