@@ -1,3 +1,149 @@
+"""Queries of indicators, strategies and backtests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.indicators import RECURSIVE, compute
+from tidemark.operators.cluster import cluster_order
+from tidemark.operators.series import correlation_pairs, growth
+from tidemark.plans.relations import BARS_SQL, NUDGE, bars, nav
 from tidemark.queries.book import Book
+from tidemark.strategies import STRATEGIES, backtest, equity_curve, trade_stats, with_signals
 
 BOOK = Book()
+_N = "row_number() OVER w"
+
+
+def _last(f: str, n: int) -> str:
+    return f"{f} OVER (PARTITION BY k ORDER BY d ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+def _full(f: str, n: int, rows: int | None = None) -> str:
+    return f"CASE WHEN n >= {rows or n} THEN {_last(f, n)} END"
+
+
+_BASE = f"bars AS ({BARS_SQL}), b AS (SELECT *, (high + low + close) / 3 AS tp, lag(close) OVER w AS prev, {_N} AS n FROM bars WINDOW w AS (PARTITION BY k ORDER BY d))"
+_POSITION = "coalesce((close - {lo}) / nullif({hi} - {lo}, 0), 0)"
+
+
+def _position(n: int) -> str:
+    return _POSITION.format(lo=_last("min(low)", n), hi=_last("max(high)", n))
+
+
+_PLAIN = {
+    **{f"sma_{n}": (f"sma_{n}", _full("avg(close)", n)) for n in (20, 50, 200)},
+    "bb_upper": ("bollinger", f"{_full('avg(close)', 20)} + 2 * {_full('stddev_pop(close)', 20)}"),
+    "bb_lower": ("bollinger", f"{_full('avg(close)', 20)} - 2 * {_full('stddev_pop(close)', 20)}"),
+    "vwap": ("vwap", "sum(tp * volume) OVER w / sum(volume) OVER w"),
+    "dc_upper": ("donchian", _full("max(high)", 20)),
+    "dc_lower": ("donchian", _full("min(low)", 20)),
+    "obv": ("obv", "sum(coalesce(sign(close - prev), 1) * volume) OVER w"),
+    "williams_r": ("williams_r", f"CASE WHEN n >= 14 THEN ({_position(14)} - 1) * 100 END"),
+    "momentum": ("momentum", "close - lag(close, 10) OVER w"),
+    "roc": ("roc", "100 * (close / lag(close, 10) OVER w - 1)"),
+    "ad": ("chaikin_ad", "sum(coalesce(((close - low) - (high - close)) / nullif(high - low, 0), 0) * volume) OVER w"),
+    "ppo": ("ppo", f"100 * ({_full('avg(close)', 12)} - {_full('avg(close)', 26)}) / {_full('avg(close)', 26)}"),
+}
+
+
+def _rounded(rows, columns):
+    return rows.select("k", "d", *(F.round(F.col(c) + 1e3 * NUDGE, 5).alias(c) for c in columns))
+
+
+@BOOK.add("i_windowed_indicators", f"WITH {_BASE} SELECT k, d, {', '.join(f'round({sql} + {1e3 * NUDGE}, 5) AS {c}' for c, (_, sql) in _PLAIN.items())} FROM b WINDOW w AS (PARTITION BY k ORDER BY d)", dates="d")
+def windowed(spark, sf_dir):
+    return _rounded(compute(bars(spark, sf_dir), list(dict.fromkeys(n for n, _ in _PLAIN.values()))), _PLAIN)
+
+
+_SECOND = f"""{_BASE}, f AS (SELECT *, 100 * {_position(5)} AS fast, tp * volume AS flow, lag(tp) OVER w AS tp0, least(low, prev) AS lo, greatest(high, prev) AS hi,
+  {_last("avg(tp)", 20)} AS mean, list(tp) OVER (PARTITION BY k ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS tps,
+  {_last("arg_max(n, (high, n))", 15)} AS top, {_last("arg_max(n, (-low, n))", 15)} AS bottom FROM b WINDOW w AS (PARTITION BY k ORDER BY d)),
+g AS (SELECT *, {_full("avg(fast)", 3, 7)} AS stoch_k, {_last("sum(CASE WHEN tp > tp0 THEN flow ELSE 0 END)", 14)} AS up, {_last("sum(CASE WHEN tp < tp0 THEN flow ELSE 0 END)", 14)} AS down,
+  {", ".join(f"coalesce({_last('sum(CASE WHEN prev IS NOT NULL THEN close - lo END)', m)} / nullif({_last('sum(CASE WHEN prev IS NOT NULL THEN hi - lo END)', m)}, 0), 0) AS u{m}" for m in (7, 14, 28))} FROM f)"""
+
+
+@BOOK.add(
+    "i_windowed_oscillators",
+    f"""WITH {_SECOND} SELECT k, d, round(stoch_k + {1e3 * NUDGE}, 5) AS stoch_k, round({_full("avg(stoch_k)", 3, 9)} + {1e3 * NUDGE}, 5) AS stoch_d, round(CASE WHEN n > 14 THEN coalesce(100 * up / nullif(up + down, 0), 0) END + {1e3 * NUDGE}, 5) AS mfi,
+  round(CASE WHEN n >= 20 THEN coalesce((tp - mean) / nullif(0.015 * list_sum(list_transform(tps, lambda x: abs(x - mean))) / 20, 0), 0) END + {1e3 * NUDGE}, 5) AS cci,
+  round(CASE WHEN n >= 15 THEN 100.0 * (14 - (n - bottom)) / 14 END + {1e3 * NUDGE}, 5) AS aroon_down, round(CASE WHEN n >= 15 THEN 100.0 * (14 - (n - top)) / 14 END + {1e3 * NUDGE}, 5) AS aroon_up,
+  round(CASE WHEN n > 28 THEN 100 * (4 * u7 + 2 * u14 + u28) / 7 END + {1e3 * NUDGE}, 5) AS ultimate FROM g""",
+    dates="d",
+)
+def oscillators(spark, sf_dir):
+    rows = compute(bars(spark, sf_dir), ["stochastic", "mfi", "cci", "aroon", "ultimate"])
+    return _rounded(rows, ("stoch_k", "stoch_d", "mfi", "cci", "aroon_down", "aroon_up", "ultimate"))
+
+
+@BOOK.add("i_recursive_indicators")
+def recursive(spark, sf_dir):
+    return _rounded(compute(bars(spark, sf_dir), list(RECURSIVE)), [c for columns, _ in RECURSIVE.values() for c in columns])
+
+
+
+
+@BOOK.add("i4_last_ema", f"WITH bars AS ({BARS_SQL}), s AS (SELECT k, list(close ORDER BY d) AS x FROM bars GROUP BY k) SELECT k, {', '.join(f'round(list_reduce(x[{n + 1}:], lambda a, v: a + 2.0 / {n + 1} * (v - a), list_avg(x[1:{n}])), 4) AS ema_{n}' for n in (12, 26))} FROM s")
+def last_ema(spark, sf_dir):
+    rows = compute(bars(spark, sf_dir), ["ema_12", "ema_26"])
+    return rows.groupBy("k").agg(*(F.round(F.max_by(c, "d"), 4).alias(c) for c in ("ema_12", "ema_26")))
+
+
+_SMA = f"bars AS ({BARS_SQL}), b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d) AS n FROM bars), s AS (SELECT k, d, close, {_full('avg(close)', 20)} AS a, {_full('avg(close)', 50)} AS b FROM b)"
+
+
+@BOOK.add("b5_sma_signals", f"WITH {_SMA}, c AS (SELECT *, lag(a) OVER w AS a0, lag(b) OVER w AS b0 FROM s WINDOW w AS (PARTITION BY k ORDER BY d)) SELECT k, d, coalesce(a > b AND a0 <= b0, false) AS entry, coalesce(b > a AND b0 <= a0, false) AS exit FROM c", dates="d")
+def sma_signals(spark, sf_dir):
+    return with_signals(bars(spark, sf_dir), "sma_crossover").select("k", "d", "entry", "exit")
+
+
+@BOOK.add("b2_strategy_signals")
+def strategy_signals(spark, sf_dir):
+    rows = None
+    for name in STRATEGIES:
+        one = with_signals(bars(spark, sf_dir), name).groupBy("k").agg(F.count_if("entry").alias("entries"), F.count_if("exit").alias("exits")).withColumn("strategy", F.lit(name))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def _signals(spark, sf_dir, name="sma_crossover"):
+    series = nav(spark, sf_dir, "brand")
+    bar = series.select("k", "d", *(F.col("nav").alias(c) for c in ("open", "high", "low", "close")), F.lit(1.0).alias("volume"))
+    return with_signals(bar, name)
+
+
+@BOOK.add("b6_backtest_trades")
+def trades(spark, sf_dir):
+    return backtest(_signals(spark, sf_dir), stop=0.1).select("k", "entry_day", "exit_day", *(F.round(c, 5).alias(c) for c in ("size", "entry_price", "exit_price", "pnl", "ret")), "status")
+
+
+@BOOK.add("b7_trade_stats")
+def stats(spark, sf_dir):
+    return trade_stats(backtest(_signals(spark, sf_dir, "rsi"), stop=0.1, trailing=True))
+
+
+@BOOK.add("b8_equity_curve")
+def equity(spark, sf_dir):
+    return equity_curve(_signals(spark, sf_dir))
+
+
+_TRADES = "SELECT o_custkey % 20 AS k, o_totalprice - 140000 AS pnl, (o_totalprice - 140000) / 1000000 AS ret, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_custkey % 30 AS INT) AS b FROM orders"
+
+
+@BOOK.add(
+    "a23_trade_stats",
+    f"""SELECT k, count(*) AS trades, round(100.0 * count(*) FILTER (WHERE pnl > 0) / count(*), 5) AS win_rate, round(coalesce(avg(100 * ret) FILTER (WHERE pnl > 0), 0), 6) AS avg_win, round(coalesce(avg(100 * ret) FILTER (WHERE pnl < 0), 0), 6) AS avg_loss,
+  round(abs(avg(100 * ret) FILTER (WHERE pnl > 0) / avg(100 * ret) FILTER (WHERE pnl < 0)), 6) AS payoff, round(sum(pnl) FILTER (WHERE pnl > 0) / abs(sum(pnl) FILTER (WHERE pnl < 0)), 6) AS profit_factor,
+  round(avg(pnl), 3) AS expectancy, round(sqrt(count(*)) * avg(pnl) / stddev_samp(pnl), 6) AS sqn, round(avg(b - a), 6) AS mean_days FROM ({_TRADES}) GROUP BY k""",
+)
+def order_stats(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    day, pnl = F.col("o_orderdate").cast("date"), F.col("o_totalprice") - 140000
+    rows = orders.select((F.col("o_custkey") % 20).alias("k"), pnl.alias("pnl"), (pnl / 1000000).alias("ret"), day.alias("entry_day"), F.date_add(day, (F.col("o_custkey") % 30).cast("int")).alias("exit_day"))
+    return trade_stats(rows).select("k", "trades", *(F.round(c, n).alias(c) for c, n in (("win_rate", 5), ("avg_win", 6), ("avg_loss", 6), ("payoff", 6), ("profit_factor", 6), ("expectancy", 3), ("sqn", 6), ("mean_days", 6))))
+
+
+@BOOK.add("c1_cluster_order")
+def clusters(spark, sf_dir):
+    returns = nav(spark, sf_dir, "brand").withColumn("r", growth("nav"))
+    return cluster_order(correlation_pairs(returns, "r", 30))

@@ -57,6 +57,11 @@ _METRICS = {
 }
 
 
+#: The metrics by brand, for queries that join them.
+ORACLE_METRICS = f"""WITH {_MARKED.format(nav_sql("brand"))}
+SELECT k, {", ".join(f"round({_METRICS[name]}, 6) AS {name}" for name in ("cagr_1y", "sharpe_1y", "max_dd_1y"))}, min(d) AS inception_date FROM m GROUP BY k HAVING count(*) >= 252"""
+
+
 def _rounded(df, digits: int = 6):
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
