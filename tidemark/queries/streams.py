@@ -1,3 +1,39 @@
+"""Queries of the streaming operators; each runs a stream to its end."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.plans.relations import table
 from tidemark.queries.book import Book
+from tidemark.streaming import streams as ops
 
 BOOK = Book()
+
+
+@BOOK.add("t4_stream_bars", "SELECT CAST(ts AS DATE) AS d, event_type, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS n FROM events GROUP BY 1, 2", dates="d")
+def stream_bars(spark, sf_dir):
+    return ops.to_end(ops.bars(ops.events(spark, sf_dir)), "complete")
+
+
+@BOOK.add("t2_stream_first_of_each", "SELECT user_id, event_type FROM events GROUP BY 1, 2")
+def stream_distinct(spark, sf_dir):
+    keyed = ops.events(spark, sf_dir).select("user_id", "event_type", F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("key"))
+    return ops.to_end(ops.first_of_each(keyed, "key")).select("user_id", "event_type")
+
+
+@BOOK.add("t1_stream_newer_than", "WITH known AS (SELECT user_id, max(ts) AS mark FROM events WHERE ts < TIMESTAMP '2024-01-15' AND user_id % 2 = 0 GROUP BY 1) SELECT event_id, e.user_id FROM events AS e LEFT JOIN known AS k ON e.user_id = k.user_id WHERE mark IS NULL OR ts > mark")
+def stream_newer(spark, sf_dir):
+    known = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).filter("ts < timestamp '2024-01-15' and user_id % 2 = 0")
+    return ops.to_end(ops.newer_than(ops.events(spark, sf_dir), known, "user_id").select("event_id", "user_id"))
+
+
+@BOOK.add("t3_stream_refreshed_metrics", "SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'error') GROUP BY 1")
+def stream_refreshed(spark, sf_dir):
+    touched = ops.events(spark, sf_dir).filter("event_type = 'error'")
+    return ops.refreshed(touched, table(spark, sf_dir, "events"), "user_id", lambda rows: rows.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")))
+
+
+@BOOK.add("t5_stream_positions")
+def stream_positions(spark, sf_dir):
+    return ops.to_end(ops.positions(ops.events(spark, sf_dir)), "update")

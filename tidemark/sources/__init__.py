@@ -1,0 +1 @@
+"""Readers of feeds, as plans over payload columns, and writers."""
