@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.series import YEAR, annual_growth, growth, ordered
+from tidemark.operators.series import YEAR, annual_growth, correlation, growth, ordered
 
 #: Yearly risk-free rate, and the parametric quantile of value at risk.
 RISK_FREE, QUANTILE = 0.06, 1.6448536269514722
@@ -107,5 +107,5 @@ def capm(returns: DataFrame, benchmark: DataFrame, least: int = 60) -> DataFrame
     """k, b, alpha, beta, r2, tracking_error of returns(k, d, r) against benchmark(b, d, br) over common days."""
     both = returns.join(benchmark, "d").filter(F.col("r").isNotNull() & F.col("br").isNotNull())
     beta = F.try_divide(F.covar_samp("r", "br"), F.var_samp("br"))
-    stats = both.groupBy("k", "b").agg(F.count("*").alias("n"), beta.alias("beta"), ((F.avg("r") - beta * F.avg("br")) * YEAR).alias("alpha"), F.pow(F.corr("r", "br"), 2).alias("r2"), (F.stddev_samp(F.col("r") - F.col("br")) * ROOT).alias("tracking_error"))
+    stats = both.groupBy("k", "b").agg(F.count("*").alias("n"), beta.alias("beta"), ((F.avg("r") - beta * F.avg("br")) * YEAR).alias("alpha"), F.pow(correlation("r", "br"), 2).alias("r2"), (F.stddev_samp(F.col("r") - F.col("br")) * ROOT).alias("tracking_error"))
     return stats.filter(F.col("n") >= least).drop("n")

@@ -71,8 +71,16 @@ def asof(left: DataFrame, right: DataFrame, value: str, how: str, key: str = "k"
     return rows.withColumn("_hit", pick).select(*columns, F.col("_hit")["at"].alias("matched"), F.col("_hit")["v"].alias(value))
 
 
+def correlation(x: str, y: str, window: WindowSpec | None = None) -> Column:
+    """Correlation over the rows that have both; NULL where either does not vary, which corr() takes for an error."""
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    parts = [F.covar_samp(x, y), F.stddev_samp(a), F.stddev_samp(b)]
+    joint, first, second = parts if window is None else (p.over(window) for p in parts)
+    return F.try_divide(joint, first * second)
+
+
 def correlation_pairs(returns: DataFrame, value: str, least: int, key: str = "k", day: str = "d") -> DataFrame:
     """a, b, corr of every two keys over the days both have; 0 where there are fewer than ``least``."""
     a, b = returns.select(F.col(key).alias("a"), day, F.col(value).alias("x")), returns.select(F.col(key).alias("b"), day, F.col(value).alias("y"))
     both = a.join(b, day).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    return both.groupBy("a", "b").agg(F.when(F.count("*") >= least, F.coalesce(F.corr("x", "y"), F.lit(0.0))).otherwise(0.0).alias("corr"))
+    return both.groupBy("a", "b").agg(F.when(F.count("*") >= least, F.coalesce(correlation("x", "y"), F.lit(0.0))).otherwise(0.0).alias("corr"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import metrics as ops
-from tidemark.operators.series import growth
+from tidemark.operators.series import correlation, growth
 from tidemark.plans.relations import nav, nav_sql
 from tidemark.queries.book import Book
 
@@ -124,7 +124,8 @@ def excess_and_downside(spark, sf_dir):
     funds, market = _returns(spark, sf_dir)
     both = funds.join(market, "d").filter("r is not null and br is not null")
     down = F.col("br") < 0
-    return both.groupBy("k", "b").agg(F.round(F.avg(F.col("r") - F.col("br")), 8).alias("excess"), F.round(F.corr(F.when(down, F.col("r")), F.when(down, F.col("br"))), 6).alias("down_corr"), F.count_if(down).alias("down_days"))
+    both = both.withColumn("dr", F.when(down, F.col("r"))).withColumn("dbr", F.when(down, F.col("br")))
+    return both.groupBy("k", "b").agg(F.round(F.avg(F.col("r") - F.col("br")), 8).alias("excess"), F.round(correlation("dr", "dbr"), 6).alias("down_corr"), F.count_if(down).alias("down_days"))
 
 
 @BOOK.add(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dates import month_start, week_end
 from tidemark.operators import series as ops
-from tidemark.operators.series import annual_growth, densify, drawdown, forward_filled, full_window, growth, last_rows, ordered
+from tidemark.operators.series import annual_growth, correlation, densify, drawdown, forward_filled, full_window, growth, last_rows, ordered
 from tidemark.plans.relations import BARS_SQL, TRADES_SQL, bars, keyed_lines, nav, nav_sql, trades
 from tidemark.queries.book import Book
 
@@ -106,7 +106,7 @@ def rolling_correlation(spark, sf_dir):
     rows = nav(spark, sf_dir, "region").withColumn("r", growth("nav"))
     other = rows.filter("k = 'ASIA'").select("d", F.col("r").alias("y"))
     pairs = rows.filter("k <> 'ASIA'").select("k", "d", F.col("r").alias("x")).join(other, "d").withColumn("both", F.col("x") + F.col("y"))
-    return pairs.select("k", "d", F.round(full_window(F.corr("x", "y").over(last_rows(60)), 60, "both"), 6).alias("corr_60"))
+    return pairs.select("k", "d", F.round(full_window(correlation("x", "y", last_rows(60)), 60, "both"), 6).alias("corr_60"))
 
 
 @BOOK.add(
