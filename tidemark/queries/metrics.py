@@ -157,7 +157,7 @@ SELECT k, year(d) AS year, {", ".join(f"round(exp(sum(ln(1 + r)) FILTER (WHERE m
 )
 def monthly_returns(spark, sf_dir):
     rows = nav(spark, sf_dir, "region").withColumn("r", F.log1p(growth("nav"))).withColumn("m", F.month("d"))
-    return rows.groupBy("k", F.year("d").alias("year")).agg(*(F.round(F.exp(F.sum(F.when(F.col("m") == m, F.col("r")))) - 1, 7).alias(f"m{m}") for m in range(1, 13)), F.round(F.exp(F.sum("r")) - 1, 7).alias("eoy"))
+    return rows.groupBy("k", F.year("d").cast("long").alias("year")).agg(*(F.round(F.exp(F.sum(F.when(F.col("m") == m, F.col("r")))) - 1, 7).alias(f"m{m}") for m in range(1, 13)), F.round(F.exp(F.sum("r")) - 1, 7).alias("eoy"))
 
 
 @BOOK.add(

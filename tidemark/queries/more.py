@@ -133,7 +133,7 @@ def slugify(spark, sf_dir):
 @BOOK.add("f27_calendar_parts", "SELECT year(d) AS year, month(d) AS month, monthname(d) AS name, dayofweek(d) + 1 AS weekday, count(*) AS n FROM (SELECT CAST(l_shipdate AS DATE) AS d FROM lineitem) GROUP BY ALL")
 def calendar_parts(spark, sf_dir):
     d = F.col("l_shipdate").cast("date")
-    return table(spark, sf_dir, "lineitem").groupBy(F.year(d).alias("year"), F.month(d).alias("month"), F.date_format(d, "MMMM").alias("name"), F.dayofweek(d).alias("weekday")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.year(d).cast("long").alias("year"), F.month(d).cast("long").alias("month"), F.date_format(d, "MMMM").alias("name"), F.dayofweek(d).cast("long").alias("weekday")).agg(F.count("*").alias("n"))
 
 
 @BOOK.add("f28_fetch_gaps", f"WITH s AS (SELECT k, max(d) AS last FROM ({nav_sql('brand')}) WHERE k <> 'Brand#7' GROUP BY k), r AS (SELECT DISTINCT p_brand AS k FROM part) SELECT r.k, CASE WHEN s.last IS NULL THEN 'cold' WHEN DATE '2001-11-08' - s.last >= 5 THEN 'forward' ELSE 'none' END AS fetch FROM r LEFT JOIN s ON r.k = s.k")

@@ -151,7 +151,7 @@ def common_days(spark, sf_dir):
     return days.filter("l_returnflag = 'A'").select("d").intersect(days.filter("l_returnflag = 'R'").select("d"))
 
 
-_QUARTERS = "q AS (SELECT o_custkey % 50 AS k, date_trunc('quarter', o_orderdate)::DATE AS p, round(sum(o_totalprice), 2) AS sales, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 2) AS profit, count(DISTINCT o_orderpriority) * 5.0 AS promoter FROM orders GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p DESC) AS back FROM q)"
+_QUARTERS = "q AS (SELECT o_custkey % 50 AS k, date_trunc('quarter', o_orderdate)::DATE AS p, round(sum(o_totalprice), 2) AS sales, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 2) AS profit, count(DISTINCT o_orderpriority) * 5.0::DOUBLE AS promoter FROM orders GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p DESC) AS back FROM q)"
 
 
 def _growth_sql(c: str, n: int) -> str:

@@ -171,12 +171,12 @@ def _sales(spark, sf_dir):
 
 
 for _name, _how, _sql in (
-    ("j5_asof_backward", "backward", "SELECT t.k, t.d, t.qty, n.d AS matched, round(n.nav, 6) AS nav FROM t ASOF LEFT JOIN n ON t.k = n.k AND t.d >= n.d"),
-    ("j7_asof_forward", "forward", "SELECT t.k, t.d, t.qty, n.d AS matched, round(n.nav, 6) AS nav FROM t ASOF LEFT JOIN n ON t.k = n.k AND t.d <= n.d"),
+    ("j5_asof_backward", "backward", "SELECT t.k, t.d, t.qty, n.d AS matched, n.nav FROM t ASOF LEFT JOIN n ON t.k = n.k AND t.d >= n.d"),
+    ("j7_asof_forward", "forward", "SELECT t.k, t.d, t.qty, n.d AS matched, n.nav FROM t ASOF LEFT JOIN n ON t.k = n.k AND t.d <= n.d"),
     (
         "j6_asof_nearest",
         "nearest",
-        """SELECT k, d, qty, CASE WHEN fd IS NULL OR d - bd <= fd - d THEN bd ELSE fd END AS matched, round(CASE WHEN fd IS NULL OR d - bd <= fd - d THEN bn ELSE fn END, 6) AS nav
+        """SELECT k, d, qty, CASE WHEN fd IS NULL OR d - bd <= fd - d THEN bd ELSE fd END AS matched, CASE WHEN fd IS NULL OR d - bd <= fd - d THEN bn ELSE fn END AS nav
 FROM (SELECT b.*, n.d AS fd, n.nav AS fn FROM (SELECT t.*, n.d AS bd, n.nav AS bn FROM t ASOF LEFT JOIN n ON t.k = n.k AND t.d >= n.d) AS b ASOF LEFT JOIN n ON b.k = n.k AND b.d <= n.d)""",
     ),
 ):
@@ -184,7 +184,7 @@ FROM (SELECT b.*, n.d AS fd, n.nav AS fn FROM (SELECT t.*, n.d AS bd, n.nav AS b
     @BOOK.add(_name, f"WITH n AS (SELECT * FROM ({nav_sql('brand')}) WHERE day(d) % 5 = 0), t AS ({_SALES}) {_sql}", dates="d matched")
     def asof(spark, sf_dir, how=_how):
         sparse = nav(spark, sf_dir, "brand").filter(F.dayofmonth("d") % 5 == 0)
-        return ops.asof(_sales(spark, sf_dir), sparse, "nav", how).select("k", "d", "qty", "matched", F.round("nav", 6).alias("nav"))
+        return ops.asof(_sales(spark, sf_dir), sparse, "nav", how).select("k", "d", "qty", "matched", "nav")
 
 
 @BOOK.add(
@@ -236,7 +236,7 @@ def month_ends(spark, sf_dir):
 )
 def calendar_pivot(spark, sf_dir):
     rows = nav(spark, sf_dir, "region").withColumn("r", growth("nav"))
-    wide = rows.withColumn("m", F.month("d")).withColumn("year", F.year("d")).groupBy("k", "year").pivot("m", list(range(1, 13)))
+    wide = rows.withColumn("m", F.month("d")).withColumn("year", F.year("d").cast("long")).groupBy("k", "year").pivot("m", list(range(1, 13)))
     return wide.agg(F.round(F.avg("r"), 8)).select("k", "year", *(F.col(str(m)).alias(f"m{m}") for m in range(1, 13)))
 
 
