@@ -392,6 +392,28 @@ def test_near_duplicates(spark, docs, none, texts, monkeypatch, leaf, node):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_a_large_family_that_is_a_chain(spark):
+    """2,000 texts of one template at 0.7; each is linked to its two neighbours only, so no link may be missed by the exact join."""
+    rng = random.Random(3)
+    ids = rng.sample(range(2_000), 2_000)
+    template = [f"t{k}" for k in range(70)]
+    rows = [(i, " ".join([*template, *(f"w{7 * at + k}" for k in range(15))])) for at, i in enumerate(ids)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 1).collect()
+    assert len(got) == 2_000 and {r["component_id"] for r in got} == {0}
+
+
+def test_exact_links(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 7)
+    rng = random.Random(8)
+    sets = []
+    for i in range(150):
+        base = set(range(20)) if i % 2 else rng.choice(sets)[2] if sets else set(range(5))
+        sets.append((i, i % 40, {*rng.sample(sorted(base), len(base) - rng.randint(0, 2)), *rng.sample(range(20, 40), rng.randint(0, 3))}))
+    got = neardup.exact_links(spark.createDataFrame([(i, c, sorted(s)) for i, c, s in sets], "doc long, component long, shingles array<long>"), 80).collect()
+    want = [(a, b) for (a, x, s), (b, y, t) in itertools.combinations(sets, 2) if x != y and 100 * len(s & t) >= 80 * len(s | t)]
+    assert want and sorted(map(tuple, got)) == want
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 90), (90, 95), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in neardup.components(links).collect()}

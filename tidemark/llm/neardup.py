@@ -8,9 +8,16 @@ average, so that a pair at 0.8 lives on in one branch on average).  Nodes of at
 most ``LEAF`` classes are compared exhaustively, larger ones branch again: on
 Spark while they have more than ``NODE`` classes, then in a task's memory.
 Independent trees are repeated to raise recall; a node still too large after
-``DEPTH`` levels, as among thousands of mutual copies, is dealt out to pieces
-that share the node's first class.  The trees run in two rounds: nodes whose
-classes are all in one component after the first need no second look.
+``DEPTH`` levels, as among thousands of mutual copies, is first dealt out to
+pieces that share the node's first class, which joins most of such copies.  The
+trees run in two rounds: nodes whose classes are all in one component after the
+first need no second look.
+
+The classes of those too large nodes that still hold several components after
+both rounds are joined exactly: shingles are ordered rarest first, two classes
+meet if a shingle is in the prefix of both (the prefix of the smaller set being
+the shorter one), sizes and the places of the shingle leave room for enough
+common ones, and their components differ; each such pair is confirmed in full.
 
 Within a node, sketches only order and prefilter the pairs; each link is
 confirmed on full sets.  Pairs already in one component there are skipped, so
@@ -29,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.base import byte_slices, read, smallable, written
@@ -40,6 +47,8 @@ SKETCH, TREES, FIRST, DEPTH = 64, ((0, 1), (2, 3, 4, 5, 6, 7)), 2, 6
 #: Classes in a node that is compared, in a piece of a larger one, in a node that a task branches on in memory,
 #: and the estimate from which a pair is looked at (0.8 less 4.4 deviations).
 LEAF, PIECE, NODE, LOOK = 48, 256, 20_000, 0.58
+#: Rows of a shingle in one task of the exact join; a more frequent one is spread over several.
+HOT = 4_000
 
 _SALT = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTOR = mix(_SALT) | np.uint64(1)
@@ -128,20 +137,21 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(paths, batch, row)
 
 
-def _leaves_of(path: int, docs: np.ndarray, components: np.ndarray, sketch: np.ndarray) -> Iterator[np.ndarray]:
-    """Rows of the nodes to compare below one node, branching on in memory."""
+def _leaves_of(path: int, docs: np.ndarray, components: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
+    """Rows of the nodes to compare below one node, branching on in memory; True with those of too large nodes, for the exact join."""
     todo = [(np.uint64(path), np.arange(len(docs)), FIRST)]
     while todo:
         here, rows, level = todo.pop()
         if (components[rows] == components[rows[0]]).all():
             continue
         if len(rows) <= LEAF:
-            yield rows
+            yield rows, False
         elif level == DEPTH:
+            yield rows, True
             first = rows[docs[rows].argmin()]
             rows = rows[np.argsort(mix(docs[rows].view(np.uint64) ^ here))]
             for piece in np.array_split(rows, -(-len(rows) // PIECE)):
-                yield np.unique(np.r_[first, piece])
+                yield np.unique(np.r_[first, piece]), False
         else:
             paths, at = _branch(np.full(len(rows), here), sketch[rows])
             order = np.argsort(paths, kind="stable")
@@ -158,9 +168,9 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close():
         if held:
             docs, components = (np.concatenate([h[k] for h in held]) for k in (1, 2))
-            for rows in _leaves_of(held[0][0], docs, components, np.concatenate([h[3] for h in held])):
+            for rows, large in _leaves_of(held[0][0], docs, components, np.concatenate([h[3] for h in held])):
                 order = rows[np.argsort(docs[rows])]
-                out.append((int(mix(docs[order].view(np.uint64)).sum().view(np.int64)), docs[order], components[order]))
+                out.append((int(mix(docs[order].view(np.uint64)).sum().view(np.int64)), docs[order], components[order], large))
             held.clear()
 
     for batch in batches:
@@ -181,19 +191,19 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _leaf_batch(leaves: list[tuple]) -> pa.RecordBatch:
-    marks, docs, components = zip(*leaves, strict=True)
+    marks, docs, components, large = zip(*leaves, strict=True)
     lists = [pa.array(x, pa.list_(pa.int64())) for x in (docs, components)]
-    return pa.RecordBatch.from_arrays([pa.array([len(d) for d in docs], pa.int64()), pa.array(marks, pa.int64()), *lists], ["n", "mark", "docs", "components"])
+    return pa.RecordBatch.from_arrays([pa.array([len(d) for d in docs], pa.int64()), pa.array(marks, pa.int64()), *lists, pa.array(large)], ["n", "mark", "docs", "components", "large"])
 
 
 def _tree_nodes(classes: DataFrame, trees: tuple[int, ...]) -> DataFrame:
-    """(node, doc, component): the nodes to compare, of at least two components each; equal nodes once."""
+    """(node, doc, component, large): the nodes to compare, of at least two components each, and the large ones for the exact join; equal nodes once."""
     rows = written(classes.select("doc", "component", "sketch").mapInArrow(_roots(trees), _ROWS))
-    leaves, level = None, FIRST
+    leaves, wholes, level = None, None, FIRST
     while True:
         sizes = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("path", "n")
         sketched = rows.join(sizes.filter(F.col("n") <= NODE), "path").join(classes.select("doc", "sketch"), "doc").select("path", "doc", "component", "sketch")
-        some = sketched.repartition("path").sortWithinPartitions("path").mapInArrow(_leaves, "n long, mark long, docs array<long>, components array<long>")
+        some = sketched.repartition("path").sortWithinPartitions("path").mapInArrow(_leaves, "n long, mark long, docs array<long>, components array<long>, large boolean")
         leaves = some if leaves is None else leaves.unionByName(some)
         big = sizes.filter(F.col("n") > NODE)
         if big.isEmpty():
@@ -201,14 +211,17 @@ def _tree_nodes(classes: DataFrame, trees: tuple[int, ...]) -> DataFrame:
         large = rows.join(big, "path")
         if level < DEPTH:
             rows = written(large.join(classes.select("doc", "sketch"), "doc").select("path", "doc", "component", "sketch").mapInArrow(_children, _ROWS))
-        else:  # deals them out to pieces that a task can hold, each with the node's first class
+        else:  # deals them out to pieces that a task can hold, each with the node's first class; the exact join has the whole
+            if level == DEPTH:
+                wholes = large.select(F.col("path").alias("node"), "doc", "component", F.lit(True).alias("large"))
             parts = F.ceil(2 * F.col("n") / NODE)
             firsts = large.groupBy("path", "n").agg(F.min(F.struct("doc", "component")).alias("x")).select("path", "x.*", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("piece"))
             pieces = large.withColumn("piece", F.pmod(F.xxhash64("doc", "path"), parts)).select("path", "doc", "component", "piece").unionByName(firsts)
             rows = written(pieces.select(F.xxhash64("path", "piece").alias("path"), "doc", "component").distinct())
         level += 1
-    distinct = leaves.dropDuplicates(["n", "mark"])
-    return distinct.select(F.col("mark").alias("node"), F.explode(F.arrays_zip("docs", "components")).alias("x")).select("node", F.col("x.docs").alias("doc"), F.col("x.components").alias("component"))
+    distinct = leaves.dropDuplicates(["n", "mark", "large"])
+    nodes = distinct.select(F.col("mark").alias("node"), "large", F.explode(F.arrays_zip("docs", "components")).alias("x")).select("node", F.col("x.docs").alias("doc"), F.col("x.components").alias("component"), "large")
+    return nodes if wholes is None else nodes.unionByName(wholes)
 
 
 def _sets(n: int):
@@ -294,14 +307,54 @@ def components(links: DataFrame) -> DataFrame:
         edges = written(small.filter("u <> v").distinct())
 
 
-def _links(docs: DataFrame, classes: DataFrame, trees: tuple[int, ...], words: int, least: int) -> DataFrame:
-    """Confirmed links (a, b) between classes(doc, component, sketch), found by some trees."""
-    nodes = written(_tree_nodes(classes, trees))
-    needed = nodes.select("doc").distinct()
-    texts = docs.withColumnRenamed("doc_id", "doc").join(smallable(needed), "doc", "left_semi")
-    sets = texts.mapInArrow(_sets(words), "doc long, shingles array<long>")
+def _sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """doc and shingles of the classes in nodes."""
+    texts = docs.withColumnRenamed("doc_id", "doc").join(smallable(nodes.select("doc").distinct()), "doc", "left_semi")
+    return texts.mapInArrow(_sets(words), "doc long, shingles array<long>")
+
+
+def _links(docs: DataFrame, classes: DataFrame, trees: tuple[int, ...], words: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links (a, b) between classes(doc, component, sketch), found by some trees, and (node, doc) of the too large nodes."""
+    found = written(_tree_nodes(classes, trees))
+    nodes = found.filter("not large")
+    sets = _sets_of(docs, nodes, words)
     compared = nodes.join(sets, "doc").select("node", "doc", "component", "shingles").repartition("node").sortWithinPartitions("node", "doc")
-    return written(compared.mapInArrow(_compare(least), "a long, b long"))
+    return written(compared.mapInArrow(_compare(least), "a long, b long")), found.filter("large").select("node", "doc")
+
+
+def exact_links(sets: DataFrame, least: int) -> DataFrame:
+    """Every link (a, b) between rows of different components of sets(doc, component, shingles), whose shingles are distinct."""
+    n = F.size("shingles").cast("long")
+    each = sets.select("doc", "component", n.alias("n"), F.explode("shingles").alias("shingle"))
+    frequency = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("rows"))
+    placed = each.join(frequency, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("doc").orderBy("rows", "shingle")) - 1)
+    # A set of n shares at least n * least / 100 with any that it is linked to, and n * 2 * least / (100 + least) with a larger one.
+    prefix = placed.filter((F.col("rows") > 1) & (100 * (F.col("n") - F.col("place")) >= least * F.col("n")))
+    prefix = written(prefix.select("doc", "component", "n", "shingle", "place"))
+    held = prefix.groupBy("shingle").agg(F.mode("component", True).alias("most"), F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / HOT).alias("parts"))
+    rows = prefix.join(held.filter("low <> high").drop("low", "high"), "shingle").withColumn("other", F.col("component") != F.col("most")).drop("most")
+    short = rows.filter((100 + least) * (F.col("n") - F.col("place")) >= 2 * least * F.col("n")).withColumn("part", F.pmod(F.xxhash64("doc"), "parts")).drop("parts")
+    long = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    room = F.least(F.col("s.n") - F.col("s.place"), F.col("l.n") - F.col("l.place"))
+    meets = (F.col("s.shingle") == F.col("l.shingle")) & (F.col("s.part") == F.col("l.part")) & (F.col("s.component") != F.col("l.component"))
+    fits = (F.col("s.n") <= F.col("l.n")) & (100 * F.col("s.n") >= least * F.col("l.n")) & ((100 + least) * room >= least * (F.col("s.n") + F.col("l.n")))
+    pair = lambda s, l: s.alias("s").join(l.alias("l"), meets & fits).select(F.col("s.doc").alias("a"), F.col("l.doc").alias("b"))  # noqa: E731, E741
+    # Two rows of a shingle's most frequent component need no look, so that its rows meet the others only.
+    pairs = pair(short.filter("other"), long).unionByName(pair(short.filter("not other"), long.filter("other")))
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    of = lambda side: sets.select(F.col("doc").alias(side), F.col("shingles").alias(f"of_{side}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("both", F.size(F.array_intersect("of_a", "of_b")).cast("long"))
+    return both.filter(100 * F.col("both") >= least * (F.size("of_a") + F.size("of_b") - F.col("both"))).select("a", "b")
+
+
+def _rest_links(docs: DataFrame, large: DataFrame, labels: DataFrame, words: int, least: int) -> DataFrame | None:
+    """Exact links among the classes of large(node, doc) whose node still holds several components, if there are any."""
+    named = large.join(labels, large["doc"] == labels["node"], "left").select(large["node"], "doc", F.coalesce("component", "doc").alias("component"))
+    open_nodes = named.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("node")
+    rest = written(named.join(open_nodes, "node").select("doc", "component").distinct())
+    if rest.isEmpty():
+        return None
+    return written(exact_links(written(_sets_of(docs, rest, words).join(rest, "doc").dropDuplicates(["doc"])), least))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, least: int = 80) -> DataFrame:
@@ -310,12 +363,15 @@ def near_duplicates(docs: DataFrame, words: int = 4, least: int = 80) -> DataFra
     found = written(docs.mapInArrow(_profiles(words), "doc_id long, n_shingles long, sum_a long, sum_b long, sketch binary"))
     mark = ("n_shingles", "sum_a", "sum_b")
     classes = written(found.filter("n_shingles > 0 and doc_id is not null").groupBy(*mark).agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch")))
-    links, labels = None, None
+    links, labels, large = None, None, None
     for trees in TREES:
         named = classes.withColumn("component", F.col("doc")) if labels is None else classes.join(labels, classes["doc"] == labels["node"], "left").withColumn("component", F.coalesce("component", "doc"))
-        more = _links(docs, named, trees, words, least)
-        links = more if links is None else links.unionByName(more)
+        more, wide = _links(docs, named, trees, words, least)
+        links, large = (more, wide) if links is None else (links.unionByName(more), large.unionByName(wide.withColumn("node", F.xxhash64("node"))))
         labels = components(links)
+    rest = _rest_links(docs, large, labels, words, least)
+    if rest is not None:
+        labels = components(links.unionByName(rest))
     named = classes.join(labels, classes["doc"] == labels["node"], "left").select(*mark, F.coalesce("component", "doc").alias("component_id"))
     of_rows = found.drop("sketch").join(named, list(mark), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
