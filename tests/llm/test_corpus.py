@@ -91,6 +91,17 @@ def test_classifiers_learn_from_training_rows_only(spark):
         assert sum(right) / len(right) > 0.95
 
 
+def test_toxicity_keeps_words_seen_once(spark):
+    """A word that stands once in all training rows has its class's likelihood; one never seen has that of its known prefix, here none."""
+    ids = [i for i in range(1_000) if zlib.crc32(str(i).encode()) % 5 != 0 and zlib.crc32(str(i).encode()) % 10 != 1][:40]
+    unused = [i for i in range(1_000) if zlib.crc32(str(i).encode()) % 5 == 0][:2]
+    rows = [(i, "same words here") for i in ids[1:]] + [(ids[0], "same words here xqzv")] + [(unused[0], "xqzv"), (unused[1], "\u00fcjw")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k % 4 == 0)) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["word"] for r in toxicity.toxicity(docs, labels).collect()}
+    assert got[unused[0]] > 0.5 and got[unused[1]] == 0
+
+
 def test_dual_descent_meets_the_dual_conditions():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(60, 4))
