@@ -66,14 +66,14 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(smallable(ids), "doc_id", "left_anti").select(*docs.columns)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton's method; the last is the intercept."""
-    x = np.c_[x, np.ones(len(x))]
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, weight: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a ridge logistic regression of weighted rows by Newton's method; the last is the intercept."""
+    x, own = np.c_[x, np.ones(len(x))], np.ones(len(x)) if weight is None else weight
     keep = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + keep, x.T @ (p - y) + keep @ w)
+        step = np.linalg.solve((x * (own * p * (1 - p) + 1e-9)[:, None]).T @ x + keep, x.T @ (own * (p - y)) + keep @ w)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break

@@ -33,6 +33,13 @@ _KINDS = {"space": np.ones(256, bool), "alnum": np.zeros(256, bool)}
 _KINDS["space"][[9, 10, 11, 12, 13, 32]] = False
 _KINDS["alnum"][[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z as a-z."""
+    return _LOWER[data]
+
+
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -87,15 +94,9 @@ class Words:
         before[edges[edges < len(data)]] = False
         after[edges[edges > 0] - 1] = False
         self.starts, self.ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-        self._of = Spans(data).hashes
-        self.hashes = self._of(self.starts, self.ends)
+        self.hashes = Spans(data).hashes(self.starts, self.ends)
         self.rows = np.searchsorted(offsets, self.starts, side="right") - 1
 
-    def prefixes(self, which: np.ndarray, length: int) -> np.ndarray:
-        """Hashes of the first ``length`` bytes of some words (0: whole words); shorter words count whole."""
-        starts, ends = self.starts[which], self.ends[which]
-        return self._of(starts, np.minimum(starts + length, ends) if length else ends)
-
 
 def hashed_words(texts: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, start byte, end byte) of every word of every text, in order."""
