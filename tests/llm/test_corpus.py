@@ -91,15 +91,113 @@ def test_classifiers_learn_from_training_rows_only(spark):
         assert sum(right) / len(right) > 0.95
 
 
-def test_toxicity_keeps_words_seen_once(spark):
-    """A word that stands once in all training rows has its class's likelihood; one never seen has that of its known prefix, here none."""
-    ids = [i for i in range(1_000) if zlib.crc32(str(i).encode()) % 5 != 0 and zlib.crc32(str(i).encode()) % 10 != 1][:40]
-    unused = [i for i in range(1_000) if zlib.crc32(str(i).encode()) % 5 == 0][:2]
-    rows = [(i, "same words here") for i in ids[1:]] + [(ids[0], "same words here xqzv")] + [(unused[0], "xqzv"), (unused[1], "\u00fcjw")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(k % 4 == 0)) for k, i in enumerate(ids)], "doc_id long, toxic int")
-    got = {r["doc_id"]: r["word"] for r in toxicity.toxicity(docs, labels).collect()}
-    assert got[unused[0]] > 0.5 and got[unused[1]] == 0
+def brute_steps(rows):
+    """Kneser-Ney steps of every beginning of rows (text, toxic) over plain dictionaries, and what is left for unseen symbols."""
+    counts = collections.defaultdict(lambda: [0, 0])
+    for text, bad in rows:
+        for word in words(text):
+            spelt = "^" + word + "$"
+            for k in range(2, min(len(spelt), toxicity.ORDER + 1) + 1):
+                counts[spelt[:k]][bad] += 1
+    grams = {n: collections.Counter() for n in range(1, toxicity.LOWER + 1)}
+    tails = {g: g[1:][-toxicity.LOWER :] for g in counts}
+    for n in range(toxicity.LOWER, 0, -1):
+        for t in tails.values():
+            if len(t) == n:
+                grams[n][t] += 1
+        if n < toxicity.LOWER:
+            for g in grams[n + 1]:
+                grams[n][g[1:]] += 1
+
+    def discount(one, two):
+        return one / (one + 2 * two) if one else 0.5
+
+    likely = {}
+    for n in range(1, toxicity.LOWER + 1):
+        values = list(grams[n].values())
+        cut = discount(values.count(1), values.count(2))
+        for g, c in grams[n].items():
+            same = [x for h, x in grams[n].items() if h[:-1] == g[:-1]]
+            lower = likely[g[1:]] if n > 1 else 1 / (len(grams[1]) + 1)
+            likely[g] = (c - cut) / sum(same) + cut * len(same) / sum(same) * lower
+    cuts = []
+    for c in (0, 1):
+        n = [max(sum(v[c] == k for v in counts.values()), 1) for k in (1, 2, 3, 4)]
+        y = discount(n[0], n[1])
+        cuts.append([0, *(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1 * k), 0.9 * k) for k in (1, 2, 3))])
+    after = collections.defaultdict(list)
+    for g, v in counts.items():
+        after[g[:-1]].append(v)
+    left, out = {}, {}
+    for parent, some in after.items():
+        free = [sum(cuts[c][min(v[c], 3)] for v in some) / n if (n := sum(v[c] for v in some)) else 1.0 for c in (0, 1)]
+        left[parent] = (free, [sum(v[c] for v in some) for c in (0, 1)])
+    for g, v in counts.items():
+        free, total = left[g[:-1]]
+        p = [(v[c] - cuts[c][min(v[c], 3)]) / max(total[c], 1) + free[c] * likely[tails[g]] for c in (0, 1)]
+        out[g] = math.log(p[1]) - math.log(p[0])
+    return out, {g: math.log(free[1] / free[0]) for g, (free, _) in left.items()}
+
+
+@pytest.mark.parametrize("part", [2_000_000, 300])
+def test_toxicity_is_kneser_ney(spark, texts, monkeypatch, part):
+    monkeypatch.setattr(toxicity, "PART", part)
+    rng = random.Random(4)
+    some = ["ärger", "abcdefghijklmnop", "abd", "ab", "xyz", "日本"]
+    rows = [(t, rng.random() < 0.3) for _, t in texts[:60]] + [(" ".join(rng.choice(some) for _ in range(9)), k % 2 == 0) for k in range(30)] + [(None, True), ("", False)]
+    table = toxicity.steps(toxicity.count(spark.createDataFrame(rows, "text string, toxic boolean").repartition(3)))
+    want, left = brute_steps(rows)
+    got = {r["gram"]: (r["step"], r["left"]) for r in table.collect()}
+    assert got.keys() == want.keys() | {"^"}
+    for g, step in want.items():
+        assert got[g] == pytest.approx((step, left.get(g, 0.0)), abs=1e-9)
+
+    def value(word):
+        total, spelt = 0.0, "^" + word + "$"
+        for k in range(2, min(len(spelt), toxicity.ORDER + 1) + 1):
+            if spelt[:k] not in want:
+                return total + left[spelt[: k - 1]]
+            total += want[spelt[:k]]
+        return total
+
+    asked = [*texts[50:80], *texts[-12:], (7, "abcdefghijklmnoq"), (7, "abcdefghijklmnoq"), (8, "zzz")]
+    found = toxicity.features(spark.createDataFrame(asked, "doc_id long, text string"), table).collect()
+    expected = []
+    for i, t in asked:
+        values = [value(w) for w in words(t)]
+        expected.append((i or 0, max(values, default=0.0), sum(values) / len(values) if values else 0.0, math.log1p(len(values))))
+    for mine, theirs in zip(sorted((r["doc_id"] or 0, r["peak"], r["mean"], r["length"]) for r in found), sorted(expected), strict=True):
+        assert mine == pytest.approx(theirs, abs=1e-4)
+
+
+def test_quality_sample_passes_over_what_does_not_fit(spark, monkeypatch):
+    """A row beyond the bound is passed over and the next ones are taken; a row that repeats counts once."""
+    monkeypatch.setattr(quality, "SAMPLE_INDICATORS", 2_000)
+    rng = random.Random(2)
+    huge = " ".join(str(rng.random()) for _ in range(3_000))
+    rows = [(f"some words {i}", i % 2, i) for i in range(40)] + [(huge, 1, -5), *[("again and again", 0, 90)] * 500]
+    sample = quality._sample(spark.createDataFrame(rows, "text string, good int, turn long").repartition(3))
+    assert sample.num_rows == 41 and max(map(len, sample.column("buckets").to_pylist())) < 2_000
+    assert quality._sample(spark.createDataFrame([], "text string, good int, turn long")).num_rows == 0
+
+
+def test_quality_scales_indicators_by_the_ratio_of_class_counts(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(4)), rng.randrange(2)) for i in range(80)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    crc = lambda i: zlib.crc32(str(i).encode())
+    from pyspark.sql import functions as F
+
+    model = quality.fit(docs, labels, F.col("crc") % 4 != 2, F.col("crc") % 16 == 3)
+    import pyarrow as pa
+
+    counts = np.ones((2, quality.BUCKETS))
+    for i, t, good in rows:
+        if crc(i) % 4 != 2 and crc(i) % 16 != 3:
+            counts[good][quality.indicators(pa.array([t]))[1]] += 1
+    want = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    assert np.abs(model.ratios - want).max() < 1e-12
 
 
 def test_dual_descent_meets_the_dual_conditions():
@@ -216,7 +314,10 @@ def brute_leaks(docs, items, threshold):
     return found
 
 
-def test_decontamination(spark, docs, none, texts):
+@pytest.mark.parametrize("most", [20_000, 9])
+def test_decontamination(spark, docs, none, texts, monkeypatch, most):
+    """One index and several parts find the same."""
+    monkeypatch.setattr(decontam, "ITEMS", most)
     rng = random.Random(9)
     items = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(5, 30)))) for i in range(60)] + [(60, texts[5][1]), (61, texts[5][1]), (62, "a b c d e f")]
     leaked = [(700 + k, texts[k][1] + " " + items[k][1].upper() + ". " + texts[k + 9][1]) for k in range(20)]

@@ -19,7 +19,8 @@ A match is then verified: the item's words are split into question and answer
 ``RUN`` words.
 
 The index of ``ITEMS`` items is broadcast, so its size is bounded; larger item
-tables are searched part by part.
+tables are searched part by part.  Document frequencies, the mean length and the
+window are those of all items, so parts find what one index would.
 
 Defined results: null or empty texts have no window, items without words match
 nothing; repeated rows each match; equal items all match; a null id is carried.
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import byte_slices, read
+from tidemark.llm.base import byte_slices, read, written
 from tidemark.llm.wordhash import Words, chained
 
 #: Least share of an item's own score, and least overlaps of question and answer.
@@ -51,6 +52,17 @@ def _runs(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(chained(words, n)) if n else words
 
 
+@dataclass
+class Stats:
+    """Of all items: their number, mean and largest number of words, and in how many of them each of some words (ascending) stands."""
+
+    items: int
+    mean: float
+    longest: int
+    words: np.ndarray
+    frequency: np.ndarray
+
+
 @dataclass
 class Index:
     """Posting lists of words over items, their block maxima, and what verification needs."""
@@ -70,16 +82,16 @@ class Index:
     runs: list[tuple[np.ndarray, np.ndarray, int, int]]
 
     @classmethod
-    def build(cls, ids: np.ndarray, texts: pa.Array) -> Index:
+    def build(cls, ids: np.ndarray, texts: pa.Array, stats: Stats) -> Index:
         words = Words(texts, "alnum")
         n = len(ids)
         sizes = np.bincount(words.rows, minlength=n)
         terms, at = np.unique(words.hashes, return_inverse=True)
         pairs, tf = np.unique(at * n + words.rows, return_counts=True)
         term, item = pairs // n, pairs % n
-        df = np.bincount(term, minlength=len(terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] * n / max(sizes.sum(), 1)))
+        df = stats.frequency[np.searchsorted(stats.words, terms)]
+        idf = np.log1p((stats.items - df + 0.5) / (df + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] / stats.mean))
         impact /= np.bincount(item, impact, n)[item]
         begin = np.searchsorted(term, np.arange(len(terms) + 1))
         rest, essential = np.zeros(n), np.ones(len(terms), bool)
@@ -101,7 +113,7 @@ class Index:
             own = words.hashes[ends[k] : ends[k + 1]]
             cut = len(own) - max(1, round(ANSWER * len(own))) if len(own) > 1 else len(own)
             runs.append((_runs(own[:cut], RUN), _runs(own[cut:], RUN), min(RUN, cut), min(RUN, len(own) - cut)))
-        return cls(ids, terms, essential, begin, item, impact, np.searchsorted(keys // blocks, np.arange(len(terms) + 1)), keys % blocks, peak, rest, block_rest, int(max(8, sizes.max(initial=0))), runs)
+        return cls(ids, terms, essential, begin, item, impact, np.searchsorted(keys // blocks, np.arange(len(terms) + 1)), keys % blocks, peak, rest, block_rest, max(8, stats.longest), runs)
 
     @staticmethod
     def _spread(begin: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,16 +172,38 @@ class Index:
         return out
 
 
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, text) to (part, word, items, words, longest): in how many of some items each word stands; word null: the items themselves."""
+    names = ["part", "word", "items", "words", "longest"]
+    for batch in batches:
+        for a, b in byte_slices(batch.column("text")):
+            words, part = Words(batch.column("text").slice(a, b - a), "alnum"), batch.column("part").slice(a, b - a)
+            pairs = np.unique(np.rec.fromarrays([words.hashes.view(np.int64), words.rows]))
+            counts = np.bincount(words.rows, minlength=b - a)
+            ones = pa.array(np.ones(len(pairs), np.int64))
+            yield pa.RecordBatch.from_arrays([part.take(pa.array(pairs.f1)), pa.array(pairs.f0), ones, *[pa.nulls(len(pairs), pa.int64())] * 2], names)
+            yield pa.RecordBatch.from_arrays([part, pa.nulls(b - a, pa.int64()), pa.array(np.ones(b - a, np.int64)), pa.array(counts), pa.array(counts)], names)
+
+
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of docs(doc_id, text) and items(item_id, text): doc_id, item_id, first_word, score, question, answer."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(1, -(-items.count() // ITEMS))
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int").alias("part"))
+    counts = items.select("part", "text").mapInArrow(_item_words, "part int, word long, items long, words long, longest long")
+    counts = written(counts.groupBy("part", "word").agg(F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest")))
+    total = counts.filter("word is null").agg(F.sum("items"), F.sum("words"), F.max("longest")).first()
+    frequency = written(counts.filter("word is not null").groupBy("word").agg(F.sum("items").alias("items")))
     found = None
     for k in range(parts):
-        some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toArrow().combine_chunks()
+        some = items.filter(F.col("part") == k).select("item_id", "text").orderBy("item_id", "text").toArrow().combine_chunks()
         texts = some.column(1).combine_chunks() if some.num_rows else pa.array([], pa.string())
-        held = spark.sparkContext.broadcast(Index.build(some.column(0).to_numpy() if some.num_rows else np.zeros(0), texts))
+        mine = frequency.join(counts.filter(F.col("part") == k).select("word"), "word", "left_semi").toArrow()
+        word, df = mine.column("word").to_numpy().view(np.uint64), mine.column("items").to_numpy()
+        order = np.argsort(word)
+        stats = Stats(total[0] or 0, max((total[1] or 0) / max(total[0] or 0, 1), 1e-9), total[2] or 0, word[order], df[order])
+        held = spark.sparkContext.broadcast(Index.build(some.column(0).to_numpy() if some.num_rows else np.zeros(0), texts, stats))
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = held.value

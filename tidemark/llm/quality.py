@@ -5,9 +5,10 @@ its pairs of neighbouring words, and the n-grams of its shape (runs of letters,
 digits, spaces and each punctuation mark).  Indicators are scaled by the log
 ratio of their class counts, which Spark gathers over every training row, and
 brought to length 1.  A linear hinge-loss model is then fitted by dual
-coordinate descent on a bounded sample, ``SAMPLE_ROWS`` rows of at most
-``SAMPLE_BYTES`` together, and a logistic curve on rows kept apart turns its
-margin into a probability.
+coordinate descent on a bounded sample of distinct rows, ``SAMPLE_ROWS`` of at
+most ``SAMPLE_INDICATORS`` together (in the order of a hash; a row that would
+not fit is passed over and the next one tried), and a logistic curve on rows
+kept apart turns its margin into a probability.
 
 Defined results: null and empty texts have no indicators, so their margin is
 the bias; repeated rows repeat; a null id is not held out and has no label;
@@ -24,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import byte_slices, crc_of_id, logistic, read, smallable
+from tidemark.llm.base import byte_slices, crc_of_id, logistic, read, smallable, written
 from tidemark.llm.wordhash import Words, chained, flat, mix
 
 #: Hash buckets of indicators, runs in an n-gram of the shape, and bounds of what is fitted in one place.
-BUCKETS, SHAPE_RUNS, SAMPLE_ROWS, SAMPLE_BYTES, CALIBRATION_ROWS = 1 << 18, 5, 8_000, 48 << 20, 20_000
+BUCKETS, SHAPE_RUNS, SAMPLE_ROWS, SAMPLE_INDICATORS, CALIBRATION_ROWS = 1 << 18, 5, 8_000, 16_000_000, 20_000
 #: Added to class counts; cost of a margin error; passes of the descent.
 SMOOTHING, COST, PASSES = 1.0, 1.0, 12
 
@@ -104,7 +105,23 @@ def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, buckets = indicators(texts.slice(a, b - a))
             ends = np.searchsorted(rows, np.arange(b - a + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(buckets.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([lists, batch.column(1).slice(a, b - a)], ["buckets", "good"])
+            yield pa.RecordBatch.from_arrays([lists, *(batch.column(c).slice(a, b - a) for c in ("good", "turn"))], ["buckets", "good", "turn"])
+
+
+def _sample(rows: DataFrame) -> pa.Table:
+    """buckets and good of the distinct rows(text, good, turn) that the descent sees."""
+    turns = rows.select("turn").distinct().orderBy("turn").limit(SAMPLE_ROWS).toArrow().column(0).to_numpy()
+    if not len(turns):
+        return pa.table({"buckets": pa.array([], pa.list_(pa.int32())), "good": pa.array([], pa.int32())})
+    some = rows.filter(F.col("turn") <= int(turns[-1])).select("text", "good", "turn").mapInArrow(_rows_of, "buckets array<int>, good int, turn long")
+    some = written(some.dropDuplicates(["turn"]))
+    left, taken = SAMPLE_INDICATORS, []
+    for turn, n in zip(*(c.to_pylist() for c in some.select("turn", F.size("buckets")).orderBy("turn").toArrow().columns), strict=True):
+        if n <= left:
+            left -= n
+            taken.append((turn,))
+    chosen = rows.sparkSession.createDataFrame(taken, "turn long")
+    return some.join(F.broadcast(chosen), "turn", "left_semi").orderBy("turn").select("buckets", "good").toArrow()
 
 
 def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, width: int, seed: int = 7) -> np.ndarray:
@@ -130,21 +147,18 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, calibrate: Column) ->
     """
     marks = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("good"))
     marks = marks.withColumn("crc", crc_of_id("doc_id")).filter(train)
-    rows = docs.select("doc_id", "text").join(smallable(marks), "doc_id").select("text", "good", "crc", F.xxhash64("doc_id").alias("turn"))
+    rows = docs.select("doc_id", "text").join(smallable(marks), "doc_id").select("text", "good", "crc", F.xxhash64("doc_id", "text").alias("turn"))
     fitted = rows.filter(~calibrate)
     found = fitted.select("text", "good").mapInArrow(_class_counts, "bucket long, bad long, good long").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow().to_pandas()
     counts = np.full((2, BUCKETS), SMOOTHING)
     for c, name in enumerate(("bad", "good")):
         counts[c, found["bucket"].to_numpy(int)] += found[name].to_numpy(float)
     ratios = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    sizes = fitted.select("turn", F.octet_length("text").alias("bytes")).orderBy("turn").limit(SAMPLE_ROWS).toArrow().to_pandas()
-    inside = sizes[sizes["bytes"].fillna(0).cumsum() <= SAMPLE_BYTES]
     model = Model(ratios, np.zeros(BUCKETS))
-    if len(inside):
-        sample = fitted.filter(F.col("turn") <= int(inside["turn"].iloc[-1])).select("text", "good").mapInArrow(_rows_of, "buckets array<int>, good int").toArrow()
-        buckets = [np.asarray(x) for chunk in sample.column(0).chunks for x in np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy(zero_copy_only=False))[:-1])]
-        good = sample.column(1).to_numpy()
-    if not len(inside) or good.min() == good.max():
+    sample = _sample(fitted)
+    buckets = [np.asarray(x) for chunk in sample.column(0).chunks for x in np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy(zero_copy_only=False))[:-1])]
+    good = sample.column(1).to_numpy()
+    if not len(good) or good.min() == good.max():
         share = marks.agg(F.sum("good"), F.count("*")).first()
         p = ((share[0] or 0) + 0.5) / (share[1] + 1)
         model.curve = (0.0, float(np.log(p / (1 - p))))
