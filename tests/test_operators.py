@@ -139,11 +139,17 @@ def test_latest_takes_a_missing_day_as_last(spark):
 
 
 def test_glitches_and_scale_breaks(spark):
-    values = [10.0, 10.1, 31.0, 10.2, 10.3, 103.2, 103.5]
-    nav = spark.createDataFrame([("A", D(i + 1), v) for i, v in enumerate(values)], NAV)
-    assert [r["d"] for r in quality.glitches(nav).collect()] == [D(3)]
+    steady = [10.0 + i / 100 for i in range(400)]
+    values = steady[:100] + [31.0] + steady[101:200] + [10 * v for v in steady[200:]]
+    day = lambda i: dt.date(2020, 1, 1) + dt.timedelta(days=i)
+    nav = spark.createDataFrame([("A", day(i), v) for i, v in enumerate(values)], NAV)
+    assert [r["d"] for r in quality.glitches(nav).collect()] == [day(100)]
     fixed = quality.rescaled(quality.without_glitches(nav)).orderBy("d").collect()
-    assert [r["nav"] for r in fixed] == pytest.approx([100.0, 101.0, 102.0, 103.0, 103.2, 103.5])
+    assert [r["nav"] for r in fixed] == pytest.approx([10 * v for i, v in enumerate(steady) if i != 100])
+    splits = {"down": [10 * v for v in steady[:200]] + steady[200:], "short": [1.0] * 10 + [10.0] * 10, "A Segregated Fund": values, "wild": [v * 10 ** (i // 200) * (1 + i / 100) for i, v in enumerate(steady)]}
+    rows = spark.createDataFrame([(k, day(i), v) for k, vs in splits.items() for i, v in enumerate(vs)], NAV)
+    assert {r["k"] for r in quality.scale_breaks(rows).collect()} == {"wild"}
+    assert {(r["k"], r["d"], r["nav"]) for r in quality.rescaled(rows).collect()} == {(r["k"], r["d"], r["nav"]) for r in rows.collect()}
 
 
 def test_metrics_need_a_year_and_share_one_exchange(spark):
@@ -179,14 +185,20 @@ def test_dates_and_numbers_that_do_not_fit_are_null(spark):
 
 
 def test_names(spark):
-    names = ["Alpha Fund - Direct Plan - Growth", "Direct", "Beta (G) Fund", "Gamma Fund Regular IDCW Payout"]
+    names = ["Alpha Fund - Direct Plan - Growth", "Direct", "Beta (G) Fund", "Gamma Fund Regular IDCW Payout", "Axis Growth Opportunities Fund", "Delta Fund (Regular Plan)Growth Option", "Eta Fund - Income Distribution cum Capital Withdrawal"]
     rows = spark.createDataFrame([(n,) for n in names], "name string").select(text.short_name("name").alias("s"), text.plan_of("name").alias("p"), text.option_of("name").alias("o"), text.slug("name").alias("g")).collect()
-    assert [r["s"] for r in rows] == ["Alpha Fund", "Direct", "Beta (G) Fund", "Gamma Fund"]
-    assert [r["p"] for r in rows] == ["Direct", "Direct", None, "Regular"]
-    assert [r["o"] for r in rows] == ["Growth", "Other", "Other", "IDCW"]
+    assert [r["s"] for r in rows] == ["Alpha Fund", "Direct", "Beta (G) Fund", "Gamma Fund", "Axis Growth Opportunities Fund", "Delta Fund", "Eta Fund - Income Distribution cum Capital Withdrawal"]
+    assert [r["p"] for r in rows] == ["Direct", "Direct", None, "Regular", None, "Regular", None]
+    assert [r["o"] for r in rows] == ["Growth", "Other", "Other", "IDCW", "Other", "Growth", "IDCW"]
     assert rows[0]["g"] == "alpha-fund-direct-plan-growth" and rows[2]["g"] == "beta-g-fund"
 
 
+def test_stems_of_one_scheme_are_equal(spark):
+    same = ["Invesco India Arbitrage Fund - Regular Plan - Growth Option", "Invesco India Arbitrage Fund - Regular - Growth", "Invesco India Arbitrage Fund - Direct Growth", "Invesco India Arbitrage Fund(Regular Plan)Growth Option", "Invesco India Arbitrage Fund Half Yearly Payout"]
+    got = {r["s"] for r in spark.createDataFrame([(n,) for n in same], "name string").select(text.stem("name").alias("s")).collect()}
+    assert got == {"invescoindiaarbitragefund"}
+
+
 def test_alpha_class_of_missing_and_nan(spark):
     rows = spark.createDataFrame([(1.0, 2.0), (1.0, 0.5), (-1.0, 2.0), (-1.0, 0.5), (None, 1.0), (float("nan"), 1.0)], "a double, b double")
     got = [r["c"] for r in rows.select(text.alpha_class("a", "b").alias("c")).collect()]

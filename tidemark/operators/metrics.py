@@ -43,7 +43,7 @@ def marked(nav: DataFrame) -> DataFrame:
     rows = nav.withColumn("r", growth("nav")).withColumn("back", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("d"))))
     sound = F.when(F.abs("r") <= 1, F.col("r"))
     later = F.count(sound).over(w.rowsBetween(1, Window.unboundedFollowing))
-    rows = rows.withColumn("all_r", sound).withColumn("q", F.when(later < YEAR, sound))
+    rows = rows.withColumn("all_r", sound).withColumn("q", F.when(later < YEAR, sound)).withColumn("q3", F.when(later < 3 * YEAR, sound))
     rows = rows.withColumns({f"g{y}": annual_growth("nav", YEAR * y) for y in (1, 3, 5)})
     grown = F.sum(F.log1p("q")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     every = F.sum(F.log1p("all_r")).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -57,18 +57,20 @@ def scheme_metrics(nav: DataFrame) -> DataFrame:
     rows = rows.withColumn("dd", F.col("grown") / F.greatest(F.lit(1.0), F.max("grown").over(w)) - 1).withColumn("dd_all", F.col("every") / F.greatest(F.lit(1.0), F.max("every").over(w)) - 1)
     q, daily = F.col("q"), (1 + RISK_FREE / YEAR) ** (1 / YEAR) - 1
     mean, deviation, n = F.avg("q"), F.stddev_samp("q"), F.count("q")
-    low = F.avg(F.when(q.isNotNull(), F.pow(F.least(q - daily, F.lit(0.0)), 2)))
+    below = lambda c: F.avg(F.when(F.col(c).isNotNull(), F.pow(F.least(F.col(c) - daily, F.lit(0.0)), 2)))
+    ratio = lambda c, risk: F.try_divide(F.avg(c) - daily, risk) * ROOT
     win, loss = F.avg(F.when(q > 0, q)), F.avg(F.when(q < 0, q))
     payoff = F.abs(F.try_divide(win, loss))
     wins = F.try_divide(F.count_if(q > 0), F.count_if(q != 0))
     total = F.exp(F.sum(F.log1p("q"))) - 1
     worst = F.min("dd")
     return rows.groupBy("k").agg(
-        *(_cagr(y).alias(f"cagr_{y}y") for y in (1, 3, 5)),
+        *(_cagr(y).alias(f"cagr_{y}y") for y in (1, 3, 5, 10)),
         (deviation * ROOT).alias("vol_1y"),
         F.when(F.count_if(q < 0) >= 2, F.stddev_samp(F.when(q < 0, q)) * ROOT).alias("downside_vol_1y"),
-        (F.try_divide(mean - daily, deviation) * ROOT).alias("sharpe_1y"),
-        (F.try_divide(mean - daily, F.sqrt(low)) * ROOT).alias("sortino_1y"),
+        *(ratio(c, F.stddev_samp(c)).alias(f"sharpe_{y}y") for y, c in ((1, "q"), (3, "q3"))),
+        *(ratio(c, F.sqrt(below(c))).alias(f"sortino_{y}y") for y, c in ((1, "q"), (3, "q3"))),
+        (F.stddev_samp("q3") * ROOT).alias("vol_3y"),
         F.try_divide(F.pow(1 + total, YEAR / n) - 1, F.abs(worst)).alias("calmar_1y"),
         F.try_divide(F.sum("q"), F.abs(F.sum(F.when(q < 0, q)))).alias("gain_to_pain_1y"),
         worst.alias("max_dd_1y"),

@@ -39,10 +39,27 @@ def full_window(value: Column, n: int, counted: str, key: str = "k", day: str =
 
 def densify(series: DataFrame, key: str = "k", day: str = "d") -> DataFrame:
     """Every key on every day that any key has; missing values are NULL."""
-    spine = series.select(day).distinct().crossJoin(F.broadcast(series.select(key).distinct()))  # days by keys is the result's size
+    spine = series.select(day).distinct().crossJoin(series.select(key).distinct())  # days by keys is the result's size; Spark broadcasts a side by its size only
     return spine.join(series, [key, day], "left")
 
 
+def weekly(series: DataFrame, value: str = "nav", key: str = "k", day: str = "d") -> DataFrame:
+    """The last value of each week on its own day."""
+    return series.groupBy(key, F.trunc(day, "week").alias("_week")).agg(F.max(day).alias(day), F.max_by(value, day).alias(value)).select(key, day, value)
+
+
+def densities(rows: DataFrame, value: str, low: float, high: float, points: int, key: str = "k", least: int = 50) -> DataFrame:
+    """k, i, density: each key's Gaussian density with Silverman's bandwidth on an even grid; keys of few or equal values have none.
+    """
+    held = rows.filter(F.col(value).isNotNull()).select(key, F.col(value).alias("_x"))
+    n = F.count("*")
+    shape = held.groupBy(key).agg(n.alias("_n"), (1.06 * F.stddev_pop("_x") * F.pow(n, F.lit(-0.2))).alias("_h")).filter((F.col("_n") >= least) & (F.col("_h") > 0))
+    at = F.lit(low) + F.lit(high - low) * F.col("i") / (points - 1)
+    grid = held.join(shape, key).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    kernel = F.exp(-0.5 * F.pow((at - F.col("_x")) / F.col("_h"), 2))
+    return grid.groupBy(key, "i").agg((F.sum(kernel) / F.first(F.col("_n") * F.col("_h")) / F.sqrt(2 * F.pi())).alias("density"))
+
+
 def forward_filled(value: str, key: str = "k", day: str = "d") -> Column:
     return F.last(value, ignorenulls=True).over(ordered(key, day).rowsBetween(Window.unboundedPreceding, 0))
 
@@ -82,5 +99,6 @@ def correlation(x: str, y: str, window: WindowSpec | None = None) -> Column:
 def correlation_pairs(returns: DataFrame, value: str, least: int, key: str = "k", day: str = "d") -> DataFrame:
     """a, b, corr of every two keys over the days both have; 0 where there are fewer than ``least``."""
     a, b = returns.select(F.col(key).alias("a"), day, F.col(value).alias("x")), returns.select(F.col(key).alias("b"), day, F.col(value).alias("y"))
-    both = a.join(b, day).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    return both.groupBy("a", "b").agg(F.when(F.count("*") >= least, F.coalesce(correlation("x", "y"), F.lit(0.0))).otherwise(0.0).alias("corr"))
+    both = a.filter("x is not null").join(b.filter("y is not null"), day).filter("a <= b")
+    half = both.groupBy("a", "b").agg(F.when(F.count("*") >= least, F.coalesce(correlation("x", "y"), F.lit(0.0))).otherwise(0.0).alias("corr"))
+    return half.unionByName(half.filter("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))

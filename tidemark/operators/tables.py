@@ -74,3 +74,16 @@ def unique_matches(left: DataFrame, right: DataFrame, keys: list[str], take: str
 
 def status_of(present: Column) -> Column:
     return F.when(present, "available").otherwise("pending")
+
+
+def filled(rows: DataFrame, dimension: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """rows whose NULL or empty columns are taken from dimension, which has one row a key."""
+    named = dimension.select(key, *(F.col(c).alias(f"_{c}") for c in columns))
+    joined = rows.join(named, key, "left").withColumns({c: F.coalesce(F.nullif(F.col(c), F.lit("")), f"_{c}") for c in columns})
+    return joined.select(*rows.columns)
+
+
+def refreshed(cached: DataFrame, fresh: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """cached with the rows of the asked keys replaced by their fresh ones, if they have any."""
+    kept = cached.join(asked.select(*keys), keys, "left_anti")
+    return kept.unionByName(fresh.join(asked.select(*keys).distinct(), keys, "left_semi").select(*cached.columns))

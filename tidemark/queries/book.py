@@ -7,6 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import STEM_DROPS
+
+
+def stem_sql(name: str) -> str:
+    """The stem of a name, as functions.text has it."""
+    out = f"lower({name})"
+    for pattern in STEM_DROPS:
+        out = f"regexp_replace({out}, '{pattern.replace(chr(123), chr(123) * 2)}', ' ', 'g')"
+    return f"regexp_replace({out}, '[^a-z0-9]+', '', 'g')"
+
 
 class Book:
     def __init__(self) -> None:

@@ -18,7 +18,7 @@ _MARKED = f"""nav AS ({{}}), a AS (
   SELECT k, d, nav, nav / lag(nav) {_W} - 1 AS r, row_number() OVER (PARTITION BY k ORDER BY d DESC) AS back,
     {", ".join(f"CASE WHEN lag(nav, {252 * y}) {_W} > 0 AND nav > 0 THEN pow(nav / lag(nav, {252 * y}) {_W}, 1.0 / {y}) - 1 END AS g{y}" for y in (1, 3, 5))} FROM nav
 ), b AS (SELECT *, CASE WHEN abs(r) <= 1 THEN r END AS all_r FROM a
-), c AS (SELECT *, CASE WHEN count(all_r) OVER (PARTITION BY k ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) < 252 THEN all_r END AS q FROM b
+), c AS (SELECT *, CASE WHEN count(all_r) OVER (PARTITION BY k ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) < 252 THEN all_r END AS q, CASE WHEN count(all_r) OVER (PARTITION BY k ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) < 756 THEN all_r END AS q3 FROM b
 ), e AS (SELECT *, CASE WHEN q IS NOT NULL THEN exp(sum(ln(1 + q)) {_RUN}) END AS grown, exp(coalesce(sum(ln(1 + all_r)) {_RUN}, 0)) AS every FROM c
 ), m AS (SELECT *, grown / greatest(1.0, max(grown) {_RUN}) - 1 AS dd, every / greatest(1.0, max(every) {_RUN}) - 1 AS dd_all FROM e)"""
 
@@ -30,7 +30,10 @@ def _at(n: int) -> str:
 _RATIO = "(count(*) FILTER (WHERE q > 0) * 1.0 / nullif(count(*) FILTER (WHERE q <> 0), 0))"
 _PAYOFF = "abs(avg(q) FILTER (WHERE q > 0) / nullif(avg(q) FILTER (WHERE q < 0), 0))"
 _METRICS = {
-    **{f"cagr_{y}y": f"pow({_at(0)} / {_at(252 * y)}, 1.0 / {y}) - 1" for y in (1, 3, 5)},
+    **{f"cagr_{y}y": f"pow({_at(0)} / {_at(252 * y)}, 1.0 / {y}) - 1" for y in (1, 3, 5, 10)},
+    "vol_3y": "stddev_samp(q3) * sqrt(252)",
+    "sharpe_3y": f"(avg(q3) - {_DAILY!r}) / stddev_samp(q3) * sqrt(252)",
+    "sortino_3y": f"(avg(q3) - {_DAILY!r}) / sqrt(avg(pow(least(q3 - {_DAILY!r}, 0), 2)) FILTER (WHERE q3 IS NOT NULL)) * sqrt(252)",
     "vol_1y": "stddev_samp(q) * sqrt(252)",
     "downside_vol_1y": "stddev_samp(q) FILTER (WHERE q < 0) * sqrt(252)",
     "sharpe_1y": f"(avg(q) - {_DAILY!r}) / stddev_samp(q) * sqrt(252)",

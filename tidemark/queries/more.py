@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import text
 from tidemark.functions.dates import parsed_date, quarter_end
 from tidemark.functions.text import parsed_number
+from tidemark.operators import tables
 from tidemark.operators.series import growth, last_rows, ordered
 from tidemark.plans.relations import BARS_SQL, NUDGE, TRADES_SQL, bars, nav, nav_sql, table, trades
 from tidemark.queries.book import Book
@@ -92,12 +94,82 @@ def base_100(spark, sf_dir):
     return rows.select("k", "d", F.round(100 * F.col("nav") / F.first("nav").over(ordered()) + 1e3 * NUDGE, 5).alias("base"))
 
 
-@BOOK.add("f7_benchmark_lookup", "SELECT name, coalesce(CASE trim(regexp_replace(regexp_replace(upper(name), '\\b(TRI|INDEX|TOTAL RETURN)\\b', '', 'g'), '[^A-Z0-9]+', ' ', 'g')) WHEN 'NIFTY 50' THEN '^N50' WHEN 'NIFTY 500' THEN '^N500' WHEN 'S P BSE SENSEX' THEN '^SENSEX' END, '?') AS symbol FROM (VALUES ('Nifty 50 TRI'), ('NIFTY  500 Index'), ('S&P BSE Sensex Total Return'), ('Custom')) AS t(name)")
+_TAILS = (" TRI", " Index", "", " Total Return Index", " - PRI", " Fund of Funds")
+_ASKED = f"list_extract({[*text.BENCHMARKS]!r}, CAST(p_partkey % {len(text.BENCHMARKS)} AS INT) + 1)"
+_TAILED = f"upper({_ASKED}) || list_extract({list(_TAILS)!r}, CAST(p_size % {len(_TAILS)} AS INT) + 1)"
+
+
+@BOOK.add(
+    "f7_benchmark_lookup",
+    rf"""WITH n AS (SELECT p_partkey AS code, {_TAILED} AS name FROM part), m(plain, symbol) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in text.BENCHMARKS.items())})
+SELECT code, name, symbol FROM n LEFT JOIN m ON m.plain = trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '{text.BENCHMARK_NOISE}', '', 'g'), '[^a-z0-9& ]', ' ', 'g'), '\s+', ' ', 'g'))""",
+)
 def benchmark_lookup(spark, sf_dir):
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.upper("name"), r"\b(TRI|INDEX|TOTAL RETURN)\b", ""), "[^A-Z0-9]+", " "))
-    known = F.broadcast(_values(spark, "('NIFTY 50', '^N50'), ('NIFTY 500', '^N500'), ('S P BSE SENSEX', '^SENSEX')", "plain, symbol"))  # a fixed list
-    rows = _values(spark, "('Nifty 50 TRI'), ('NIFTY  500 Index'), ('S&P BSE Sensex Total Return'), ('Custom')", "name").withColumn("plain", plain)
-    return rows.join(known, "plain", "left").select("name", F.coalesce("symbol", F.lit("?")).alias("symbol"))
+    """Names of benchmarks as metadata has them, dealt over the schemes."""
+    pick = lambda values, key: F.element_at(F.array(*(F.lit(v) for v in values)), (F.col(key) % len(values)).cast("int") + 1)
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("code"), F.concat(F.upper(pick(list(text.BENCHMARKS), "p_partkey")), pick(_TAILS, "p_size")).alias("name"))
+    return names.withColumn("symbol", text.benchmark_symbol("name"))
+
+
+_CATEGORIES = [*text.CATEGORY_BENCHMARKS, "Liquid Fund", "Arbitrage Fund"]
+_QUOTED = ", ".join("'" + c.replace("'", "''") + "'" for c in _CATEGORIES)
+
+
+@BOOK.add(
+    "f8_category_benchmark",
+    f"""WITH n AS (SELECT p_partkey AS code, list_extract([{_QUOTED}], CAST(p_partkey % {len(_CATEGORIES)} AS INT) + 1) AS category FROM part), m(category, symbol) AS (VALUES {", ".join("('" + k.replace("'", "''") + f"', '{v}')" for k, v in text.CATEGORY_BENCHMARKS.items())})
+SELECT code, category, symbol FROM n LEFT JOIN m USING (category)""",
+)
+def category_lookup(spark, sf_dir):
+    category = F.element_at(F.array(*(F.lit(c) for c in _CATEGORIES)), (F.col("p_partkey") % len(_CATEGORIES)).cast("int") + 1)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("code"), category.alias("category")).withColumn("symbol", text.category_benchmark("category"))
+
+
+@BOOK.add("o4_nulls_last", "SELECT code, rank FROM (SELECT p_partkey AS code, row_number() OVER (ORDER BY CASE WHEN p_size % 6 <> 0 THEN p_retailprice END DESC NULLS LAST, p_partkey) AS rank FROM part) WHERE rank <= 500")
+def nulls_last(spark, sf_dir):
+    """The first 500 schemes by size, those of unknown size behind all others."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("code"), F.when(F.col("p_size") % 6 != 0, F.col("p_retailprice")).alias("aum"))
+    top = rows.orderBy(F.desc_nulls_last("aum"), "code").limit(500)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("aum"), "code"))).select("code", "rank")  # 500 rows
+
+
+@BOOK.add("o5_head_of_filter", "SELECT p_partkey AS code FROM part WHERE p_size > 20 AND contains(lower(p_name), 'e') ORDER BY code LIMIT 25")
+def head_of_filter(spark, sf_dir):
+    return table(spark, sf_dir, "part").filter(F.contains(F.lower("p_name"), F.lit("e")) & (F.col("p_size") > 20)).select(F.col("p_partkey").alias("code")).orderBy("code").limit(25)
+
+
+@BOOK.add("o6_by_allocation", f"WITH t AS (SELECT k, sum(CASE WHEN lower(side) = 'buy' THEN qty * price ELSE -qty * price END) AS invested FROM ({TRADES_SQL}) GROUP BY k), s AS (SELECT k, invested, 100 * invested / sum(invested) OVER () AS share FROM t WHERE invested > 0) SELECT k, round(share, 6) AS share, row_number() OVER (ORDER BY share DESC, k) AS place FROM s")
+def by_allocation(spark, sf_dir):
+    """Funds by their share of what is invested, largest first."""
+    flow = F.when(F.lower("side") == "buy", 1).otherwise(-1) * F.col("qty") * F.col("price")
+    funds = trades(spark, sf_dir).groupBy("k").agg(F.sum(flow).alias("invested")).filter("invested > 0")
+    shares = funds.withColumn("share", 100 * F.col("invested") / F.sum("invested").over(Window.partitionBy()))  # one row a fund
+    return shares.select("k", F.round("share", 6).alias("share"), F.row_number().over(Window.orderBy(F.desc("share"), "k")).alias("place"))
+
+
+@BOOK.add("s12_symbol_lookup", "SELECT n_name AS symbol, s_suppkey AS code, s_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name IN ('INDIA', 'CHINA') AND s_acctbal > 0")
+def symbol_lookup(spark, sf_dir):
+    """Parsed search hits of the wanted exchange and kind."""
+    hits = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return hits.filter(F.col("n_name").isin("INDIA", "CHINA") & (F.col("s_acctbal") > 0)).select(F.col("n_name").alias("symbol"), F.col("s_suppkey").alias("code"), F.col("s_name").alias("name"))
+
+
+@BOOK.add("z9_filled_fields", "SELECT s_suppkey AS code, coalesce(nullif(CASE WHEN s_suppkey % 3 = 0 THEN '' WHEN s_suppkey % 3 = 1 THEN s_name END, ''), n_name) AS house FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
+def filled_fields(spark, sf_dir):
+    """Missing or empty houses are filled from the dimension."""
+    turn = F.col("s_suppkey") % 3
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code"), "s_nationkey", F.when(turn == 0, "").when(turn == 1, F.col("s_name")).alias("house"))
+    return tables.filled(rows, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("house")), "s_nationkey", ["house"]).select("code", "house")
+
+
+@BOOK.add("u13_evicted", f"WITH n AS (SELECT k, count(*) AS rows FROM ({nav_sql('nation')}) GROUP BY k), cached AS (SELECT n_name AS k, CAST(n_regionkey AS BIGINT) AS rows FROM nation UNION ALL SELECT r_name, 0 FROM region), asked AS (SELECT n_name AS k FROM nation WHERE n_regionkey > 0 UNION ALL SELECT r_name FROM region) SELECT c.k, c.rows FROM cached AS c WHERE c.k NOT IN (SELECT k FROM asked) UNION ALL SELECT n.k, n.rows FROM n JOIN asked USING (k) WHERE n.rows >= 252")
+def evicted(spark, sf_dir):
+    """Cached rows after a refresh of some keys: those that compute to nothing go."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region").select(F.col("r_name").alias("k"))
+    cached = nation.select(F.col("n_name").alias("k"), F.col("n_regionkey").cast("long").alias("rows")).unionByName(region.withColumn("rows", F.lit(0).cast("long")))
+    asked = nation.filter("n_regionkey > 0").select(F.col("n_name").alias("k")).unionByName(region)
+    fresh = nav(spark, sf_dir, "nation").groupBy("k").agg(F.count("*").alias("rows")).filter("rows >= 252")
+    return tables.refreshed(cached, fresh, asked, ["k"])
 
 
 @BOOK.add("f9_best_match_ladder", "WITH q AS (SELECT * FROM (VALUES ('red bolt'), ('gear'), ('none of these words here')) AS t(q)), m AS (SELECT q, p_name AS name, min(p_partkey) AS code, CASE WHEN p_name = q THEN 1 WHEN contains(p_name, q) THEN 2 END AS rank FROM q, part GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rank, length(name), code) AS n FROM m WHERE rank IS NOT NULL) SELECT q, name, code, rank::INT AS rank FROM r WHERE n = 1")

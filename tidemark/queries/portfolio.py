@@ -109,7 +109,7 @@ def invested(spark, sf_dir):
 
 @BOOK.add(
     "y5_index_replica",
-    f"""WITH {_T}, m AS (SELECT d, nav FROM ({nav_sql("flag")}) WHERE k = 'N' AND day(d) % 2 = 0), f AS (SELECT d, sum(trade_value) AS flow FROM t GROUP BY d),
+    f"""WITH {_T}, m AS (SELECT max(d) AS d, arg_max(nav, d) AS nav FROM ({nav_sql("flag")}) WHERE k = 'N' GROUP BY date_trunc('week', d)), f AS (SELECT d, sum(trade_value) AS flow FROM t GROUP BY d),
 b AS (SELECT f.*, m.d AS bd, m.nav AS bn FROM f ASOF LEFT JOIN m ON f.d >= m.d), c AS (SELECT b.*, m.d AS fd, m.nav AS fn FROM b ASOF LEFT JOIN m ON b.d <= m.d),
 u AS (SELECT d, flow / CASE WHEN fd IS NULL OR d - bd <= fd - d THEN bn ELSE coalesce(fn, bn) END AS units FROM c), s AS (SELECT d, sum(units) OVER (ORDER BY d) AS units FROM u)
 SELECT s.d, round(s.units * m.nav, 2) AS value FROM s ASOF JOIN m ON s.d >= m.d""",
@@ -118,9 +118,9 @@ SELECT s.d, round(s.units * m.nav, 2) AS value FROM s ASOF JOIN m ON s.d >= m.d"
 def replica(spark, sf_dir):
     from pyspark.sql import Window
 
-    from tidemark.operators.series import asof
+    from tidemark.operators.series import asof, weekly
 
-    market = nav(spark, sf_dir, "flag").filter((F.col("k") == "N") & (F.dayofmonth("d") % 2 == 0))
+    market = weekly(nav(spark, sf_dir, "flag").filter("k = 'N'"))
     flows = ops.signed(trades(spark, sf_dir)).groupBy("d").agg(F.sum("trade_value").alias("flow")).withColumn("k", F.lit("N"))
     bought = asof(flows, market, "nav", "nearest").select("k", "d", (F.col("flow") / F.col("nav")).alias("u"))
     held = bought.select("k", "d", F.sum("u").over(Window.partitionBy("k").orderBy("d")).alias("units"))

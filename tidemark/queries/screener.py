@@ -9,12 +9,12 @@ from tidemark.functions import text
 from tidemark.operators import metrics
 from tidemark.operators.screener import Filters, screen, star
 from tidemark.plans.relations import NUDGE, nav, table
-from tidemark.queries.book import Book
+from tidemark.queries.book import Book, stem_sql
 from tidemark.queries.metrics import ORACLE_METRICS
 
 BOOK = Book()
 #: Literal names with plan and option words, which the tables lack.
-_SUFFIX = ("Direct Plan - Growth", "Regular Plan - IDCW", "Direct Plan - IDCW Payout", "Growth Option", "ETF", "Regular - Bonus", "(Growth)")
+_SUFFIX = ("Direct Plan - Growth", "Regular Plan - IDCW", "Direct Plan - IDCW Payout", "Growth Option", "ETF", "Regular - Bonus", "(Growth)", "Growth Opportunities", "Income Distribution - Retail", "(Regular Plan) Monthly Dividend", "- Growth - Direct")
 _NAME = f"p_name || ' Fund ' || CASE p_partkey % {len(_SUFFIX)} {' '.join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_SUFFIX))} END"
 
 
@@ -36,7 +36,7 @@ def _schemes(spark, sf_dir):
 _SCHEMES = f"schemes AS (SELECT p_partkey AS code, {_NAME} AS name, p_brand AS k, p_type AS category, p_size AS size, CASE WHEN p_partkey % 6 <> 0 THEN p_retailprice END AS aum, CASE WHEN p_partkey % 5 <> 0 THEN (p_size % 30) / 10 END AS ter FROM part)"
 _STATUS = "status AS (SELECT DISTINCT l_partkey AS code, 'available' AS status FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 20)"
 _PLAN = "CASE WHEN regexp_matches(name, '(?i)\\bdirect\\b') THEN 'Direct' WHEN regexp_matches(name, '(?i)\\bregular\\b') THEN 'Regular' END"
-_OPTION = "CASE WHEN regexp_matches(name, '(?i)\\b(idcw|dividend|payout)\\b') THEN 'IDCW' WHEN regexp_matches(name, '(?i)\\b(growth|cumulative)\\b') THEN 'Growth' WHEN regexp_matches(name, '(?i)\\bbonus\\b') THEN 'Bonus' WHEN regexp_matches(name, '(?i)\\betf\\b') THEN 'ETF' ELSE 'Other' END"
+_OPTION = f"CASE {' '.join(f"WHEN regexp_matches(name, '(?i){pattern}') THEN '{option}'" for option, pattern in text.OPTIONS.items())} ELSE 'Other' END"
 _VIEW = f"{_SCHEMES}, {_STATUS}, met AS ({ORACLE_METRICS}), view AS (SELECT s.*, t.status, m.cagr_1y, m.sharpe_1y, m.max_dd_1y, m.inception_date, s.k AS house, {_PLAN} AS plan, {_OPTION} AS option FROM schemes AS s LEFT JOIN status AS t ON s.code = t.code LEFT JOIN met AS m ON s.k = m.k)"
 
 
@@ -90,18 +90,15 @@ def category_counts(spark, sf_dir):
     return _schemes(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"))
 
 
-_END = r"(?i)[\s\-(]*\b(" + "|".join(text.ENDINGS) + r")\b[\s\-)]*$"
-_SHORT = "name"
-for _ in range(6):
-    _SHORT = f"regexp_replace({_SHORT}, '{_END}', '')"
-_SHORT = rf"regexp_replace(trim(regexp_replace({_SHORT}, '[\s\-]+$', '')), '\s+', ' ', 'g')"
+_SHORT = f"regexp_replace(name, '(?i)({'|'.join(text.ENDINGS)})+$', '')"
+_SHORT = rf"trim(regexp_replace(regexp_replace({_SHORT}, '\s*-\s*$', ''), '\s+', ' ', 'g'))"
 
 
 @BOOK.add(
     "f1_names",
     rf"""WITH {_SCHEMES} SELECT code, {_SHORT} AS short, {_PLAN} AS plan, {_OPTION} AS option,
   lower(array_to_string(list_filter(list_transform(string_split_regex(trim(regexp_replace(name, '[()]', ' ', 'g')), '\s+'), lambda w: trim(w, '-')), lambda w: length(w) > 0), '-')) AS slug,
-  regexp_replace(regexp_replace(lower(name), '\b(direct|regular|plan|option|growth|idcw|dividend)\b', '', 'g'), '[^a-z0-9]', '', 'g') AS stem FROM schemes""",
+  {stem_sql("name")} AS stem FROM schemes""",
 )
 def names(spark, sf_dir):
     return _schemes(spark, sf_dir).select("code", text.short_name("name").alias("short"), text.plan_of("name").alias("plan"), text.option_of("name").alias("option"), text.slug("name").alias("slug"), text.stem("name").alias("stem"))

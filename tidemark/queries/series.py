@@ -34,11 +34,12 @@ def spine_return(spark, sf_dir):
 @BOOK.add(
     "w5_rolling_cagr",
     f"""WITH nav AS ({nav_sql("brand")}), g AS (SELECT k, d, CASE WHEN lag(nav, 252) {_W} > 0 AND nav > 0 THEN pow(nav / lag(nav, 252) {_W}, 1.0) - 1 END AS g1,
-  CASE WHEN lag(nav, 756) {_W} > 0 AND nav > 0 THEN pow(nav / lag(nav, 756) {_W}, 252.0 / 756) - 1 END AS g3 FROM nav)
-SELECT k, d, round(g1, 7) AS g1, round(g3, 7) AS g3 FROM g""", dates="d"
+  CASE WHEN lag(nav, 756) {_W} > 0 AND nav > 0 THEN pow(nav / lag(nav, 756) {_W}, 252.0 / 756) - 1 END AS g3,
+  CASE WHEN lag(nav, 1260) {_W} > 0 AND nav > 0 THEN pow(nav / lag(nav, 1260) {_W}, 252.0 / 1260) - 1 END AS g5 FROM nav)
+SELECT k, d, round(g1, 7) AS g1, round(g3, 7) AS g3, round(g5, 7) AS g5 FROM g""", dates="d"
 )
 def rolling_cagr(spark, sf_dir):
-    return nav(spark, sf_dir, "brand").select("k", "d", F.round(annual_growth("nav", 252), 7).alias("g1"), F.round(annual_growth("nav", 756), 7).alias("g3"))
+    return nav(spark, sf_dir, "brand").select("k", "d", F.round(annual_growth("nav", 252), 7).alias("g1"), F.round(annual_growth("nav", 756), 7).alias("g3"), F.round(annual_growth("nav", 1260), 7).alias("g5"))
 
 
 @BOOK.add(
@@ -100,13 +101,13 @@ def rolling_risk(spark, sf_dir):
     "w16_rolling_correlation",
     f"""WITH nav AS ({nav_sql("region")}), r AS (SELECT k, d, nav / lag(nav) {_W} - 1 AS r FROM nav),
 p AS (SELECT a.k, a.d, a.r AS x, b.r AS y FROM r AS a JOIN r AS b ON a.d = b.d AND b.k = 'ASIA' WHERE a.k <> 'ASIA')
-SELECT k, d, CASE WHEN count(x + y) {_LAST.format(59)} = 60 THEN round(corr(x, y) {_LAST.format(59)}, 6) END AS corr_60 FROM p""", dates="d"
+SELECT k, d, {", ".join(f"CASE WHEN count(x + y) {_LAST.format(n - 1)} = {n} THEN round(corr(x, y) {_LAST.format(n - 1)}, 6) END AS corr_{n}" for n in (60, 90, 180, 252))} FROM p""", dates="d"
 )
 def rolling_correlation(spark, sf_dir):
     rows = nav(spark, sf_dir, "region").withColumn("r", growth("nav"))
     other = rows.filter("k = 'ASIA'").select("d", F.col("r").alias("y"))
     pairs = rows.filter("k <> 'ASIA'").select("k", "d", F.col("r").alias("x")).join(other, "d").withColumn("both", F.col("x") + F.col("y"))
-    return pairs.select("k", "d", F.round(full_window(correlation("x", "y", last_rows(60)), 60, "both"), 6).alias("corr_60"))
+    return pairs.select("k", "d", *(F.round(full_window(correlation("x", "y", last_rows(n)), n, "both"), 6).alias(f"corr_{n}") for n in (60, 90, 180, 252)))
 
 
 @BOOK.add(
@@ -163,6 +164,8 @@ def sequences(spark, sf_dir):
     return rows.withColumn("sequence", text).filter("n > 5").select("k", "d", "sequence")
 
 
+#: The last value of each week, on its own day: a series with gaps.
+_WEEKLY = "SELECT k, max(d) AS d, arg_max(nav, d) AS nav FROM ({}) GROUP BY k, date_trunc('week', d)"
 _SALES = f"SELECT k, d, sum(CAST(round(CASE WHEN lower(side) = 'buy' THEN qty ELSE -qty END * 100000) AS BIGINT))::BIGINT AS qty FROM ({TRADES_SQL}) GROUP BY k, d"
 
 
@@ -181,10 +184,9 @@ FROM (SELECT b.*, n.d AS fd, n.nav AS fn FROM (SELECT t.*, n.d AS bd, n.nav AS b
     ),
 ):
 
-    @BOOK.add(_name, f"WITH n AS (SELECT * FROM ({nav_sql('brand')}) WHERE day(d) % 5 = 0), t AS ({_SALES}) {_sql}", dates="d matched")
+    @BOOK.add(_name, f"WITH n AS ({_WEEKLY.format(nav_sql('brand'))}), t AS ({_SALES}) {_sql}", dates="d matched")
     def asof(spark, sf_dir, how=_how):
-        sparse = nav(spark, sf_dir, "brand").filter(F.dayofmonth("d") % 5 == 0)
-        return ops.asof(_sales(spark, sf_dir), sparse, "nav", how).select("k", "d", "qty", "matched", "nav")
+        return ops.asof(_sales(spark, sf_dir), ops.weekly(nav(spark, sf_dir, "brand")), "nav", how).select("k", "d", "qty", "matched", "nav")
 
 
 @BOOK.add(
@@ -240,38 +242,60 @@ def calendar_pivot(spark, sf_dir):
     return wide.agg(F.round(F.avg("r"), 8)).select("k", "year", *(F.col(str(m)).alias(f"m{m}") for m in range(1, 13)))
 
 
-@BOOK.add(
-    "a28_histogram",
-    f"""WITH nav AS ({nav_sql("region")}), r AS (SELECT k, nav / lag(nav) {_W} - 1 AS r FROM nav), e AS (SELECT k, min(r) AS lo, max(r) AS hi FROM r GROUP BY k)
-SELECT k, least(CAST(floor(round((r - lo) / (hi - lo) * 60, 6)) AS BIGINT), 59) AS bin, count(*) AS n FROM r JOIN e USING (k) WHERE r IS NOT NULL GROUP BY 1, 2""",
-)
-def histogram(spark, sf_dir):
-    rows = nav(spark, sf_dir, "region").select("k", growth("nav").alias("r")).filter("r is not null")
-    ends = rows.groupBy("k").agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
-    place = F.least(F.floor(F.round((F.col("r") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 60, 6)), F.lit(59).cast("long"))
-    return rows.join(ends, "k").groupBy("k", place.alias("bin")).agg(F.count("*").alias("n"))
+for _bins in (60, 80):
+
+    @BOOK.add(
+        "a28_histogram" if _bins == 60 else f"a28_histogram_{_bins}",
+        f"""WITH nav AS ({nav_sql("region")}), r AS (SELECT k, nav / lag(nav) {_W} - 1 AS r FROM nav), e AS (SELECT k, min(r) AS lo, max(r) AS hi FROM r GROUP BY k)
+SELECT k, least(CAST(floor(round((r - lo) / (hi - lo) * {_bins}, 6)) AS BIGINT), {_bins - 1}) AS bin, count(*) AS n FROM r JOIN e USING (k) WHERE r IS NOT NULL GROUP BY 1, 2""",
+    )
+    def histogram(spark, sf_dir, bins=_bins):
+        rows = nav(spark, sf_dir, "region").select("k", growth("nav").alias("r")).filter("r is not null")
+        ends = rows.groupBy("k").agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
+        place = F.least(F.floor(F.round((F.col("r") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins, 6)), F.lit(bins - 1).cast("long"))
+        return rows.join(ends, "k").groupBy("k", place.alias("bin")).agg(F.count("*").alias("n"))
+
+
+#: Ends and number of points of the densities' grid.
+_GRID = (-0.06, 0.06, 500)
 
 
 @BOOK.add(
     "a29_density",
     f"""WITH nav AS ({nav_sql("region")}), r AS (SELECT k, d, nav / lag(nav) {_W} - 1 AS r FROM nav), v AS (SELECT * FROM r WHERE r IS NOT NULL),
-s AS (SELECT k, min(r) AS lo, max(r) AS hi, count(*) AS n, 1.06 * stddev_pop(r) * pow(count(*), -0.2) AS h FROM v GROUP BY k HAVING count(*) >= 50),
-g AS (SELECT s.*, lo + (hi - lo) * i / 49 AS x, i FROM s, (SELECT unnest(range(50)) AS i))
+s AS (SELECT k, count(*) AS n, 1.06 * stddev_pop(r) * pow(count(*), -0.2) AS h FROM v GROUP BY k HAVING count(*) >= 50 AND stddev_pop(r) > 0),
+g AS (SELECT s.*, {_GRID[0]} + {_GRID[1] - _GRID[0]} * i / {_GRID[2] - 1} AS x, i FROM s, (SELECT unnest(range({_GRID[2]})) AS i))
 SELECT g.k, g.i::INT AS i, round(sum(exp(-0.5 * pow((g.x - v.r) / g.h, 2))) / (g.n * g.h * sqrt(2 * pi())), 6) AS density FROM g JOIN v ON g.k = v.k GROUP BY g.k, g.i, g.n, g.h""",
 )
 def density(spark, sf_dir):
-    rows = nav(spark, sf_dir, "region").withColumn("r", growth("nav")).filter("r is not null")
-    n = F.count("*")
-    shape = rows.groupBy("k").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), n.alias("n"), (1.06 * F.stddev_pop("r") * F.pow(n, F.lit(-0.2))).alias("h")).filter("n >= 50")
-    grid = shape.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(49)))).withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / 49)
-    kernel = F.exp(-0.5 * F.pow((F.col("x") - F.col("r")) / F.col("h"), 2))
-    return rows.select("k", "r").join(F.broadcast(grid), "k").groupBy("k", "i", "n", "h").agg(F.sum(kernel).alias("s")).select("k", "i", F.round(F.col("s") / (F.col("n") * F.col("h") * F.sqrt(2 * F.pi())), 6).alias("density"))
+    return ops.densities(nav(spark, sf_dir, "region").withColumn("r", growth("nav")), "r", *_GRID).select("k", "i", F.round("density", 6).alias("density"))
 
 
-@BOOK.add("j13_densified", f"WITH nav AS (SELECT * FROM ({nav_sql('brand')}) WHERE day(d) % 3 = 0), spine AS (SELECT * FROM (SELECT DISTINCT d FROM nav), (SELECT DISTINCT k FROM nav)) SELECT k, d, last_value(nav IGNORE NULLS) {_W} AS nav FROM spine LEFT JOIN nav USING (k, d)", dates="d")
+@BOOK.add(
+    "y7_correlations",
+    f"""WITH nav AS ({nav_sql("brand")}), m AS (SELECT d, nav / lag(nav) OVER (ORDER BY d) - 1 AS b FROM ({nav_sql("flag")}) WHERE k = 'N'), daily AS (SELECT k, d, nav / lag(nav) {_W} - 1 AS r FROM nav),
+ends AS (SELECT k, last_day(d) AS d, arg_max(nav, d) AS nav FROM nav GROUP BY 1, 2), monthly AS (SELECT k, d, nav / lag(nav) {_W} - 1 AS r FROM ends), near AS (SELECT k, d, r, b FROM daily JOIN m USING (d)),
+rows AS (SELECT 'daily' AS view, 30 AS least, k, d, r FROM daily UNION ALL SELECT 'monthly', 12, * FROM monthly UNION ALL SELECT 'excess', 30, k, d, r - b FROM near UNION ALL SELECT 'downside', 15, k, d, r FROM near WHERE b < 0)
+SELECT a.view, a.k AS a, b.k AS b, round(CASE WHEN count(*) >= a.least THEN coalesce(corr(a.r, b.r), 0) ELSE 0 END, 6) AS corr FROM rows AS a JOIN rows AS b ON a.view = b.view AND a.d = b.d WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY a.view, a.least, a.k, b.k""",
+)
+def four_correlations(spark, sf_dir):
+    """Correlations of daily, monthly, excess and down-day returns, each with its own least number of common days."""
+    series = nav(spark, sf_dir, "brand")
+    daily = series.select("k", "d", growth("nav").alias("r"))
+    ends = series.groupBy("k", F.last_day("d").alias("month")).agg(F.max_by("nav", "d").alias("nav")).withColumnRenamed("month", "d")
+    market = nav(spark, sf_dir, "flag").filter("k = 'N'").select("d", growth("nav").alias("b"))
+    near = daily.join(market, "d")
+    views = (("daily", 30, daily), ("monthly", 12, ends.select("k", "d", growth("nav").alias("r"))), ("excess", 30, near.select("k", "d", (F.col("r") - F.col("b")).alias("r"))), ("downside", 15, near.filter("b < 0").select("k", "d", "r")))
+    out = None
+    for name, least, rows in views:
+        one = ops.correlation_pairs(rows, "r", least).select(F.lit(name).alias("view"), "a", "b", F.round("corr", 6).alias("corr"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@BOOK.add("j13_densified", f"WITH nav AS ({_WEEKLY.format(nav_sql('brand'))}), spine AS (SELECT * FROM (SELECT DISTINCT d FROM nav), (SELECT DISTINCT k FROM nav)) SELECT k, d, last_value(nav IGNORE NULLS) {_W} AS nav FROM spine LEFT JOIN nav USING (k, d)", dates="d")
 def densified(spark, sf_dir):
-    sparse = nav(spark, sf_dir, "brand").filter(F.dayofmonth("d") % 3 == 0)
-    return densify(sparse).select("k", "d", forward_filled("nav").alias("nav"))
+    return densify(ops.weekly(nav(spark, sf_dir, "brand"))).select("k", "d", forward_filled("nav").alias("nav"))
 
 
 @BOOK.add("f23_business_days", "SELECT k, min(d) AS a, max(d) AS b, (SELECT count(*) FROM (SELECT unnest(range(min(d), max(d), INTERVAL 1 DAY)) AS x) WHERE isodow(x) < 6) AS days FROM (SELECT l_returnflag AS k, CAST(l_shipdate AS DATE) AS d FROM lineitem) GROUP BY k", dates="a b")

@@ -60,9 +60,9 @@ def master(spark, sf_dir):
     return feeds.scheme_master(files).withColumn("d", F.col("d").cast("string"))
 
 
-@BOOK.add("s5_portfolio_json", f"WITH h AS (SELECT k, instrument, asset_class, weight FROM ({HOLDINGS_SQL}) WHERE month = DATE '1998-06-30') SELECT k, 'holding' AS kind, count(*) AS n, round(sum(weight), 4) AS weight FROM h GROUP BY k UNION ALL SELECT k, 'sector', count(DISTINCT asset_class), round(sum(weight), 4) FROM h GROUP BY k")
+@BOOK.add("s5_portfolio_json", f"WITH h AS (SELECT k || ' ' || month AS k, instrument, asset_class, weight FROM ({HOLDINGS_SQL})) SELECT k, 'holding' AS kind, count(*) AS n, round(sum(weight), 4) AS weight FROM h GROUP BY k UNION ALL SELECT k, 'sector', count(DISTINCT asset_class), round(sum(weight), 4) FROM h GROUP BY k")
 def portfolio(spark, sf_dir):
-    month = holdings(spark, sf_dir).filter("month = date '1998-06-30'")
+    month = holdings(spark, sf_dir).withColumn("k", F.concat_ws(" ", "k", F.col("month").cast("string")))  # a payload a fund and month
     item = F.struct(F.col("instrument").alias("instrumentName"), F.format_string("%.9f", "weight").alias("weighting"))
     listed = month.groupBy("k").agg(F.collect_list(item).alias("schemePortfolioList"))
     classes = month.groupBy("k", "asset_class").agg(F.sum("weight").alias("w")).groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("asset_class", F.format_string("%.9f", "w")))).alias("sectorAllocationMap"))
