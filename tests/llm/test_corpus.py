@@ -532,7 +532,30 @@ def test_components_of_a_long_path(spark):
     assert all(got[i] == 0 for i in range(1, 61)) and got[100] == got[95] == 90
 
 
-def test_top_k_is_exact(spark, docs, none, texts, monkeypatch):
+def test_top_k_skips_blocks(spark):
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    sets = [[f"w{g}x{i}" for i in range(60)] for g in range(40)]
+    rows = [" ".join(rng.choice(sets[k % 40]) for _ in range(30)) + " every text" for k in range(1_200)]
+    word, _, _, sizes = topk._distinct(pa.array(rows))
+    vocabulary, df = np.unique(word, return_counts=True)
+    idf = np.log1p((len(rows) - df + 0.5) / (df + 0.5))
+    shard = topk.Shard(np.arange(len(rows)), pa.array(rows), vocabulary, idf, sizes.mean())
+    queries = [np.searchsorted(vocabulary, topk._distinct(pa.array([rows[k]]))[0]) for k in range(25)]
+    got = {q: dict(zip(ids.tolist(), scores.tolist(), strict=True)) for q, ids, scores in shard.search(queries, np.zeros(25), 5)}
+    counts = [collections.Counter(words(t)) for t in rows]
+    weight = {w: math.log1p((len(rows) - n + 0.5) / (n + 0.5)) for w, n in collections.Counter(w for c in counts for w in c).items()}
+    for q in range(25):
+        scores = sorted((-round(sum(weight[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * c.total() / sizes.mean())) for w in set(words(rows[q])) if w in c), 9), d) for d, c in enumerate(counts))[:5]
+        assert got[q] == pytest.approx({d: -s for s, d in scores})
+    assert shard.read < 0.2 * shard.all
+
+
+@pytest.mark.parametrize("most", [4_000_000, 400])
+def test_top_k_is_exact(spark, docs, none, texts, monkeypatch, most):
+    """One block of queries and several find the same."""
+    monkeypatch.setattr(topk, "QUERY_WORDS", most)
     monkeypatch.setattr(topk, "SHARD_BYTES", 3_000)
     queries = docs.filter("doc_id % 10 = 0")
     got = collections.defaultdict(list)

@@ -3,25 +3,27 @@
 Queries are whole texts of rows; the collection is every row.  Document
 frequencies and the mean length are counted over all rows first, so scores do
 not depend on how rows are dealt to shards.  A shard is a bounded batch of rows
-within a task.  It is indexed in memory: posting lists with BM25 impacts, rows
-ordered by length and dealt into blocks, and for its most frequent words the
-maximum impact of each block.
-
-The search of a shard is block-max WAND, for many queries at once.  A query's
-rarer words are read from their posting lists and added up by row.  Its most
-frequent words are only bounded, by the block maxima of a row's block.  A row
-whose sum and bound together stay below the query's k-th best score so far is
-skipped; the other rows get their exact scores.  A share of the rows is searched
-first, and its k-th best scores are thresholds for all other shards.  The best
-rows are merged exactly, as no shard drops one of its k best that reaches the
-threshold, and all scores are global.
+within a task.  It is indexed in memory: posting lists with BM25 impacts, cut
+into blocks of ``BLOCK`` rows, each with its maximum.
+
+The search of a shard is block-max WAND.  A query adds up the maxima of its
+words' lists block by block; blocks whose sum stays below the query's k-th best
+score so far are skipped, and none of their postings are read.  In the others,
+the postings of the query's rarer words are added up by row; its most frequent
+words are bounded by their maxima in the block first, and only rows that can
+still reach the threshold get their exact scores.  A share of the rows is
+searched first, and its k-th best scores are thresholds for all other shards; in
+that share, a query's threshold comes from its ``AT_FIRST`` most promising
+blocks.  The best rows are merged exactly, as no shard drops one of its k best
+that reaches the threshold, and all scores are global.
 
 Queries travel in broadcast blocks of at most ``QUERY_WORDS`` words in all; the
 collection is read once a block.
 
 Defined results: null and empty texts have no words, find nothing and are not
-found; score ties go to the smaller id; repeated rows are found each; rows with
-a null id are neither queries nor results; a row finds itself.
+found; score ties go to the smaller id; repeated rows are found each; query rows
+that share an id are one query of all their words; rows with a null id are
+neither queries nor results; a row finds itself.
 """
 
 from __future__ import annotations
@@ -44,7 +46,9 @@ DIGITS, SLACK = 9, 1e-8
 #: One row of so many goes ahead to give thresholds, in tasks of about so many words.
 AHEAD, SHARD_WORDS = 8, 4_000_000
 #: Bytes of text in a shard, rows in a block, the share of a shard's rows from which a word is only bounded, the most such words, and queries handled together.
-SHARD_BYTES, BLOCK, FREQUENT, MOST, TOGETHER = 24 << 20, 64, 0.04, 256, 64
+SHARD_BYTES, BLOCK, FREQUENT, MOST, TOGETHER = 24 << 20, 8, 0.04, 256, 64
+#: Blocks of the highest bounds that are scored first, to give a threshold.
+AT_FIRST = 4
 
 
 def _distinct(texts: pa.Array, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -107,67 +111,96 @@ def _query_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Shard:
-    """The index of some rows for the words of some queries."""
+    """The index of some rows for the words of some queries.
+
+    Rows that share their first word by hash, such as copies and texts of one
+    language, and then rows of like length lie in one block.  Every posting list
+    is cut into its blocks, each with its maximum.  The most frequent words also
+    have a column each of all impacts, for products of matrices.
+    """
 
     def __init__(self, ids: np.ndarray, texts: pa.Array, vocabulary: np.ndarray, idf: np.ndarray, mean: float):
         term, row, times, sizes = _distinct(texts, vocabulary)
-        order = np.lexsort((ids, sizes))
-        place = np.empty(len(ids), np.int64)
-        place[order] = np.arange(len(ids))
-        self.ids, n = ids[order], len(ids)
+        n = len(ids)
+        least = np.full(n, len(vocabulary), np.int64)
+        least[row[::-1]] = term[::-1]  # terms ascend, so the least is written last
+        order = np.lexsort((ids, sizes, least))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.ids, self.rows = ids[order], n
         impact = idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * sizes[row] / mean))
         row = place[row]
-        self.begin = np.searchsorted(term, np.arange(len(vocabulary) + 1))
-        self.row, self.impact = row, impact
-        counts = np.diff(self.begin)
+        sort = np.lexsort((row, term))
+        term, self.row, self.impact = term[sort], row[sort], impact[sort]
+        block = self.row // BLOCK
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
+        self.piece = np.r_[first, len(term)]  # where each piece of a list, one block long, begins
+        self.block, self.peak = block[first], np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
+        self.begin = np.searchsorted(term[first], np.arange(len(vocabulary) + 1))  # a list's pieces
+        counts = np.diff(np.searchsorted(term, np.arange(len(vocabulary) + 1)))
         often = np.flatnonzero(counts > FREQUENT * n)
         often = often[np.argsort(-counts[often], kind="stable")][:MOST]
         self.column = np.full(len(vocabulary), -1)
         self.column[often] = np.arange(len(often))
         self.exact = np.zeros((n, len(often)))
         dense = self.column[term] >= 0
-        self.exact[row[dense], self.column[term[dense]]] = impact[dense]
+        self.exact[self.row[dense], self.column[term[dense]]] = self.impact[dense]
+        self.blocks = -(-n // BLOCK)
         self.peaks = np.maximum.reduceat(self.exact, np.arange(0, n, BLOCK), axis=0) if n else self.exact
-        self.block = np.arange(n) // BLOCK
+        self.read = self.all = 0  # blocks that were scored, and blocks in all, over all queries
+
+    def _scores(self, pieces: np.ndarray, live: np.ndarray, rest: np.ndarray, weights: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the live blocks that can reach the floor, and their scores.
+
+        pieces: those of the query's rarer words; rest: by block, the most that its frequent words can add.
+        """
+        pieces = pieces[live[self.block[pieces]]]
+        start = self.piece[pieces]
+        counts = self.piece[pieces + 1] - start
+        ends = np.cumsum(counts)
+        at = np.repeat(start - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+        rows = (np.flatnonzero(live)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        rows = rows[: np.searchsorted(rows, self.rows)]
+        sums = np.bincount(self.row[at], self.impact[at], self.rows)[rows]
+        near = (sums + rest[rows // BLOCK] >= floor - SLACK) & (sums + rest[rows // BLOCK] > 0)
+        rows = rows[near]
+        return rows, sums[near] + self.exact[rows] @ weights
 
     def search(self, queries: list[np.ndarray], least: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, ids, scores) of the k best rows that can be among the best; least: scores that others have already."""
-        n = len(self.ids)
         for a in range(0, len(queries), TOGETHER):
             some = queries[a : a + TOGETHER]
             weights = np.zeros((self.exact.shape[1], len(some)))
             for i, terms in enumerate(some):
                 columns = self.column[terms]
                 weights[columns[columns >= 0], i] = 1
-            bounds = self.peaks @ weights
-            full = None
+            rests = self.peaks @ weights
             for i, terms in enumerate(some):
                 rare = terms[self.column[terms] < 0]
                 begin, counts = self.begin[rare], self.begin[rare + 1] - self.begin[rare]
                 ends = np.cumsum(counts)
-                at = np.repeat(begin - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
-                sums = np.bincount(self.row[at], self.impact[at], n)
-                hope = sums + bounds[self.block, i]
-                floor = least[a + i]
-                if floor <= 0 and n > k:  # a first threshold from the k rows of the best sums
-                    first = np.argpartition(-hope, k - 1)[:k]
-                    floor = (sums[first] + self.exact[first] @ weights[:, i]).min()
-                near = np.flatnonzero((hope >= floor - SLACK) & (hope > 0))
-                if len(near) > n // 16:
-                    full = self.exact @ weights if full is None else full
-                    scores = sums[near] + full[near, i]
-                else:
-                    scores = sums[near] + self.exact[near] @ weights[:, i]
+                pieces = np.repeat(begin - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+                bounds, floor, weight = np.bincount(self.block[pieces], self.peak[pieces], self.blocks) + rests[:, i], least[a + i], weights[:, i]
+                if floor <= 0 and self.rows > k:  # a first threshold from the blocks of the highest bounds
+                    best = np.zeros(self.blocks, bool)
+                    best[np.argpartition(-bounds, AT_FIRST)[:AT_FIRST] if self.blocks > AT_FIRST else slice(None)] = True
+                    _, scores = self._scores(pieces, best, rests[:, i], weight, floor)
+                    floor = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else floor
+                live = (bounds > 0) & (bounds >= floor - SLACK)
+                self.read, self.all = self.read + int(live.sum()), self.all + self.blocks
+                if not live.any():
+                    continue
+                rows, scores = self._scores(pieces, live, rests[:, i], weight, floor)
                 scores = np.round(scores, DIGITS)  # equal texts get equal scores in any shard
                 good = np.flatnonzero((scores > 0) & (scores >= least[a + i]))
-                near, scores = near[good], scores[good]
-                if len(near) > k:
+                rows, scores = rows[good], scores[good]
+                if len(rows) > k:
                     edge = np.partition(scores, len(scores) - k)[len(scores) - k]
                     top = np.flatnonzero(scores >= edge)
-                    top = top[np.lexsort((self.ids[near[top]], -scores[top]))][:k]
-                    near, scores = near[top], scores[top]
-                if len(near):
-                    yield a + i, self.ids[near], scores
+                    top = top[np.lexsort((self.ids[rows[top]], -scores[top]))][:k]
+                    rows, scores = rows[top], scores[top]
+                if len(rows):
+                    yield a + i, self.ids[rows], scores
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
