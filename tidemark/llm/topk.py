@@ -142,17 +142,17 @@ class Shard:
         often = often[np.argsort(-counts[often], kind="stable")][:MOST]
         self.column = np.full(len(vocabulary), -1)
         self.column[often] = np.arange(len(often))
-        self.exact = np.zeros((n, len(often)))
+        self.exact = np.zeros((len(often), n))
         dense = self.column[term] >= 0
-        self.exact[self.row[dense], self.column[term[dense]]] = self.impact[dense]
+        self.exact[self.column[term[dense]], self.row[dense]] = self.impact[dense]
         self.blocks = -(-n // BLOCK)
-        self.peaks = np.maximum.reduceat(self.exact, np.arange(0, n, BLOCK), axis=0) if n else self.exact
+        self.peaks = np.maximum.reduceat(self.exact, np.arange(0, n, BLOCK), axis=1) if n and len(often) else self.exact[:, : self.blocks]
         self.read = self.all = 0  # blocks that were scored, and blocks in all, over all queries
 
-    def _scores(self, pieces: np.ndarray, live: np.ndarray, rest: np.ndarray, weights: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    def _scores(self, pieces: np.ndarray, live: np.ndarray, rest: np.ndarray, frequent: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the live blocks that can reach the floor, and their scores.
 
-        pieces: those of the query's rarer words; rest: by block, the most that its frequent words can add.
+        pieces: those of the query's rarer words; rest: by block, the most that its frequent words, whose columns follow, can add.
         """
         pieces = pieces[live[self.block[pieces]]]
         start = self.piece[pieces]
@@ -164,33 +164,33 @@ class Shard:
         sums = np.bincount(self.row[at], self.impact[at], self.rows)[rows]
         near = (sums + rest[rows // BLOCK] >= floor - SLACK) & (sums + rest[rows // BLOCK] > 0)
         rows = rows[near]
-        return rows, sums[near] + self.exact[rows] @ weights
+        return rows, sums[near] + self.exact[frequent[:, None], rows].sum(0)
 
     def search(self, queries: list[np.ndarray], least: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, ids, scores) of the k best rows that can be among the best; least: scores that others have already."""
         for a in range(0, len(queries), TOGETHER):
             some = queries[a : a + TOGETHER]
-            weights = np.zeros((self.exact.shape[1], len(some)))
+            weights = np.zeros((len(some), len(self.exact)))
             for i, terms in enumerate(some):
                 columns = self.column[terms]
-                weights[columns[columns >= 0], i] = 1
-            rests = self.peaks @ weights
+                weights[i, columns[columns >= 0]] = 1
+            rests = weights @ self.peaks
             for i, terms in enumerate(some):
                 rare = terms[self.column[terms] < 0]
                 begin, counts = self.begin[rare], self.begin[rare + 1] - self.begin[rare]
                 ends = np.cumsum(counts)
                 pieces = np.repeat(begin - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
-                bounds, floor, weight = np.bincount(self.block[pieces], self.peak[pieces], self.blocks) + rests[:, i], least[a + i], weights[:, i]
+                bounds, floor, frequent = np.bincount(self.block[pieces], self.peak[pieces], self.blocks) + rests[i], least[a + i], np.flatnonzero(weights[i])
                 if floor <= 0 and self.rows > k:  # a first threshold from the blocks of the highest bounds
                     best = np.zeros(self.blocks, bool)
                     best[np.argpartition(-bounds, AT_FIRST)[:AT_FIRST] if self.blocks > AT_FIRST else slice(None)] = True
-                    _, scores = self._scores(pieces, best, rests[:, i], weight, floor)
+                    _, scores = self._scores(pieces, best, rests[i], frequent, floor)
                     floor = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else floor
                 live = (bounds > 0) & (bounds >= floor - SLACK)
                 self.read, self.all = self.read + int(live.sum()), self.all + self.blocks
                 if not live.any():
                     continue
-                rows, scores = self._scores(pieces, live, rests[:, i], weight, floor)
+                rows, scores = self._scores(pieces, live, rests[i], frequent, floor)
                 scores = np.round(scores, DIGITS)  # equal texts get equal scores in any shard
                 good = np.flatnonzero((scores > 0) & (scores >= least[a + i]))
                 rows, scores = rows[good], scores[good]
