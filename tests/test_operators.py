@@ -185,18 +185,18 @@ def test_dates_and_numbers_that_do_not_fit_are_null(spark):
 
 
 def test_names(spark):
-    names = ["Alpha Fund - Direct Plan - Growth", "Direct", "Beta (G) Fund", "Gamma Fund Regular IDCW Payout", "Axis Growth Opportunities Fund", "Delta Fund (Regular Plan)Growth Option", "Eta Fund - Income Distribution cum Capital Withdrawal"]
+    names = ["Alpha Fund - Direct Plan - Growth", "Direct", "Beta (G) Fund", "Gamma Fund Regular IDCW Payout", "Kappa Growth Opportunities Fund", "Delta Fund (Regular Plan)Growth Option", "Eta Fund - Income Distribution cum Capital Withdrawal"]
     rows = spark.createDataFrame([(n,) for n in names], "name string").select(text.short_name("name").alias("s"), text.plan_of("name").alias("p"), text.option_of("name").alias("o"), text.slug("name").alias("g")).collect()
-    assert [r["s"] for r in rows] == ["Alpha Fund", "Direct", "Beta (G) Fund", "Gamma Fund", "Axis Growth Opportunities Fund", "Delta Fund", "Eta Fund - Income Distribution cum Capital Withdrawal"]
+    assert [r["s"] for r in rows] == ["Alpha Fund", "Direct", "Beta (G) Fund", "Gamma Fund", "Kappa Growth Opportunities Fund", "Delta Fund", "Eta Fund - Income Distribution cum Capital Withdrawal"]
     assert [r["p"] for r in rows] == ["Direct", "Direct", None, "Regular", None, "Regular", None]
     assert [r["o"] for r in rows] == ["Growth", "Other", "Other", "IDCW", "Other", "Growth", "IDCW"]
     assert rows[0]["g"] == "alpha-fund-direct-plan-growth" and rows[2]["g"] == "beta-g-fund"
 
 
 def test_stems_of_one_scheme_are_equal(spark):
-    same = ["Invesco India Arbitrage Fund - Regular Plan - Growth Option", "Invesco India Arbitrage Fund - Regular - Growth", "Invesco India Arbitrage Fund - Direct Growth", "Invesco India Arbitrage Fund(Regular Plan)Growth Option", "Invesco India Arbitrage Fund Half Yearly Payout"]
+    same = ["Zeta Arbitrage Fund - Regular Plan - Growth Option", "Zeta Arbitrage Fund - Regular - Growth", "Zeta Arbitrage Fund - Direct Growth", "Zeta Arbitrage Fund(Regular Plan)Growth Option", "Zeta Arbitrage Fund Half Yearly Payout"]
     got = {r["s"] for r in spark.createDataFrame([(n,) for n in same], "name string").select(text.stem("name").alias("s")).collect()}
-    assert got == {"invescoindiaarbitragefund"}
+    assert got == {"zetaarbitragefund"}
 
 
 def test_alpha_class_of_missing_and_nan(spark):
