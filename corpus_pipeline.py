@@ -54,7 +54,7 @@ STAGES = [
     ("benchmark decontamination", decontaminate),
     ("sentencepiece", tokenize),
 ]
-#: The classifier and the seeded tokens have no SQL form; tests hold each stage against a brute-force version.
+#: The classifier and the seeded tokens have no SQL form; tests hold the stages' operators against brute-force versions.
 ORACLE_SQL = None
 
 
