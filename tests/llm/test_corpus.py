@@ -218,8 +218,11 @@ def brute_scan(text):
         places += at
         base |= {label} if at else set()
     more, best = set(), 0.0
-    for line in (text or "").split("\n"):
-        held = set(words(line))
+    lines = [words(line) for line in (text or "").split("\n")]
+    blocks = [sum(lines[i : i + k], []) for k in range(1, licenses.LINES + 1) for i in range(len(lines) - k + 1)]
+    single = len(lines)
+    for at, block in enumerate(blocks):
+        held = set(block) if at < single or len(block) <= licenses.SPAN else set()
         for label, template in licenses.TEMPLATES:
             tokens = set(template.split())
             share = len(tokens & held) / len(tokens)
@@ -231,7 +234,10 @@ def brute_scan(text):
 
 def test_license_scan(spark, docs, none, texts):
     special = [(500, "Code, ALL\nrights (reserved). cc-by CC BY; General Public License"), (501, "Licensed under the Apache License, Version 2.0."), (502, "released under the Mit thing license"), (503, "Licensed under CC BY-NC 4.0. and more\nall rights"), (504, "KC BY"), (None, "all rights reserved"), (505, "permission is hereby granted free of charge to any person obtaining a copy of this software and documentation")]
+    mit = "Permission is hereby granted, free of charge,\n# to any person obtaining a copy of this\n# software and associated documentation files"
+    special += [(506, f"#!/bin/sh\n# {mit}\nx = 1"), (507, mit.replace(" of ", "\n")), (508, mit.replace("\n", "\n" + "word " * 20)), (509, "released\n\nunder the\nMIT license")]
     rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(special, "doc_id long, text string"))
+    assert [brute_scan(special[k][1])[5] for k in (7, 8, 9, 10)] == ["mit", "", "", "mit"]
     got = collections.Counter(tuple(r) for r in licenses.scan(rows).collect())
     assert got == collections.Counter((i, *brute_scan(t)) for i, t in texts + special)
     assert licenses.scan(none).count() == 0

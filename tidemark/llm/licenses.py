@@ -4,15 +4,19 @@ Two scans over the whole texts, whose words are runs of letters, digits and
 characters beyond ASCII after A-Z are lower-cased.
 
 * Base: every place where a phrase's words stand consecutively, over line ends.
-* Templates: every block (line) that holds at least ``CONTAINMENT`` of a
-  template's distinct words.  The join is exact: the templates' words are
-  ordered by the number of blocks that hold them, rarest first; a block must
-  share one of a template's first words (prefix filter), hold enough of the
-  templates' words (length filter), and have enough words left after the first
-  shared one (positional filter); what remains is counted in full.
-
-The templates are a fixed list, so their index may be broadcast; blocks never
-are.  The score is the highest containment of a template, 1 with a base phrase.
+* Templates: every block that holds at least ``CONTAINMENT`` of a template's
+  distinct words.  A block is a line of any length, or two to ``LINES`` lines
+  in a row of at most ``SPAN`` words together, so that a wrapped notice is
+  found.  The join is exact: the templates' words are ordered by the number of
+  lines that hold them, rarest first; a block must share one of a template's
+  first words (prefix filter), hold enough of the templates' words (length
+  filter), and have enough words left after the first shared one (positional
+  filter); what remains is counted in full.
+
+Texts are taken apart once; the words of the templates in each line are written
+as a table, which the count of words and the join read.  The templates are a
+fixed list, so their index may be broadcast; blocks never are.  The score is
+the highest containment of a template, 1 with a base phrase.
 
 Defined results: a null text is empty, with no words, labels or places and
 score 0; repeated rows repeat; a null id is kept; labels of nothing are "".
@@ -25,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import read
+from tidemark.llm.base import read, written
 
 #: Words: what stands between ASCII characters other than letters and digits.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -49,6 +53,8 @@ TEMPLATES = (
 )
 #: Least share of a template's distinct words in a block.
 CONTAINMENT = 0.8
+#: Most lines in a block, and most words in a block of several lines.
+LINES, SPAN = 4, 48
 
 
 def lowered(text: str) -> Column:
@@ -60,16 +66,14 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, GAP), "")
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash and the words of each line."""
-    lines = docs.select("doc_id", "text_hash", F.explode(F.split(lowered("text"), "\n")).alias("line"))
-    return lines.select("doc_id", "text_hash", _words(F.col("line")).alias("words"))
-
-
 def _strings(values: list[str]) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
 
+def _vocabulary(templates: tuple) -> list[str]:
+    return sorted({w for _, text in templates for w in text.split()})
+
+
 def _template_index(spark: SparkSession, templates: tuple, order: list[str], containment: float) -> DataFrame:
     """token, template, label, place of the token in the template's order, size, least and all tokens: prefixes only."""
     rows = []
@@ -81,15 +85,25 @@ def _template_index(spark: SparkSession, templates: tuple, order: list[str], con
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def template_blocks(docs: DataFrame, templates: tuple = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """doc_id, text_hash, label and containment of every block of docs(doc_id, text, text_hash) that meets a template."""
-    vocabulary = sorted({w for _, text in templates for w in text.split()})
-    blocks = _blocks(docs)
-    held = blocks.select(F.explode(F.array_intersect(_strings(vocabulary), "words")).alias("token"))
+def _blocks(lines: DataFrame) -> DataFrame:
+    """doc_id, text_hash and the templates' words of each block of lines(doc_id, text_hash, lines); blocks that begin with a line without any equal a shorter one."""
+    following = F.arrays_zip(*(F.slice("lines", k + 1, F.size("lines")).alias(f"l{k}") for k in range(LINES)))
+    each = lines.select("doc_id", "text_hash", F.explode(following).alias("x")).select("doc_id", "text_hash", "x.*").filter(F.size("l0.held") > 0)
+    words = lambda k: sum((F.col(f"l{i}.n") for i in range(1, k)), F.col("l0.n"))
+    held = lambda k: F.array_distinct(F.concat(*(F.col(f"l{i}.held") for i in range(k))))
+    blocks = F.array(F.col("l0.held"), *(F.when(words(k) <= SPAN, held(k)) for k in range(2, LINES + 1)))
+    return each.select("doc_id", "text_hash", F.explode(F.array_distinct(F.array_compact(blocks))).alias("held"))
+
+
+def template_blocks(lines: DataFrame, templates: tuple = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+    """doc_id, text_hash, label and containment of every block of lines(doc_id, text_hash, lines) that meets a template."""
+    vocabulary = _vocabulary(templates)
+    held = lines.select(F.explode(F.flatten("lines.held")).alias("token"))
     frequency = {r["token"]: r["n"] for r in held.groupBy("token").agg(F.count("*").alias("n")).collect()}  # a row for each word of the templates
     order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
-    index = F.broadcast(_template_index(docs.sparkSession, templates, order, containment))
-    ordered = blocks.select("doc_id", "text_hash", F.array_intersect(_strings(order), "words").alias("held"))
+    fewest = min(math.ceil(containment * len(set(text.split())) - 1e-9) for _, text in templates)
+    index = F.broadcast(_template_index(lines.sparkSession, templates, order, containment))
+    ordered = _blocks(lines).filter(F.size("held") >= fewest).select("doc_id", "text_hash", F.array_intersect(_strings(order), "held").alias("held"))
     shared = ordered.select("doc_id", "text_hash", "held", F.posexplode("held").alias("at", "token")).join(index, "token")
     left = 1 + F.least(F.col("size") - F.col("place") - 1, F.size("held") - F.col("at") - 1)
     passing = shared.filter((F.size("held") >= F.col("least")) & (F.col("place") == F.array_position("tokens", F.element_at(F.array_intersect("tokens", "held"), 1)) - 1) & (left >= F.col("least")))
@@ -108,13 +122,17 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, containment: float = CON
     """docs(doc_id, text) to doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     likely = "|".join(phrase.replace(" ", GAP) for phrase in PHRASES)
-    low = docs.select("doc_id", "text_hash", lowered("text").alias("low")).select("doc_id", "text_hash", _words(F.col("low")).alias("words"), F.col("low").rlike(likely).alias("likely"))
+    low = docs.select("doc_id", "text_hash", lowered("text").alias("low"))
+    split = low.select("doc_id", "text_hash", F.transform(F.split("low", "\n"), _words).alias("lines"), F.col("low").rlike(likely).alias("likely"))
+    whole = split.select("doc_id", "text_hash", "lines", "likely", F.flatten("lines").alias("words"))
     none = F.array().cast("array<int>")
     found = {label: F.when(F.col("likely"), _places(F.col("words"), phrase)).otherwise(none) for phrase, label in PHRASES.items()}
-    places = low.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), *(v.alias(k) for k, v in found.items()))
+    vocabulary = _strings(_vocabulary(templates))
+    held = F.transform("lines", lambda words: F.struct(F.size(words).alias("n"), F.array_intersect(vocabulary, words).alias("held")))
+    places = written(whole.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), *(v.alias(k) for k, v in found.items()), held.alias("lines")))
     every = F.flatten(F.array(*(F.col(f"`{k}`") for k in found)))
     base = places.select("doc_id", "text_hash", "n_words", every.alias("at"), F.array_sort(F.array_compact(F.array(*(F.when(F.size(F.col(f"`{k}`")) > 0, F.lit(k)) for k in found)))).alias("base"))
-    blocks = template_blocks(docs, templates, containment)
+    blocks = template_blocks(places.select("doc_id", "text_hash", "lines"), templates, containment)
     per_doc = blocks.groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     both = base.join(per_doc, base["doc_id"].eqNullSafe(per_doc["doc_id"]) & (base["text_hash"] == per_doc["text_hash"]), "left")
     joined = lambda c: F.array_join(c, ",")
@@ -153,12 +171,17 @@ WITH low AS (
 ), placed AS (
   SELECT doc_id, len(words) AS n_words, {", ".join(f"{_phrase_sql(p)} AS p{k}" for k, p in enumerate(PHRASES))} FROM worded
 ), lined AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(line, '{WORD}')) AS words
-  FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM low) AS x
+  SELECT doc_id, list_transform(string_split(low, chr(10)), lambda l: regexp_extract_all(l, '{WORD}')) AS lines FROM low
+), begun AS (
+  SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM lined
+), block AS (
+  SELECT doc_id, k, flatten(lines[i : i + k - 1]) AS words FROM begun, range(1, {LINES + 1}) AS r(k) WHERE i + k - 1 <= len(lines)
+), held AS (
+  SELECT doc_id, list_distinct(words) AS words FROM block WHERE k = 1 OR len(words) <= {SPAN}
 ), template(id, label, tokens) AS (VALUES {_template_sql()}
 ), met AS (
   SELECT l.doc_id, t.label, len(list_intersect(t.tokens, l.words)) * 1.0::DOUBLE / len(t.tokens) AS containment
-  FROM lined AS l, template AS t
+  FROM held AS l, template AS t
   WHERE len(list_intersect(t.tokens, l.words)) >= ceil({CONTAINMENT} * len(t.tokens) - 1e-9)
 ), more AS (
   SELECT doc_id, list(DISTINCT label) AS labels, max(containment) AS best FROM met GROUP BY doc_id
