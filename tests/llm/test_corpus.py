@@ -510,6 +510,14 @@ def test_near_duplicates(spark, docs, none, texts, monkeypatch, leaf, node):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b), (9, a + " x"), (3, b + " x"), (7, c)] + [(8, c)] * 30
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(3, 3, True), (5, 3, False), (5, 3, False), (5, 5, True), (7, 7, True)] + [(8, 7, False)] * 30 + [(9, 5, False)]
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == want
+
+
 def test_near_duplicates_of_a_large_family_that_is_a_chain(spark):
     """2,000 texts of one template at 0.7; each is linked to its two neighbours only, so no link may be missed by the exact join."""
     rng = random.Random(3)

@@ -26,8 +26,9 @@ by alternating large-star and small-star steps on Spark.
 
 Defined results: null, empty and word-less texts have an empty set and no link;
 shorter texts have their whole word sequence as their one shingle; equal rows
-are linked; rows with a null id are not linked and keep a null component;
-64-bit hashes stand for shingles.
+are linked; rows with a null id are not linked and keep a null component; an id
+that stands with several texts has a row for each, which is linked as its text
+is; 64-bit hashes stand for shingles, and for classes once they are formed.
 """
 
 from __future__ import annotations
@@ -75,18 +76,26 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+#: What tells classes apart: the number of shingles and a 128-bit signature of the set.
+MARK = ("n_shingles", "sum_a", "sum_b")
+
+
+def _marks(sets: list[np.ndarray]) -> list[pa.Array]:
+    """The columns of MARK."""
+    sums = [np.array([mix(s ^ np.uint64(salt)).sum() if len(s) else 0 for s in sets], np.uint64).view(np.int64) for salt in (11, 29)]
+    return [pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, sums)]
+
+
 def _profiles(n: int):
-    """(doc_id, text) to doc_id, n_shingles, a 128-bit signature of the set, and its sketch."""
+    """(doc_id, text) to doc_id, the mark of its set, and its sketch."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in byte_slices(batch.column("text")):
                 sets = shingle_sets(batch.column("text").slice(a, b - a), n)
-                sizes = np.array([len(s) for s in sets], np.int64)
-                sums = [np.array([mix(s ^ np.uint64(salt)).sum() if len(s) else 0 for s in sets], np.uint64).view(np.int64) for salt in (11, 29)]
                 body = pa.py_buffer(np.ascontiguousarray(sketches(sets)).tobytes())
                 packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * SKETCH), b - a, [None, body]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(sizes), *map(pa.array, sums), packed], ["doc_id", "n_shingles", "sum_a", "sum_b", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *_marks(sets), packed], ["doc_id", *MARK, "sketch"])
 
     return profile
 
@@ -225,13 +234,18 @@ def _tree_nodes(classes: DataFrame, trees: tuple[int, ...]) -> DataFrame:
 
 
 def _sets(n: int):
+    """(doc_id, text) to the mark and the shingles of each set, equal sets once a task."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             for a, b in byte_slices(batch.column("text")):
                 sets = shingle_sets(batch.column("text").slice(a, b - a), n)
-                ends = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-                values = pa.array(np.concatenate(sets).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc", "shingles"])
+                marks = pa.RecordBatch.from_arrays(_marks(sets), list(MARK))
+                new = [k for k, m in enumerate(zip(*(c.to_pylist() for c in marks.columns), strict=True)) if not (m in seen or seen.add(m))]
+                ends = np.r_[0, np.cumsum([len(sets[k]) for k in new])].astype(np.int32)
+                values = pa.array(np.concatenate([np.empty(0, np.uint64), *(sets[k] for k in new)]).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(new, pa.int64())) for c in marks.columns), pa.ListArray.from_arrays(pa.array(ends), values)], [*MARK, "shingles"])
 
     return emit
 
@@ -280,6 +294,8 @@ def _compare(least: int):
                 if at != node:
                     close()
                     held, node = [], at
+                if held and held[-1][0] == doc:  # the same class, read from another row of its id
+                    continue
                 held.append((doc, component, values[ends[k] : ends[k + 1]].copy()))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
@@ -307,17 +323,18 @@ def components(links: DataFrame) -> DataFrame:
         edges = written(small.filter("u <> v").distinct())
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """doc and shingles of the classes in nodes."""
-    texts = docs.withColumnRenamed("doc_id", "doc").join(smallable(nodes.select("doc").distinct()), "doc", "left_semi")
-    return texts.mapInArrow(_sets(words), "doc long, shingles array<long>")
+def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """doc and shingles of the classes in nodes, and of other texts of their ids; a class may come more than once."""
+    ids = written(classes.join(smallable(nodes.select("doc").distinct()), "doc", "left_semi").select(F.col("least_id").alias("doc_id")).distinct())
+    sets = docs.join(smallable(ids), "doc_id", "left_semi").mapInArrow(_sets(words), "n_shingles long, sum_a long, sum_b long, shingles array<long>")
+    return sets.select(F.xxhash64(*MARK).alias("doc"), "shingles")
 
 
 def _links(docs: DataFrame, classes: DataFrame, trees: tuple[int, ...], words: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links (a, b) between classes(doc, component, sketch), found by some trees, and (node, doc) of the too large nodes."""
+    """Confirmed links (a, b) between classes(doc, least_id, component, sketch), found by some trees, and (node, doc) of the too large nodes."""
     found = written(_tree_nodes(classes, trees))
     nodes = found.filter("not large")
-    sets = _sets_of(docs, nodes, words)
+    sets = _sets_of(docs, classes, nodes, words)
     compared = nodes.join(sets, "doc").select("node", "doc", "component", "shingles").repartition("node").sortWithinPartitions("node", "doc")
     return written(compared.mapInArrow(_compare(least), "a long, b long")), found.filter("large").select("node", "doc")
 
@@ -347,33 +364,36 @@ def exact_links(sets: DataFrame, least: int) -> DataFrame:
     return both.filter(100 * F.col("both") >= least * (F.size("of_a") + F.size("of_b") - F.col("both"))).select("a", "b")
 
 
-def _rest_links(docs: DataFrame, large: DataFrame, labels: DataFrame, words: int, least: int) -> DataFrame | None:
+def _rest_links(docs: DataFrame, classes: DataFrame, large: DataFrame, labels: DataFrame, words: int, least: int) -> DataFrame | None:
     """Exact links among the classes of large(node, doc) whose node still holds several components, if there are any."""
     named = large.join(labels, large["doc"] == labels["node"], "left").select(large["node"], "doc", F.coalesce("component", "doc").alias("component"))
     open_nodes = named.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("node")
     rest = written(named.join(open_nodes, "node").select("doc", "component").distinct())
     if rest.isEmpty():
         return None
-    return written(exact_links(written(_sets_of(docs, rest, words).join(rest, "doc").dropDuplicates(["doc"])), least))
+    return written(exact_links(written(_sets_of(docs, classes, rest, words).join(rest, "doc").dropDuplicates(["doc"])), least))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, least: int = 80) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_shingles, component_id and kept, at a Jaccard similarity of least / 100."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = written(docs.mapInArrow(_profiles(words), "doc_id long, n_shingles long, sum_a long, sum_b long, sketch binary"))
-    mark = ("n_shingles", "sum_a", "sum_b")
-    classes = written(found.filter("n_shingles > 0 and doc_id is not null").groupBy(*mark).agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch")))
+    sized = found.filter("n_shingles > 0 and doc_id is not null")
+    classes = written(sized.groupBy(*MARK).agg(F.min("doc_id").alias("least_id"), F.first("sketch").alias("sketch")).withColumn("doc", F.xxhash64(*MARK)))
     links, labels, large = None, None, None
     for trees in TREES:
         named = classes.withColumn("component", F.col("doc")) if labels is None else classes.join(labels, classes["doc"] == labels["node"], "left").withColumn("component", F.coalesce("component", "doc"))
         more, wide = _links(docs, named, trees, words, least)
         links, large = (more, wide) if links is None else (links.unionByName(more), large.unionByName(wide.withColumn("node", F.xxhash64("node"))))
         labels = components(links)
-    rest = _rest_links(docs, large, labels, words, least)
+    rest = _rest_links(docs, classes, large, labels, words, least)
     if rest is not None:
         labels = components(links.unionByName(rest))
-    named = classes.join(labels, classes["doc"] == labels["node"], "left").select(*mark, F.coalesce("component", "doc").alias("component_id"))
-    of_rows = found.drop("sketch").join(named, list(mark), "left")
+    members = written(labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct()))
+    first = written(members.join(classes, members["node"] == classes["doc"]).groupBy("component").agg(F.min("least_id").alias("component_id")))
+    ids = members.join(smallable(first), "component").select("node", "component_id")
+    named = classes.join(ids, classes["doc"] == ids["node"], "left").select(*MARK, F.coalesce("component_id", "least_id").alias("component_id"))
+    of_rows = found.drop("sketch").join(named, list(MARK), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return of_rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
