@@ -22,9 +22,9 @@ def stream_distinct(spark, sf_dir):
     return ops.to_end(ops.first_of_each(keyed, "key")).select("user_id", "event_type")
 
 
-@BOOK.add("t1_stream_newer_than", "WITH known AS (SELECT user_id, max(ts) AS mark FROM events WHERE ts < TIMESTAMP '2024-01-15' AND user_id % 2 = 0 GROUP BY 1) SELECT event_id, e.user_id FROM events AS e LEFT JOIN known AS k ON e.user_id = k.user_id WHERE mark IS NULL OR ts > mark")
+@BOOK.add("t1_stream_newer_than", "WITH known AS (SELECT user_id, max(ts) AS mark FROM events WHERE ts < TIMESTAMP '2024-01-15' AND event_type = 'signup' GROUP BY 1) SELECT event_id, e.user_id FROM events AS e LEFT JOIN known AS k ON e.user_id = k.user_id WHERE mark IS NULL OR ts > mark")
 def stream_newer(spark, sf_dir):
-    known = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).filter("ts < timestamp '2024-01-15' and user_id % 2 = 0")
+    known = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).filter("ts < timestamp '2024-01-15' and event_type = 'signup'")
     return ops.to_end(ops.newer_than(ops.events(spark, sf_dir), known, "user_id").select("event_id", "user_id"))
 
 
