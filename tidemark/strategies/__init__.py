@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -101,7 +102,7 @@ def _simulate(pdf: pd.DataFrame, stop: float, trailing: bool, cash: float) -> tu
 def backtest(signals: DataFrame, stop: float = 0.0, trailing: bool = False, cash: float = CASH) -> DataFrame:
     """The trades of signals(k, d, close, entry, exit), each key with an account of its own."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         trades, _ = _simulate(pdf.sort_values("d"), stop, trailing, cash)
         return pd.DataFrame([(key[0], *t) for t in trades], columns=[c.split()[0] for c in _TRADE.split(", ")])
 
@@ -111,7 +112,7 @@ def backtest(signals: DataFrame, stop: float = 0.0, trailing: bool = False, cash
 def equity_curve(signals: DataFrame, stop: float = 0.0, trailing: bool = False, cash: float = CASH) -> DataFrame:
     """k, d, equity of the strategy and hold, what buying on the first day would be worth."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("d")
         _, equity = _simulate(pdf, stop, trailing, cash)
         close = pdf["close"].to_numpy(float)
