@@ -4,16 +4,20 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
 from tidemark.llm import chat, decontam, licenses, lines, neardup, pieces, quality, sharding, topk, toxicity
+from tidemark.llm import queries as registered
 from tidemark.llm.base import crc_of_id
 
+FOLDER = os.environ.get("TIDEMARK_TEST_DATA", "/root/testdata/sf0.001")
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = str.maketrans(UPPER, UPPER.lower())
 
@@ -616,3 +620,14 @@ def test_pipeline_stages_on_a_small_corpus(spark, tmp_path, docs, labels, texts)
         assert stage(spark, rows.filter("false"), str(tmp_path)).count() == 0
     sha = {r["doc_id"]: r["text_sha256"] for r in corpus_pipeline.tokenize(spark, rows, str(tmp_path)).collect()}
     assert all(sha[i] == hashlib.sha256((t or "").encode()).hexdigest() for i, t in texts if i is not None)
+
+
+@pytest.mark.parametrize("name", sorted(registered.ORACLES))
+def test_query_matches_its_sql(spark, name):
+    connection = duckdb.connect()
+    for table in ("documents", "benchmark", "labels", "conversations"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
+    got, want = registered.QUERIES[name](spark, FOLDER), connection.execute(registered.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, want.fetchall()))

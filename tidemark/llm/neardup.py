@@ -403,4 +403,21 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_neardup": op8_neardup}
-ORACLES: dict[str, str] = {}
+#: The same join in SQL: prefixes of globally rarest-first shingles, pairs counted in full, components by reachability.
+ORACLES = {
+    "op8_neardup": r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(list_zip(w, w[2:], w[3:], w[4:], true), lambda x: hash(x)) WHEN len(w) > 0 THEN [hash(array_to_string(w, ' '))] END) AS h FROM t),
+marks AS (SELECT doc_id, count(*) AS n, sum(CAST(hash(h) AS HUGEINT)) AS mark FROM s GROUP BY doc_id),
+class AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY n, mark) AS c FROM marks),
+e AS (SELECT c, n, h, count(*) OVER (PARTITION BY h) AS df FROM s JOIN class USING (doc_id) WHERE doc_id = c),
+p AS (SELECT c, n, h FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY df, h) - 1 AS place FROM e) WHERE df > 1 AND 100 * (n - place) >= 80 * n),
+pair AS (SELECT DISTINCT a.c AS a, b.c AS b, a.n AS n, b.n AS m FROM p AS a JOIN p AS b ON a.h = b.h AND a.c < b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+link AS (SELECT a, b FROM pair JOIN e AS x ON x.c = a JOIN e AS y ON y.c = b AND y.h = x.h GROUP BY a, b, pair.n, pair.m HAVING 100 * count(*) >= 80 * (pair.n + pair.m - count(*))),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT c AS a, c AS b FROM class UNION SELECT r.a, g.b FROM reach AS r JOIN edge AS g ON g.a = r.b),
+least AS (SELECT a, min(b) AS first FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(class.n, 0) AS n_shingles, coalesce(first, d.doc_id) AS component_id, coalesce(first, d.doc_id) = d.doc_id AS kept
+FROM documents AS d LEFT JOIN class ON d.doc_id = class.doc_id LEFT JOIN least ON least.a = class.c
+""",
+}

@@ -275,4 +275,16 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_topk": op10_topk}
-ORACLES: dict[str, str] = {}
+#: All scores of all rows.
+ORACLES = {
+    "op10_topk": r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+tf AS (SELECT doc_id, word, count(*) AS times FROM (SELECT doc_id, unnest(w) AS word FROM t) GROUP BY 1, 2),
+size AS (SELECT doc_id, len(w) AS n, avg(len(w)) OVER () AS mean, count(*) OVER () AS docs FROM t),
+df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
+impact AS (SELECT doc_id, word, ln(1 + (docs - df + 0.5) / (df + 0.5)) * times * 2.2 / (times + 1.2 * (0.25 + 0.75 * n / mean)) AS v FROM tf JOIN size USING (doc_id) JOIN df USING (word)),
+hit AS (SELECT q.doc_id AS query_id, i.doc_id, round(sum(v), 9) AS score FROM tf AS q JOIN impact AS i USING (word) WHERE q.doc_id % 50 = 0 GROUP BY 1, 2),
+place AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hit)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM place WHERE rank <= 10
+""",
+}
