@@ -122,6 +122,18 @@ def test_upserts_are_idempotent_and_keep_old_values(spark):
     assert part[2] == (2, "B", "2021") and part[3] == (3, "c", "2024") and len(part) == 3
 
 
+def test_registry_statuses(spark):
+    registry = spark.createDataFrame([(1, "pending", None), (2, "available", "pending")], "code long, nav_status string, metadata_status string")
+    changes = spark.createDataFrame([(1, "unavailable"), (2, None), (9, "pending")], "code long, nav_status string")
+    got = tables.with_statuses(registry, changes, "code")
+    assert sorted(map(tuple, got.collect())) == [(1, "unavailable", None, True), (2, "available", "pending", True)]
+    assert [r["code"] for r in got.filter(tables.any_status("unavailable", "nav_status", "metadata_status")).collect()] == [1]
+    funds = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
+    rows = spark.sql("SELECT * FROM VALUES ('a', DATE '2024-01-01'), ('a', DATE '2024-01-09'), ('b', DATE '2023-01-01') AS t(k, d)")
+    ages = {r["k"]: (r["records"], r["days_old"], r["status"]) for r in tables.freshness(funds, rows, "k", "d", "2024-01-10", 1).collect()}
+    assert ages == {"a": (2, 1, "Fresh"), "b": (1, 374, "Stale"), "c": (0, None, "Missing")}
+
+
 def test_unique_matches_leave_ambiguous_ones_out(spark):
     left = spark.createDataFrame([("a",), ("b",)], "s string")
     right = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "s string, code int")

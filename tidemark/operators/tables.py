@@ -87,3 +87,32 @@ def refreshed(cached: DataFrame, fresh: DataFrame, asked: DataFrame, keys: list[
     """cached with the rows of the asked keys replaced by their fresh ones, if they have any."""
     kept = cached.join(asked.select(*keys), keys, "left_anti")
     return kept.unionByName(fresh.join(asked.select(*keys).distinct(), keys, "left_semi").select(*cached.columns))
+
+
+def tracked(registry: DataFrame, names: DataFrame) -> DataFrame:
+    """Registry rows with their names, by name; codes without a name do not show."""
+    return registry.join(names, "code").orderBy("name", "code")
+
+
+def any_status(wanted: str, *columns: str) -> Column:
+    return F.array_contains(F.array(*(F.coalesce(F.col(c), F.lit("")) for c in columns)), wanted)
+
+
+def with_statuses(registry: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """registry with the statuses that changes, one row a key, gives (NULL: as before), and whether the key was ``attempted``."""
+    given = [c for c in changes.columns if c != key]
+    marked = changes.select(key, F.lit(True).alias("_hit"), *(F.col(c).alias(f"_{c}") for c in given))
+    joined = registry.join(marked, key, "left").withColumns({c: F.coalesce(f"_{c}", c) for c in given})
+    return joined.withColumn("attempted", F.coalesce("_hit", F.lit(False))).select(*registry.columns, "attempted")
+
+
+def freshness(funds: DataFrame, rows: DataFrame, key: str, day: str, today: str, most: int) -> DataFrame:
+    """Per fund the number of rows, first and last day, age in days and status: Stale beyond ``most`` days, Missing without rows."""
+    spans = rows.groupBy(key).agg(F.count("*").alias("records"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
+    joined = funds.join(spans, key, "left").withColumn("records", F.coalesce("records", F.lit(0).cast("long"))).withColumn("days_old", F.datediff(F.lit(today).cast("date"), "last_day").cast("long"))
+    return joined.withColumn("status", F.when(F.col("days_old").isNull(), "Missing").when(F.col("days_old") > most, "Stale").otherwise("Fresh"))
+
+
+def resolved(rows: DataFrame, codes: DataFrame, slug: str) -> DataFrame:
+    """rows with the code of their slug, codes having one row a slug; rows whose slug is unknown are skipped."""
+    return rows.join(codes, slug).drop(slug)
