@@ -34,6 +34,6 @@ def stream_refreshed(spark, sf_dir):
     return ops.refreshed(touched, table(spark, sf_dir, "events"), "user_id", lambda rows: rows.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")))
 
 
-@BOOK.add("t5_stream_positions")
+@BOOK.add("t5_stream_positions", "WITH m AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events WHERE event_type IN ('click', 'error')), c AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'click' AND before IS DISTINCT FROM 'click') AS opened, count(*) FILTER (WHERE event_type = 'error' AND before = 'click') AS closed FROM m GROUP BY 1) SELECT user_id, coalesce(opened, 0) AS opened, coalesce(closed, 0) AS closed, coalesce(opened > closed, false) AS holding FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN c USING (user_id)")
 def stream_positions(spark, sf_dir):
     return ops.to_end(ops.positions(ops.events(spark, sf_dir)), "update")
