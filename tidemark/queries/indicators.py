@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.indicators import RECURSIVE, compute
 from tidemark.operators.cluster import cluster_order
 from tidemark.operators.series import correlation_pairs, growth
-from tidemark.plans.relations import BARS_SQL, NUDGE, bars, nav
+from tidemark.plans.relations import BARS_SQL, NUDGE, bars, nav, nav_sql
 from tidemark.queries.book import Book
 from tidemark.strategies import STRATEGIES, backtest, equity_curve, trade_stats, with_signals
 
@@ -122,9 +122,12 @@ def stats(spark, sf_dir):
     return trade_stats(backtest(_signals(spark, sf_dir, "rsi"), stop=0.1, trailing=True))
 
 
-@BOOK.add("b8_equity_curve")
+_CROSSED = f"b AS (SELECT k, d, nav AS close, row_number() OVER (PARTITION BY k ORDER BY d) AS n FROM ({nav_sql('brand')})), s AS (SELECT k, d, n, close, {_full('avg(close)', 20)} AS a, {_full('avg(close)', 50)} AS b FROM b), x AS (SELECT *, lag(a) OVER w AS a0, lag(b) OVER w AS b0 FROM s WINDOW w AS (PARTITION BY k ORDER BY d)), sig AS (SELECT k, d, n, close, coalesce(a > b AND a0 <= b0, false) AS entry, coalesce(b > a AND b0 <= a0, false) AS exit FROM x)"
+
+
+@BOOK.add("b8_equity_curve", f"WITH {_CROSSED}, r AS (SELECT k, n, entry, lag(entry) OVER (PARTITION BY k ORDER BY n) AS before FROM sig WHERE entry OR exit), e AS (SELECT k, n, CASE WHEN entry AND before IS DISTINCT FROM true THEN 1 WHEN NOT entry AND before THEN -1 END AS turn FROM r), c AS (SELECT k, d, close, sum(turn) OVER w AS held, sum(CASE turn WHEN 1 THEN -ln(close * 1.001 * 1.001) WHEN -1 THEN ln(close * 0.999 * 0.999) END) OVER w AS grown, first_value(close) OVER w AS first FROM sig LEFT JOIN e USING (k, n) WINDOW w AS (PARTITION BY k ORDER BY n)) SELECT k, d, round(100000 * exp(coalesce(grown, 0)) * CASE WHEN held = 1 THEN close ELSE 1 END + {1e4 * NUDGE}, 2) AS equity, round(100000 * close / first + {1e4 * NUDGE}, 2) AS hold FROM c", dates="d")
 def equity(spark, sf_dir):
-    return equity_curve(_signals(spark, sf_dir))
+    return equity_curve(_signals(spark, sf_dir)).select("k", "d", *(F.round(F.col(c) + 1e4 * NUDGE, 2).alias(c) for c in ("equity", "hold")))
 
 
 _TRADES = "SELECT o_custkey % 20 AS k, o_totalprice - 140000 AS pnl, (o_totalprice - 140000) / 1000000 AS ret, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_custkey % 30 AS INT) AS b FROM orders"
