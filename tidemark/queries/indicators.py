@@ -112,11 +112,6 @@ def _signals(spark, sf_dir, name="sma_crossover"):
     return with_signals(bar, name)
 
 
-@BOOK.add("b6_backtest_trades")
-def trades(spark, sf_dir):
-    return backtest(_signals(spark, sf_dir), stop=0.1).select("k", "entry_day", "exit_day", *(F.round(c, 5).alias(c) for c in ("size", "entry_price", "exit_price", "pnl", "ret")), "status")
-
-
 @BOOK.add("b7_trade_stats")
 def stats(spark, sf_dir):
     return trade_stats(backtest(_signals(spark, sf_dir, "rsi"), stop=0.1, trailing=True))
@@ -130,6 +125,20 @@ def equity(spark, sf_dir):
     return equity_curve(_signals(spark, sf_dir)).select("k", "d", *(F.round(F.col(c) + 1e4 * NUDGE, 2).alias(c) for c in ("equity", "hold")))
 
 
+@BOOK.add(
+    "b6_backtest_trades",
+    f"""WITH RECURSIVE {_CROSSED},
+c AS (SELECT e.k, e.n, any_value(e.d) AS d, any_value(e.close) AS close, min(s.n) AS x FROM sig AS e LEFT JOIN sig AS s ON s.k = e.k AND s.n > e.n AND (s.exit OR s.close <= e.close * (1 - 0.1)) WHERE e.entry GROUP BY e.k, e.n),
+f AS (SELECT c.*, (SELECT min(y.n) FROM c AS y WHERE y.k = c.k AND y.n > c.x) AS next, coalesce(o.d, z.d) AS exit_day, coalesce(o.close * 0.999, z.close) AS exit_price, 1 / (c.close * 1.001 * 1.001) AS unit FROM c LEFT JOIN (SELECT k, n AS x, d, close FROM sig) AS o USING (k, x) JOIN (SELECT k, max(d) AS d, arg_max(close, d) AS close FROM sig GROUP BY k) AS z USING (k)),
+t AS (SELECT f.*, CAST(100000 AS DOUBLE) AS cost FROM f WHERE n = (SELECT min(n) FROM c WHERE c.k = f.k) UNION ALL SELECT f.*, t.cost * t.unit * t.exit_price * 0.999 FROM t JOIN f ON f.k = t.k AND f.n = t.next),
+v AS (SELECT *, cost * unit * exit_price * CASE WHEN x IS NULL THEN 1 ELSE 0.999 END - cost AS pnl FROM t)
+SELECT k, d AS entry_day, exit_day, round(cost * unit, 5) AS size, round(close * 1.001, 5) AS entry_price, round(exit_price, 5) AS exit_price, round(pnl, 3) AS pnl, round(pnl / cost, 5) AS ret, CASE WHEN x IS NULL THEN 'Open' ELSE 'Closed' END AS status FROM v""",
+    dates="entry_day exit_day",
+)
+def trades(spark, sf_dir):
+    return backtest(_signals(spark, sf_dir), stop=0.1).select("k", "entry_day", "exit_day", *(F.round(c, n).alias(c) for c, n in (("size", 5), ("entry_price", 5), ("exit_price", 5), ("pnl", 3), ("ret", 5))), "status")
+
+
 _TRADES = "SELECT o_custkey % 20 AS k, o_totalprice - 140000 AS pnl, (o_totalprice - 140000) / 1000000 AS ret, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_custkey % 30 AS INT) AS b FROM orders"
 
 
