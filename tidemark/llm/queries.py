@@ -1,9 +1,9 @@
-"""The registered queries of the ten corpus operators and their SQL."""
+"""The registered queries of the corpus operators and their SQL."""
 
 from __future__ import annotations
 
-from tidemark.llm import chat, decontam, licenses, lines, neardup, pieces, quality, sharding, topk, toxicity
+from tidemark.llm import chat, decontam, licenses, lines, neardup, phrases, pieces, quality, sharding, topk, toxicity
 
-_MODULES = (quality, licenses, pieces, decontam, sharding, chat, lines, neardup, toxicity, topk)
+_MODULES = (quality, licenses, pieces, decontam, sharding, chat, lines, neardup, toxicity, topk, phrases)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -1,9 +1,10 @@
 """Vectorised word and shingle hashing over Arrow string arrays.
 
 A word is hashed from its bytes with a polynomial whose prefix sums give every
-word's hash without a loop over words; A-Z count as a-z.  Two kinds of words:
-``space`` (runs without ASCII white space) and ``alnum`` (runs of ASCII letters,
-digits and bytes of other characters).
+word's hash without a loop over words; A-Z count as a-z.  Kinds of words:
+``space`` (runs without ASCII white space), ``alnum`` (runs of ASCII letters,
+digits and bytes of other characters), ``letters`` (the same without digits)
+and ``piece`` (runs without white space and the signs that end a piece).
 """
 
 from __future__ import annotations
@@ -29,10 +30,15 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _VALUE = mix(_LOWER.astype(np.uint64) + np.uint64(0x1234567))
 _EXACT = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x1234567))
-_KINDS = {"space": np.ones(256, bool), "alnum": np.zeros(256, bool)}
+_KINDS = {"space": np.ones(256, bool), "alnum": np.zeros(256, bool), "letters": np.zeros(256, bool), "piece": np.ones(256, bool)}
 _KINDS["space"][[9, 10, 11, 12, 13, 32]] = False
 _KINDS["alnum"][[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-
+_KINDS["letters"][[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: Bytes that end a piece of text.
+PIECE_ENDS = np.zeros(256, bool)
+PIECE_ENDS[[*b".,;:!?", 10, 11, 12, 13]] = True
+_KINDS["piece"][PIECE_ENDS] = False
+_KINDS["piece"][[9, 32]] = False
 
 
 def folded(data: np.ndarray) -> np.ndarray:
@@ -98,6 +104,14 @@ class Words:
         self.rows = np.searchsorted(offsets, self.starts, side="right") - 1
 
 
+def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Spans of UTF-8 bytes as strings."""
+    size = ends - starts
+    offsets = np.r_[0, np.cumsum(size)].astype(np.int32)
+    places = np.repeat(starts - offsets[:-1], size) + np.arange(offsets[-1])
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[places])))
+
+
 def hashed_words(texts: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, start byte, end byte) of every word of every text, in order."""
     words = Words(texts, kind)
