@@ -5,18 +5,20 @@ characters beyond ASCII after A-Z are lower-cased.
 
 * Base: every place where a phrase's words stand consecutively, over line ends.
 * Templates: every block that holds at least ``CONTAINMENT`` of a template's
-  distinct words.  A block is a line of any length, or two to ``LINES`` lines
-  in a row of at most ``SPAN`` words together, so that a wrapped notice is
-  found.  The join is exact: the templates' words are ordered by the number of
-  lines that hold them, rarest first; a block must share one of a template's
-  first words (prefix filter), hold enough of the templates' words (length
+  distinct words.  A block is any run of words ``REACH`` times as long as the
+  template, wherever its lines end, so a notice is found however it is wrapped
+  or marked as a comment.  The join is exact: the templates' words are ordered by the number of
+  texts that hold them, rarest first; a text with such a block must share one of
+  the template's first words (prefix filter), hold enough of its words (length
   filter), and have enough words left after the first shared one (positional
-  filter); what remains is counted in full.
+  filter).  In what remains a block that meets the threshold can be made to begin
+  with a word of the template, so blocks from each of these are counted in full.
 
-Texts are taken apart once; the words of the templates in each line are written
-as a table, which the count of words and the join read.  The templates are a
-fixed list, so their index may be broadcast; blocks never are.  The score is
-the highest containment of a template, 1 with a base phrase.
+Texts are taken apart once; the templates' words in each text and, where they
+are enough for some template, their places are written as a table, which the
+count of words and the join read.  The templates are a fixed list, so their
+index may be broadcast; texts never are.  The score is the highest containment
+of a template, 1 with a base phrase.
 
 Defined results: a null text is empty, with no words, labels or places and
 score 0; repeated rows repeat; a null id is kept; labels of nothing are "".
@@ -25,6 +27,7 @@ score 0; repeated rows repeat; a null id is kept; labels of nothing are "".
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,8 +56,8 @@ TEMPLATES = (
 )
 #: Least share of a template's distinct words in a block.
 CONTAINMENT = 0.8
-#: Most lines in a block, and most words in a block of several lines.
-LINES, SPAN = 4, 48
+#: Words in a block, as a multiple of the template's.
+REACH = 2
 
 
 def lowered(text: str) -> Column:
@@ -81,34 +84,30 @@ def _template_index(spark: SparkSession, templates: tuple, order: list[str], con
         tokens = sorted(set(text.split()), key=order.index)
         least = math.ceil(containment * len(tokens) - 1e-9)
         for place, token in enumerate(tokens[: len(tokens) - least + 1]):
-            rows.append(F.struct(F.lit(token).alias("token"), F.lit(k).alias("template"), F.lit(label).alias("label"), F.lit(place).alias("place"), F.lit(len(tokens)).alias("size"), F.lit(least).alias("least"), _strings(tokens).alias("tokens")))
+            rows.append(F.struct(F.lit(token).alias("token"), F.lit(k).alias("template"), F.lit(label).alias("label"), F.lit(place).alias("place"), F.lit(len(tokens)).alias("size"), F.lit(least).alias("least"), F.lit(REACH * len(text.split())).alias("width"), _strings(tokens).alias("tokens")))
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def _blocks(lines: DataFrame) -> DataFrame:
-    """doc_id, text_hash and the templates' words of each block of lines(doc_id, text_hash, lines); blocks that begin with a line without any equal a shorter one."""
-    following = F.arrays_zip(*(F.slice("lines", k + 1, F.size("lines")).alias(f"l{k}") for k in range(LINES)))
-    each = lines.select("doc_id", "text_hash", F.explode(following).alias("x")).select("doc_id", "text_hash", "x.*").filter(F.size("l0.held") > 0)
-    words = lambda k: sum((F.col(f"l{i}.n") for i in range(1, k)), F.col("l0.n"))
-    held = lambda k: F.array_distinct(F.concat(*(F.col(f"l{i}.held") for i in range(k))))
-    blocks = F.array(F.col("l0.held"), *(F.when(words(k) <= SPAN, held(k)) for k in range(2, LINES + 1)))
-    return each.select("doc_id", "text_hash", F.explode(F.array_distinct(F.array_compact(blocks))).alias("held"))
+def _least(text: str, containment: float) -> int:
+    return math.ceil(containment * len(set(text.split())) - 1e-9)
 
 
-def template_blocks(lines: DataFrame, templates: tuple = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """doc_id, text_hash, label and containment of every block of lines(doc_id, text_hash, lines) that meets a template."""
+def template_blocks(texts: DataFrame, templates: tuple = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+    """doc_id, text_hash, label and highest containment of every template that a block of texts(doc_id, text_hash, held, marks) meets."""
     vocabulary = _vocabulary(templates)
-    held = lines.select(F.explode(F.flatten("lines.held")).alias("token"))
+    held = texts.select(F.explode("held").alias("token"))
     frequency = {r["token"]: r["n"] for r in held.groupBy("token").agg(F.count("*").alias("n")).collect()}  # a row for each word of the templates
     order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
-    fewest = min(math.ceil(containment * len(set(text.split())) - 1e-9) for _, text in templates)
-    index = F.broadcast(_template_index(lines.sparkSession, templates, order, containment))
-    ordered = _blocks(lines).filter(F.size("held") >= fewest).select("doc_id", "text_hash", F.array_intersect(_strings(order), "held").alias("held"))
-    shared = ordered.select("doc_id", "text_hash", "held", F.posexplode("held").alias("at", "token")).join(index, "token")
+    index = F.broadcast(_template_index(texts.sparkSession, templates, order, containment))
+    ordered = texts.filter(F.size("marks") > 0).select("doc_id", "text_hash", "marks", F.array_intersect(_strings(order), "held").alias("held"))
+    shared = ordered.select("doc_id", "text_hash", "marks", "held", F.posexplode("held").alias("at", "token")).join(index, "token")
     left = 1 + F.least(F.col("size") - F.col("place") - 1, F.size("held") - F.col("at") - 1)
     passing = shared.filter((F.size("held") >= F.col("least")) & (F.col("place") == F.array_position("tokens", F.element_at(F.array_intersect("tokens", "held"), 1)) - 1) & (left >= F.col("least")))
-    counted = passing.withColumn("both", F.size(F.array_intersect("tokens", "held"))).filter(F.col("both") >= F.col("least"))
-    return counted.select("doc_id", "text_hash", "label", (F.col("both") / F.col("size")).alias("containment"))
+    counted = passing.filter(F.size(F.array_intersect("tokens", "held")) >= F.col("least"))
+    own = counted.withColumn("own", F.filter("marks", lambda m: F.array_contains(F.col("tokens"), m["word"]))).drop("marks", "held")
+    block = lambda m, k: F.filter(F.slice("own", k + 1, F.col("width")), lambda x: x["at"] < m["at"] + F.col("width"))
+    best = own.withColumn("both", F.array_max(F.transform("own", lambda m, k: F.size(F.array_distinct(F.transform(block(m, k), lambda x: x["word"]))))))
+    return best.filter(F.col("both") >= F.col("least")).select("doc_id", "text_hash", "label", (F.col("both") / F.col("size")).alias("containment"))
 
 
 def _places(words: Column, phrase: str) -> Column:
@@ -123,16 +122,17 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, containment: float = CON
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     likely = "|".join(phrase.replace(" ", GAP) for phrase in PHRASES)
     low = docs.select("doc_id", "text_hash", lowered("text").alias("low"))
-    split = low.select("doc_id", "text_hash", F.transform(F.split("low", "\n"), _words).alias("lines"), F.col("low").rlike(likely).alias("likely"))
-    whole = split.select("doc_id", "text_hash", "lines", "likely", F.flatten("lines").alias("words"))
+    whole = low.select("doc_id", "text_hash", _words(F.col("low")).alias("words"), F.col("low").rlike(likely).alias("likely"))
     none = F.array().cast("array<int>")
     found = {label: F.when(F.col("likely"), _places(F.col("words"), phrase)).otherwise(none) for phrase, label in PHRASES.items()}
     vocabulary = _strings(_vocabulary(templates))
-    held = F.transform("lines", lambda words: F.struct(F.size(words).alias("n"), F.array_intersect(vocabulary, words).alias("held")))
-    places = written(whole.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), *(v.alias(k) for k, v in found.items()), held.alias("lines")))
+    whole = whole.withColumn("held", F.array_intersect(vocabulary, "words"))
+    enough = reduce(lambda a, b: a | b, (F.size(F.array_intersect(_strings(sorted(set(text.split()))), "held")) >= _least(text, containment) for _, text in templates))
+    marks = F.when(enough, F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda m: F.array_contains(vocabulary, m["word"])))
+    places = written(whole.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), *(v.alias(k) for k, v in found.items()), "held", F.coalesce(marks, F.array().cast("array<struct<at:int,word:string>>")).alias("marks")))
     every = F.flatten(F.array(*(F.col(f"`{k}`") for k in found)))
     base = places.select("doc_id", "text_hash", "n_words", every.alias("at"), F.array_sort(F.array_compact(F.array(*(F.when(F.size(F.col(f"`{k}`")) > 0, F.lit(k)) for k in found)))).alias("base"))
-    blocks = template_blocks(places.select("doc_id", "text_hash", "lines"), templates, containment)
+    blocks = template_blocks(places.select("doc_id", "text_hash", "held", "marks"), templates, containment)
     per_doc = blocks.groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     both = base.join(per_doc, base["doc_id"].eqNullSafe(per_doc["doc_id"]) & (base["text_hash"] == per_doc["text_hash"]), "left")
     joined = lambda c: F.array_join(c, ",")
@@ -158,7 +158,7 @@ def _phrase_sql(phrase: str) -> str:
 
 
 def _template_sql() -> str:
-    return ", ".join(f"({k}, '{label}', {sorted(set(text.split()))!r})" for k, (label, text) in enumerate(TEMPLATES))
+    return ", ".join(f"({k}, '{label}', {sorted(set(text.split()))!r}, {REACH * len(text.split())})" for k, (label, text) in enumerate(TEMPLATES))
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -170,19 +170,14 @@ WITH low AS (
   SELECT doc_id, regexp_extract_all(low, '{WORD}') AS words FROM low
 ), placed AS (
   SELECT doc_id, len(words) AS n_words, {", ".join(f"{_phrase_sql(p)} AS p{k}" for k, p in enumerate(PHRASES))} FROM worded
-), lined AS (
-  SELECT doc_id, list_transform(string_split(low, chr(10)), lambda l: regexp_extract_all(l, '{WORD}')) AS lines FROM low
-), begun AS (
-  SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM lined
-), block AS (
-  SELECT doc_id, k, flatten(lines[i : i + k - 1]) AS words FROM begun, range(1, {LINES + 1}) AS r(k) WHERE i + k - 1 <= len(lines)
-), held AS (
-  SELECT doc_id, list_distinct(words) AS words FROM block WHERE k = 1 OR len(words) <= {SPAN}
-), template(id, label, tokens) AS (VALUES {_template_sql()}
+), template(id, label, tokens, width) AS (VALUES {_template_sql()}
+), mark AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM worded
+), near AS (
+  SELECT doc_id, id, label, len(tokens) AS size, count(DISTINCT word) OVER (PARTITION BY doc_id, id ORDER BY i RANGE BETWEEN CURRENT ROW AND width - 1 FOLLOWING) AS both
+  FROM mark JOIN template ON list_contains(tokens, word)
 ), met AS (
-  SELECT l.doc_id, t.label, len(list_intersect(t.tokens, l.words)) * 1.0::DOUBLE / len(t.tokens) AS containment
-  FROM held AS l, template AS t
-  WHERE len(list_intersect(t.tokens, l.words)) >= ceil({CONTAINMENT} * len(t.tokens) - 1e-9)
+  SELECT doc_id, label, both * 1.0::DOUBLE / size AS containment FROM near WHERE both >= ceil({CONTAINMENT} * size - 1e-9)
 ), more AS (
   SELECT doc_id, list(DISTINCT label) AS labels, max(containment) AS best FROM met GROUP BY doc_id
 ), based AS (
