@@ -6,13 +6,15 @@ digits, spaces and each punctuation mark).  Indicators are scaled by the log
 ratio of their class counts, which Spark gathers over every training row, and
 brought to length 1.  A linear hinge-loss model is then fitted by dual
 coordinate descent on a bounded sample of distinct rows, ``SAMPLE_ROWS`` of at
-most ``SAMPLE_INDICATORS`` together (in the order of a hash; a row that would
-not fit is passed over and the next one tried), and a logistic curve on rows
-kept apart turns its margin into a probability.
+most ``SAMPLE_INDICATORS`` together, half of both for each class (in the order
+of a hash; a row that would not fit is passed over and the next one tried), and
+a logistic curve on rows kept apart, up to ``CALIBRATION_ROWS``, again by class
+and weighted by what they stand for, turns its margin into a probability.
 
 Defined results: null and empty texts have no indicators, so their margin is
 the bias; repeated rows repeat; a null id is not held out and has no label;
-without labels of both classes the score is the smoothed share of label 1.
+without labels of both classes the score is the smoothed share of label 1;
+where the rows kept apart lack a class, all training rows fit the curve.
 """
 
 from __future__ import annotations
@@ -109,19 +111,27 @@ def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sample(rows: DataFrame) -> pa.Table:
-    """buckets and good of the distinct rows(text, good, turn) that the descent sees."""
-    turns = rows.select("turn").distinct().orderBy("turn").limit(SAMPLE_ROWS).toArrow().column(0).to_numpy()
-    if not len(turns):
-        return pa.table({"buckets": pa.array([], pa.list_(pa.int32())), "good": pa.array([], pa.int32())})
-    some = rows.filter(F.col("turn") <= int(turns[-1])).select("text", "good", "turn").mapInArrow(_rows_of, "buckets array<int>, good int, turn long")
-    some = written(some.dropDuplicates(["turn"]))
-    left, taken = SAMPLE_INDICATORS, []
-    for turn, n in zip(*(c.to_pylist() for c in some.select("turn", F.size("buckets")).orderBy("turn").toArrow().columns), strict=True):
-        if n <= left:
-            left -= n
-            taken.append((turn,))
-    chosen = rows.sparkSession.createDataFrame(taken, "turn long")
-    return some.join(F.broadcast(chosen), "turn", "left_semi").orderBy("turn").select("buckets", "good").toArrow()
+    """buckets and good of the distinct rows(text, good, turn) that the descent sees: of each class up to half of the bounds, so a rare class is not missed."""
+    some = written(_some(rows, 0).unionByName(_some(rows, 1)))
+    taken = []
+    for c in (0, 1):
+        left = SAMPLE_INDICATORS // 2
+        sizes = some.filter(F.col("good") == c).select("turn", F.size("buckets")).orderBy("turn").toArrow()
+        for turn, n in zip(*(x.to_pylist() for x in sizes.columns), strict=True):
+            if n <= left:
+                left -= n
+                taken.append((turn, c))
+    chosen = rows.sparkSession.createDataFrame(taken, "turn long, good int")
+    return some.join(F.broadcast(chosen), ["turn", "good"], "left_semi").orderBy("turn", "good").select("buckets", "good").toArrow()
+
+
+def _some(rows: DataFrame, good: int) -> DataFrame:
+    """Indicators of the first distinct rows of a class."""
+    own = rows.filter(F.col("good") == good)
+    turns = own.select("turn").distinct().orderBy("turn").limit(SAMPLE_ROWS // 2).toArrow().column(0)
+    last = turns[-1].as_py() if len(turns) else -(1 << 63)
+    found = own.filter(F.col("turn") <= last).select("text", "good", "turn").mapInArrow(_rows_of, "buckets array<int>, good int, turn long")
+    return found.dropDuplicates(["turn"])
 
 
 def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, width: int, seed: int = 7) -> np.ndarray:
@@ -167,11 +177,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, calibrate: Column) ->
     balance = np.where(good == 1, len(good) / (2 * good.sum()), len(good) / (2 * (len(good) - good.sum())))
     w = dual_descent(buckets, values, np.where(good == 1, 1.0, -1.0), COST * balance, BUCKETS)
     model.weights, model.bias = w[:-1], float(w[-1])
-    judged = rows.filter(calibrate).select(F.col("good").cast("long").alias("doc_id"), "text", "turn")
-    curve = margins(judged, model, "turn").orderBy("turn").limit(CALIBRATION_ROWS).toArrow().to_pandas()
-    y = curve["doc_id"].to_numpy(float)
-    if 0 < y.sum() < len(y):
-        model.curve = tuple(float(x) for x in logistic(curve[["margin"]].to_numpy(float), y))
+    judged = rows.filter(calibrate)
+    if judged.select("good").distinct().count() < 2:
+        judged = rows
+    curve = written(margins(judged.select(F.col("good").cast("long").alias("doc_id"), "text", "turn"), model, "turn"))
+    sizes = {r["doc_id"]: r["n"] for r in curve.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    parts = [curve.filter(F.col("doc_id") == c).orderBy("turn").limit(CALIBRATION_ROWS // 2).toArrow().to_pandas() for c in (0, 1)]
+    x, y = (np.concatenate([p[c].to_numpy(float) for p in parts]) for c in ("margin", "doc_id"))
+    weight = np.concatenate([np.full(len(p), sizes[c] / len(p)) for c, p in enumerate(parts)])  # the rows taken of a class stand for all of it
+    model.curve = tuple(float(k) for k in logistic(x[:, None], y, weight=weight / weight.mean()))
     return model
 
 
