@@ -14,10 +14,10 @@ trees run in two rounds: nodes whose classes are all in one component after the
 first need no second look.
 
 The classes of those too large nodes that still hold several components after
-both rounds are joined exactly: shingles are ordered rarest first, two classes
-meet if a shingle is in the prefix of both (the prefix of the smaller set being
-the shorter one), sizes and the places of the shingle leave room for enough
-common ones, and their components differ; each such pair is confirmed in full.
+both rounds are joined exactly, by blocks: shingles are ordered rarest first, a
+class goes to a block if a shingle of its prefix is in that of a class of
+another component there, and a task counts the common shingles of two blocks in
+full.  No pair of classes is written, however dense a family is.
 
 Within a node, sketches only order and prefilter the pairs; each link is
 confirmed on full sets.  Pairs already in one component there are skipped, so
@@ -48,8 +48,8 @@ SKETCH, TREES, FIRST, DEPTH = 64, ((0, 1), (2, 3, 4, 5, 6, 7)), 2, 6
 #: Classes in a node that is compared, in a piece of a larger one, in a node that a task branches on in memory,
 #: and the estimate from which a pair is looked at (0.8 less 4.4 deviations).
 LEAF, PIECE, NODE, LOOK = 48, 256, 20_000, 0.58
-#: Rows of a shingle in one task of the exact join; a more frequent one is spread over several.
-HOT = 4_000
+#: Sets and shingles in a block of the exact join, holders in both blocks that make a shingle a column of their matrices, and columns multiplied at once.
+BLOCK_SETS, BLOCK_SHINGLES, OFTEN, COLUMNS = 2_048, 4_000_000, 8, 4_096
 
 _SALT = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTOR = mix(_SALT) | np.uint64(1)
@@ -339,29 +339,126 @@ def _links(docs: DataFrame, classes: DataFrame, trees: tuple[int, ...], words: i
     return written(compared.mapInArrow(_compare(least), "a long, b long")), found.filter("large").select("node", "doc")
 
 
+class Block:
+    """Sets of one block as (set, shingle) entries in order of shingle."""
+
+    def __init__(self, docs: list[int], components: list[int], sets: list[np.ndarray]):
+        self.docs, self.components = np.array(docs, np.int64), np.array(components, np.int64)
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        values, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(values, kind="stable")
+        self.values, self.rows = values[order], rows[order]
+
+
+def _common(one: Block, two: Block) -> np.ndarray:
+    """How many shingles every set of one block shares with every set of another."""
+    shared, at, to = np.intersect1d(*(np.unique(x.values) for x in (one, two)), return_indices=True)
+    sides = []
+    for x in (one, two):
+        begin = np.searchsorted(x.values, shared)
+        sides.append((begin, np.searchsorted(x.values, shared, side="right") - begin))
+    (begin_a, n_a), (begin_b, n_b) = sides
+    counts = np.zeros((len(one.docs), len(two.docs)), np.float32)
+    often = np.minimum(n_a, n_b) >= OFTEN
+    columns = np.flatnonzero(often)
+    for part in np.array_split(columns, max(1, -(-len(columns) // COLUMNS))):
+        grids = []
+        for x, begin, n in ((one, begin_a[part], n_a[part]), (two, begin_b[part], n_b[part])):
+            grid = np.zeros((len(x.docs), len(part)), np.float32)
+            entry = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+            grid[x.rows[entry], np.repeat(np.arange(len(part)), n)] = 1
+            grids.append(grid)
+        counts += grids[0] @ grids[1].T
+    columns = np.flatnonzero(~often)
+    pairs = np.cumsum(n_a[columns] * n_b[columns])
+    begin = 0
+    while begin < len(columns):  # the others' pairs one by one, some four million together
+        to = max(begin + 1, int(np.searchsorted(pairs, (pairs[begin - 1] if begin else 0) + (4 << 20), side="right")))
+        part = columns[begin:to]
+        n = n_a[part] * n_b[part]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wide = np.repeat(n_b[part], n)
+        row = one.rows[np.repeat(begin_a[part], n) + within // wide] * len(two.docs) + two.rows[np.repeat(begin_b[part], n) + within % wide]
+        counts += np.bincount(row, minlength=counts.size).reshape(counts.shape).astype(np.float32)
+        begin = to
+    return counts
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (row, column) of a spanning forest of the bipartite graph of a matrix."""
+    new_rows, new_columns, out = np.ones(linked.shape[0], bool), np.ones(linked.shape[1], bool), []
+    for start in np.flatnonzero(linked.any(1)).tolist():
+        if not new_rows[start]:
+            continue
+        new_rows[start], todo = False, [(True, start)]
+        while todo:
+            is_row, k = todo.pop()
+            found = np.flatnonzero(linked[k] & new_columns if is_row else linked[:, k] & new_rows).tolist()
+            out.extend((k, x) if is_row else (x, k) for x in found)
+            (new_columns if is_row else new_rows)[found] = False
+            todo.extend((not is_row, x) for x in found)
+    return out
+
+
+def _block_links(one: Block, two: Block, least: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest of all links between two blocks, or within one that is given twice."""
+    if (one.components == one.components[0]).all() and (two.components == one.components[0]).all():
+        return []
+    common = _common(one, two)
+    linked = 100 * common >= least * (one.sizes[:, None] + two.sizes[None, :] - common)
+    linked &= (one.docs[:, None] != two.docs[None, :]) & (common > 0)
+    return [(int(one.docs[i]), int(two.docs[j])) for i, j in _forest(linked)]
+
+
+def _compare_blocks(least: int):
+    """Rows (low, high, block, doc, component, shingles) sorted by low and high to links; memory holds a batch, two blocks and their matrix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+        here = None
+
+        def close():
+            blocks = [Block(*map(list, zip(*x, strict=True))) for _, x in sorted(held.items())]
+            found = _block_links(blocks[0], blocks[-1], least) if blocks and (len(blocks) == 2 or here[0] == here[1]) else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
+        for batch in batches:
+            ends = batch.column("shingles").offsets.to_numpy()
+            values = batch.column("shingles").values.to_numpy().view(np.uint64)
+            for k, (low, high, block, doc, component) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("low", "high", "block", "doc", "component")), strict=True)):
+                if (low, high) != here:
+                    yield from close()
+                    held, here = {}, (low, high)
+                held.setdefault(block, []).append((doc, component, values[ends[k] : ends[k + 1]].copy()))
+        yield from close()
+
+    return run
+
+
 def exact_links(sets: DataFrame, least: int) -> DataFrame:
-    """Every link (a, b) between rows of different components of sets(doc, component, shingles), whose shingles are distinct."""
+    """Links (a, b) that join whatever links join among rows of sets(doc, component, shingles), whose shingles are distinct and whose docs are too.
+
+    Sets are dealt to blocks of about ``BLOCK_SETS`` sets and ``BLOCK_SHINGLES``
+    shingles.  A set goes to another block if a shingle of its prefix is in the
+    prefix of a set of another component there, and two blocks that so meet are
+    compared in one task by products of their set-by-shingle matrices.  So there
+    is no row for a pair of sets, and each block pair gives a forest of links.
+    """
     n = F.size("shingles").cast("long")
-    each = sets.select("doc", "component", n.alias("n"), F.explode("shingles").alias("shingle"))
-    frequency = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("rows"))
-    placed = each.join(frequency, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("doc").orderBy("rows", "shingle")) - 1)
-    # A set of n shares at least n * least / 100 with any that it is linked to, and n * 2 * least / (100 + least) with a larger one.
-    prefix = placed.filter((F.col("rows") > 1) & (100 * (F.col("n") - F.col("place")) >= least * F.col("n")))
-    prefix = written(prefix.select("doc", "component", "n", "shingle", "place"))
-    held = prefix.groupBy("shingle").agg(F.mode("component", True).alias("most"), F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / HOT).alias("parts"))
-    rows = prefix.join(held.filter("low <> high").drop("low", "high"), "shingle").withColumn("other", F.col("component") != F.col("most")).drop("most")
-    short = rows.filter((100 + least) * (F.col("n") - F.col("place")) >= 2 * least * F.col("n")).withColumn("part", F.pmod(F.xxhash64("doc"), "parts")).drop("parts")
-    long = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-    room = F.least(F.col("s.n") - F.col("s.place"), F.col("l.n") - F.col("l.place"))
-    meets = (F.col("s.shingle") == F.col("l.shingle")) & (F.col("s.part") == F.col("l.part")) & (F.col("s.component") != F.col("l.component"))
-    fits = (F.col("s.n") <= F.col("l.n")) & (100 * F.col("s.n") >= least * F.col("l.n")) & ((100 + least) * room >= least * (F.col("s.n") + F.col("l.n")))
-    pair = lambda s, l: s.alias("s").join(l.alias("l"), meets & fits).select(F.col("s.doc").alias("a"), F.col("l.doc").alias("b"))  # noqa: E731, E741
-    # Two rows of a shingle's most frequent component need no look, so that its rows meet the others only.
-    pairs = pair(short.filter("other"), long).unionByName(pair(short.filter("not other"), long.filter("other")))
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    of = lambda side: sets.select(F.col("doc").alias(side), F.col("shingles").alias(f"of_{side}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("both", F.size(F.array_intersect("of_a", "of_b")).cast("long"))
-    return both.filter(100 * F.col("both") >= least * (F.size("of_a") + F.size("of_b") - F.col("both"))).select("a", "b")
+    size = sets.agg(F.count("*").alias("sets"), F.sum(n).alias("shingles")).first()
+    blocks = max(1, -(-size["sets"] // BLOCK_SETS), -(-(size["shingles"] or 0) // BLOCK_SHINGLES))
+    dealt = sets.withColumn("block", F.pmod(F.xxhash64(F.col("doc") + 1), F.lit(blocks)).cast("int"))
+    each = dealt.select("doc", "component", "block", n.alias("n"), F.explode("shingles").alias("shingle"))
+    frequency = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("rows")).filter("rows > 1")
+    placed = each.join(frequency, "shingle", "left").withColumn("place", F.row_number().over(Window.partitionBy("doc").orderBy(F.coalesce("rows", F.lit(1)), "shingle")) - 1)
+    # A set of n shares at least n * least / 100 with any that it is linked to.
+    prefix = placed.filter(F.col("rows").isNotNull() & (100 * (F.col("n") - F.col("place")) >= least * F.col("n")))
+    prefix = written(prefix.select("doc", "component", "block", "shingle"))
+    there = prefix.groupBy("shingle", "block").agg(F.min("component").alias("low"), F.max("component").alias("high")).withColumnRenamed("block", "other")
+    wants = prefix.join(there, "shingle").filter((F.col("low") != F.col("component")) | (F.col("high") != F.col("component"))).select("doc", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).distinct()
+    sent = wants.join(dealt, "doc").select("low", "high", "block", "doc", "component", "shingles").repartition("low", "high").sortWithinPartitions("low", "high")
+    return sent.mapInArrow(_compare_blocks(least), "a long, b long")
 
 
 def _rest_links(docs: DataFrame, classes: DataFrame, large: DataFrame, labels: DataFrame, words: int, least: int) -> DataFrame | None:
