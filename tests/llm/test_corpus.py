@@ -95,16 +95,20 @@ def test_classifiers_learn_from_training_rows_only(spark):
         assert sum(right) / len(right) > 0.95
 
 
+def spelt_grams(word):
+    spelt = "^" + word + "$"
+    return [spelt[max(0, k - toxicity.ORDER) : k + 1] for k in range(1, len(spelt))]
+
+
 def brute_steps(rows):
-    """Kneser-Ney steps of every beginning of rows (text, toxic) over plain dictionaries, and what is left for unseen symbols."""
+    """Kneser-Ney steps of every symbol behind its context, of rows (text, toxic) over plain dictionaries, and what is left for unseen symbols."""
     counts = collections.defaultdict(lambda: [0, 0])
     for text, bad in rows:
         for word in words(text):
-            spelt = "^" + word + "$"
-            for k in range(2, min(len(spelt), toxicity.ORDER + 1) + 1):
-                counts[spelt[:k]][bad] += 1
+            for gram in spelt_grams(word):
+                counts[gram][bad] += 1
     grams = {n: collections.Counter() for n in range(1, toxicity.LOWER + 1)}
-    tails = {g: g[1:][-toxicity.LOWER :] for g in counts}
+    tails = {g: g[-min(len(g) - 1, toxicity.LOWER) :] for g in counts}
     for n in range(toxicity.LOWER, 0, -1):
         for t in tails.values():
             if len(t) == n:
@@ -143,35 +147,49 @@ def brute_steps(rows):
     return out, {g: math.log(free[1] / free[0]) for g, (free, _) in left.items()}
 
 
-@pytest.mark.parametrize("part", [2_000_000, 300])
-def test_toxicity_is_kneser_ney(spark, texts, monkeypatch, part):
+@pytest.mark.parametrize(("part", "known"), [(4_000_000, 4_000_000), (300, 20), (4_000_000, 0)])
+def test_toxicity_is_kneser_ney(spark, texts, monkeypatch, part, known):
     monkeypatch.setattr(toxicity, "PART", part)
+    monkeypatch.setattr(toxicity, "WORDS", known)
     rng = random.Random(4)
-    some = ["ärger", "abcdefghijklmnop", "abd", "ab", "xyz", "日本"]
-    rows = [(t, rng.random() < 0.3) for _, t in texts[:60]] + [(" ".join(rng.choice(some) for _ in range(9)), k % 2 == 0) for k in range(30)] + [(None, True), ("", False)]
+    long = "".join(rng.choice("abcdefghij") for _ in range(1000))
+    some = ["ärger", "abcdefghijklmnop", "abd", "ab", "xyz", "日本", long]
+    rows = [(t, rng.random() < 0.3) for _, t in texts[:60]] + [(" ".join(rng.choice(some) for _ in range(9)), k % 2 == 0) for k in range(30)] + [(None, True), ("", False), ("abcdefghijklmnzz", True), ("abcdefghijklmnyy", False)]
     table = toxicity.steps(toxicity.count(spark.createDataFrame(rows, "text string, toxic boolean").repartition(3)))
     want, left = brute_steps(rows)
-    got = {r["gram"]: (r["step"], r["left"]) for r in table.collect()}
-    assert got.keys() == want.keys() | {"^"}
-    for g, step in want.items():
-        assert got[g] == pytest.approx((step, left.get(g, 0.0)), abs=1e-9)
+    got = {r["gram"]: (r["gain"], r["left"]) for r in table.collect()}
+    assert got.keys() == want.keys() | left.keys()
+    for g in got:
+        assert got[g] == pytest.approx((want[g] - left[g[:-1]] if g in want else 0.0, left.get(g, 0.0)), abs=1e-9)
 
     def value(word):
-        total, spelt = 0.0, "^" + word + "$"
-        for k in range(2, min(len(spelt), toxicity.ORDER + 1) + 1):
-            if spelt[:k] not in want:
-                return total + left[spelt[: k - 1]]
-            total += want[spelt[:k]]
-        return total
-
-    asked = [*texts[50:80], *texts[-12:], (7, "abcdefghijklmnoq"), (7, "abcdefghijklmnoq"), (8, "zzz")]
-    found = toxicity.features(spark.createDataFrame(asked, "doc_id long, text string"), table).collect()
+        return sum(want.get(g, left.get(g[:-1], 0.0)) for g in spelt_grams(word))
+
+    asked = [*texts[50:80], *texts[-12:], (7, "abcdefghijklmnoq"), (7, "abcdefghijklmnoq"), (8, "zzz"), (9, long), (10, "abcdefghijklmnzz"), (11, "abcdefghijklmnyy"), (12, long[300:] + "q")]
+    docs = spark.createDataFrame(asked, "doc_id long, text string")
+    found = toxicity.features(docs, toxicity.word_values(docs, table)).collect()
     expected = []
     for i, t in asked:
         values = [value(w) for w in words(t)]
         expected.append((i or 0, max(values, default=0.0), sum(values) / len(values) if values else 0.0, math.log1p(len(values))))
     for mine, theirs in zip(sorted((r["doc_id"] or 0, r["peak"], r["mean"], r["length"]) for r in found), sorted(expected), strict=True):
-        assert mine == pytest.approx(theirs, abs=1e-4)
+        assert mine == pytest.approx(theirs, rel=1e-5, abs=1e-4)
+    peaks = {r["doc_id"]: r["peak"] for r in found}
+    assert peaks[10] > peaks[11]  # words that differ behind their fourteenth symbol
+
+
+def test_toxicity_learns_from_few_toxic_rows(spark):
+    """2 toxic rows in 3000, and none among the rows that would fit the curve: scores still differ."""
+    rng = random.Random(3)
+    filler = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    train = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5]
+    bad = set([i for i in train if zlib.crc32(str(i).encode()) // 5 % toxicity.FOLDS][:2])
+    make = lambda last: " ".join([*(rng.choice(filler) for _ in range(11)), last])
+    rows = [(i, make("vileword" if i in bad else rng.choice(filler))) for i in range(3000)] + [(9000, make("vileword")), (9001, make(filler[0]))]
+    labels = spark.createDataFrame([(i, int(i in bad)) for i in range(3000)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert len({round(x, 9) for x in got.values()}) > 100
+    assert got[9000] > 10 * got[9001]
 
 
 def test_quality_sample_passes_over_what_does_not_fit(spark, monkeypatch):
@@ -185,6 +203,17 @@ def test_quality_sample_passes_over_what_does_not_fit(spark, monkeypatch):
     assert quality._sample(spark.createDataFrame([], "text string, good int, turn long")).num_rows == 0
 
 
+def test_quality_learns_from_one_row_of_a_class(spark):
+    """1 row of label 0 in 6000, which a sample without regard to class would miss."""
+    rng = random.Random(8)
+    filler = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(200)]
+    bad = next(i for i in range(5000, 6000) if zlib.crc32(str(i).encode()) % 16 in (0, 1))
+    rows = [(i, " ".join(rng.choice(filler) for _ in range(8)) + (" ### $$$ ###" if i == bad else "")) for i in range(6000)] + [(9000, "aaaa ### $$$ ###"), (9001, "aaaa bbbb cccc")]
+    labels = spark.createDataFrame([(i, int(i != bad)) for i in range(6000)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert got[9000] < 0.9 * got[9001] and got[bad] < got[9001]
+
+
 def test_quality_scales_indicators_by_the_ratio_of_class_counts(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(4)), rng.randrange(2)) for i in range(80)]
@@ -222,17 +251,12 @@ def brute_scan(text):
         places += at
         base |= {label} if at else set()
     more, best = set(), 0.0
-    lines = [words(line) for line in (text or "").split("\n")]
-    blocks = [sum(lines[i : i + k], []) for k in range(1, licenses.LINES + 1) for i in range(len(lines) - k + 1)]
-    single = len(lines)
-    for at, block in enumerate(blocks):
-        held = set(block) if at < single or len(block) <= licenses.SPAN else set()
-        for label, template in licenses.TEMPLATES:
-            tokens = set(template.split())
-            share = len(tokens & held) / len(tokens)
-            if share >= licenses.CONTAINMENT - 1e-12:
-                more.add(label)
-                best = max(best, share)
+    for label, template in licenses.TEMPLATES:
+        tokens, width = set(template.split()), licenses.REACH * len(template.split())
+        share = max((len(tokens & set(w[i : i + width])) / len(tokens) for i in range(len(w)) if w[i] in tokens), default=0.0)
+        if share >= licenses.CONTAINMENT - 1e-12:
+            more.add(label)
+            best = max(best, share)
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), 1.0 if base else best
 
 
@@ -240,8 +264,10 @@ def test_license_scan(spark, docs, none, texts):
     special = [(500, "Code, ALL\nrights (reserved). cc-by CC BY; General Public License"), (501, "Licensed under the Apache License, Version 2.0."), (502, "released under the Mit thing license"), (503, "Licensed under CC BY-NC 4.0. and more\nall rights"), (504, "KC BY"), (None, "all rights reserved"), (505, "permission is hereby granted free of charge to any person obtaining a copy of this software and documentation")]
     mit = "Permission is hereby granted, free of charge,\n# to any person obtaining a copy of this\n# software and associated documentation files"
     special += [(506, f"#!/bin/sh\n# {mit}\nx = 1"), (507, mit.replace(" of ", "\n")), (508, mit.replace("\n", "\n" + "word " * 20)), (509, "released\n\nunder the\nMIT license")]
+    eight = "".join(f"/// dnl {w}\n" if k % 3 == 0 else f"{w} " for k, w in enumerate(mit.replace("#", "").split()))  # eight lines, each marked as a comment
+    special += [(510, eight), (511, "x " * 400 + mit + " y" * 400 + " released under no license"), (512, "the of and to " * 2000)]
     rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(special, "doc_id long, text string"))
-    assert [brute_scan(special[k][1])[5] for k in (7, 8, 9, 10)] == ["mit", "", "", "mit"]
+    assert [brute_scan(special[k][1])[5] for k in range(7, 14)] == ["mit", "mit", "", "mit", "mit", "mit", ""]
     got = collections.Counter(tuple(r) for r in licenses.scan(rows).collect())
     assert got == collections.Counter((i, *brute_scan(t)) for i, t in texts + special)
     assert licenses.scan(none).count() == 0
@@ -532,16 +558,59 @@ def test_near_duplicates_of_a_large_family_that_is_a_chain(spark):
     assert len(got) == 2_000 and {r["component_id"] for r in got} == {0}
 
 
-def test_exact_links(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "HOT", 7)
+def joined(pairs, nodes):
+    """The sets of nodes that pairs join."""
+    of = {n: {n} for n in nodes}
+    for a, b in pairs:
+        if of[a] is not of[b]:
+            of[a] |= of[b]
+            for n in of[b]:
+                of[n] = of[a]
+    return {frozenset(s) for s in of.values()}
+
+
+@pytest.mark.parametrize("size", [2_048, 20])
+def test_exact_links(spark, monkeypatch, size):
+    """Links that are given are links, and with the components that are known they join what all links join."""
+    monkeypatch.setattr(neardup, "BLOCK_SETS", size)
     rng = random.Random(8)
     sets = []
     for i in range(150):
         base = set(range(20)) if i % 2 else rng.choice(sets)[2] if sets else set(range(5))
         sets.append((i, i % 40, {*rng.sample(sorted(base), len(base) - rng.randint(0, 2)), *rng.sample(range(20, 40), rng.randint(0, 3))}))
     got = neardup.exact_links(spark.createDataFrame([(i, c, sorted(s)) for i, c, s in sets], "doc long, component long, shingles array<long>"), 80).collect()
-    want = [(a, b) for (a, x, s), (b, y, t) in itertools.combinations(sets, 2) if x != y and 100 * len(s & t) >= 80 * len(s | t)]
-    assert want and sorted(map(tuple, got)) == want
+    every = [(a, b) for (a, x, s), (b, y, t) in itertools.combinations(sets, 2) if 100 * len(s & t) >= 80 * len(s | t)]
+    known = [(i, i % 40) for i, _, _ in sets]
+    assert every and {tuple(sorted(g)) for g in got} <= set(every)
+    assert joined([tuple(g) for g in got] + known, range(150)) == joined(every + known, range(150))
+
+
+@pytest.mark.parametrize(("often", "columns"), [(8, 4_096), (1, 3), (1_000, 3), (3, 5)])
+def test_common_shingles_of_two_blocks(monkeypatch, often, columns):
+    monkeypatch.setattr(neardup, "OFTEN", often)
+    monkeypatch.setattr(neardup, "COLUMNS", columns)
+    rng = random.Random(2)
+    blocks = [[set(rng.sample(range(60), rng.randint(0, 40))) | {99} for _ in range(n)] for n in (17, 23)]
+    one, two = (neardup.Block(list(range(len(b))), [0] * len(b), [np.array(sorted(s), np.uint64) for s in b]) for b in blocks)
+    assert neardup._common(one, two).tolist() == [[len(s & t) for t in blocks[1]] for s in blocks[0]]
+    assert neardup._common(one, one).tolist() == [[len(s & t) for t in blocks[0]] for s in blocks[0]]
+
+
+def test_near_duplicates_of_a_dense_family(spark):
+    """1,200 texts that all share about 0.77 with one another, and 40 pairs of them just above the limit: all are found, nothing else."""
+    rng = random.Random(4)
+    common = [f"t{k}" for k in range(87)]
+    own = [[f"w{i}x{k}" for k in range(13)] for i in range(1_200)]
+    for i in range(0, 80, 2):
+        own[i + 1][:3] = own[i][:3]
+    order = rng.sample(range(1_200), 1_200)
+    rows = [(place, " ".join(common + own[i])) for place, i in enumerate(order)]
+    place = {i: p for p, i in enumerate(order)}
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 1).collect()}
+    want = {p: p for p in range(1_200)}
+    for i in range(0, 80, 2):
+        want[place[i]] = want[place[i + 1]] = min(place[i], place[i + 1])
+    assert got == want
 
 
 def test_components_of_a_long_path(spark):
