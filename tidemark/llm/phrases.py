@@ -41,7 +41,9 @@ from tidemark.llm.wordhash import PIECE_ENDS, Spans, Words, folded, mix, spelled
 #: Least occurrences of a phrase, percentage of them within one longer phrase that makes it a part of that, and phrases reported of a language.
 LEAST, COVERED, TOP = 10, 50, 2000
 #: Bytes of text counted together, log2 of a filter's most bits, bits of a filter for each member.
-SLICE, BITS, BITS_EACH = 4 << 20, 27, 16
+SLICE, BITS, BITS_EACH = 2 << 20, 27, 16
+#: Rows at which a task merges its runs, and that a merge may leave.
+MERGE, SEND = 400_000, 250_000
 #: Groups that rank a language's candidates before the last ranking.
 SALTS = 64
 
@@ -80,7 +82,7 @@ def _roots(seed: int):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs: dict[str, int] = {}
-        runs = Runs(1)
+        runs = Runs(1, MERGE, SEND)
 
         def rows(merged):
             (number, times, lang), words = merged
@@ -157,7 +159,7 @@ def _paths(depth: int, seed: int, allowed):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["a", "b", "c"][:depth]
-        runs = Runs(depth)
+        runs = Runs(depth, MERGE, SEND)
 
         def rows(merged):
             return pa.RecordBatch.from_arrays([pa.array(x) for x in merged[0]], [*names, "times"])
