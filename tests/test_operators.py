@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests import plain_indicators as plain
 from tidemark import indicators, strategies
 from tidemark.functions import dates, text
-from tidemark.indicators import recursive
+from tidemark.indicators import recursive, scanned
 from tidemark.operators import cluster, holdings, metrics, portfolio, quality, series, tables
 from tidemark.operators.screener import Filters, screen
 
@@ -205,8 +206,26 @@ def test_names(spark):
     assert rows[0]["g"] == "alpha-fund-direct-plan-growth" and rows[2]["g"] == "beta-g-fund"
 
 
+def test_options_of_names_that_end_in_brackets_or_dots(spark):
+    want = {"X Fund - Growth.": "Growth", "X Fund (Regular - Growth)": "Growth", "X Growth Fund": "Other", "X-growth - Direct": "Growth", "X Fund Growth  Plan B": "Growth", "X IDCWOption": "IDCW", "X Income  Distribution": "IDCW", "X Growthy": "Other", "Cumulative X": "Growth", "X ETF Bonus": "Bonus", "My ETF": "ETF", "dividends": "Other", "": "Other"}
+    rows = spark.createDataFrame([(n,) for n in want], "name string").select("name", text.option_of("name").alias("o"))
+    assert {r["name"]: r["o"] for r in rows.collect()} == want
+
+
+def test_slugs_of_dashes(spark):
+    want = {"A -- B": "a--b", "A - B": "a-b", "-A- (B)": "a-b", " x  Y ": "x-y", "-": ""}
+    rows = spark.createDataFrame([(n,) for n in want], "name string").select("name", text.slug("name").alias("g"))
+    assert {r["name"]: r["g"] for r in rows.collect()} == want
+
+
+def test_symbols_of_benchmarks(spark):
+    want = {"NIFTY 500 TRI": "^CRSLDX", "Nifty 50 - Total Return Index": "^NSEI", "NIFTY Midcap 150 Index (PRI)": "NIFTY_MIDCAP_150.NS", "S&P BSE Sensex": "^BSESN", "Price Return NIFTY IT": "^CNXIT", "Nifty indexes": None, "": None, None: None}
+    rows = spark.createDataFrame([(n,) for n in want], "name string").select("name", text.benchmark_symbol("name").alias("s"))
+    assert {r["name"]: r["s"] for r in rows.collect()} == want
+
+
 def test_stems_of_one_scheme_are_equal(spark):
-    same = ["Zeta Arbitrage Fund - Regular Plan - Growth Option", "Zeta Arbitrage Fund - Regular - Growth", "Zeta Arbitrage Fund - Direct Growth", "Zeta Arbitrage Fund(Regular Plan)Growth Option", "Zeta Arbitrage Fund Half Yearly Payout"]
+    same = ["Zeta Arbitrage Fund - Regular Plan - Growth Option", "Zeta Arbitrage Fund - Regular - Growth", "Zeta Arbitrage Fund - Direct Growth", "Zeta Arbitrage Fund(Regular Plan)Growth Option", "Zeta Arbitrage Fund Half Yearly Payout", "Zeta Arbitrage Fund (Institutional II) - HALFYEARLY Dividend Option", "zeta arbitrage_fund Annual"]
     got = {r["s"] for r in spark.createDataFrame([(n,) for n in same], "name string").select(text.stem("name").alias("s")).collect()}
     assert got == {"zetaarbitragefund"}
 
@@ -224,20 +243,38 @@ def bars():
     return {"open": close, "high": close + rng.random(160), "low": close - rng.random(160), "close": close, "volume": rng.integers(1, 9, 160).astype(float)}
 
 
-def test_recursive_indicators_by_hand(bars):
+def test_plain_indicators_by_hand(bars):
     x = bars["close"]
     want = x[:12].mean()
     for v in x[12:]:
         want += 2 / 13 * (v - want)
-    assert recursive.ema(x, 12)[-1] == pytest.approx(want) and np.isnan(recursive.ema(x, 12)[10])
+    assert plain.ema(x, 12)[-1] == pytest.approx(want) and np.isnan(plain.ema(x, 12)[10])
     gain, loss = np.maximum(np.diff(x), 0), np.maximum(-np.diff(x), 0)
     g, lo = gain[:14].mean(), loss[:14].mean()
     for a, b in zip(gain[14:], loss[14:], strict=True):
         g, lo = (g * 13 + a) / 14, (lo * 13 + b) / 14
-    assert recursive.rsi(x)[-1] == pytest.approx(100 * g / (g + lo))
-    assert np.flatnonzero(~np.isnan(recursive.rsi(x)))[0] == 14
-    macd = recursive.macd(x)
-    assert np.flatnonzero(~np.isnan(macd["macd"]))[0] == 33
+    assert plain.rsi(x)[-1] == pytest.approx(100 * g / (g + lo))
+    assert np.flatnonzero(~np.isnan(plain.rsi(x)))[0] == 14
+    assert np.flatnonzero(~np.isnan(plain.macd(x)["macd"]))[0] == 33
+
+
+def test_scanned_indicators_equal_the_plain_ones(spark, bars):
+    """Two series of other lengths, and one without any range, by scans over blocks of a quarter."""
+    flat = {c: np.full(60, 5.0) for c in bars}
+    short = {c: v[:50] for c, v in bars.items()}
+    data = [(k, dt.date(2023, 1, 2) + dt.timedelta(days=2 * i), *(float(b[c][i]) for c in bars)) for k, b in (("a", bars), ("b", short), ("c", flat)) for i in range(len(b["close"]))]
+    rows = spark.createDataFrame(data, "k string, d date, " + ", ".join(f"{c} double" for c in bars)).repartition(5)
+    out = indicators.compute(rows, list(scanned.SCANNED)).orderBy("k", "d").toPandas()
+    for k, b in (("a", bars), ("b", short), ("c", flat)):
+        mine = out[out["k"] == k]
+        for name, f in plain.PLAIN.items():
+            for column, want in f(b).items():
+                assert column in scanned.SCANNED[name][0]
+                if k != "c" or name not in ("adx",):
+                    np.testing.assert_allclose(mine[column].to_numpy(float), want, rtol=1e-8, atol=1e-9, err_msg=f"{k} {column}")
+
+
+def test_recursive_indicators(bars):
     for name, (columns, f) in recursive.RECURSIVE.items():
         out = f(bars)
         assert set(out) == set(columns), name
@@ -251,8 +288,8 @@ def test_indicators_skip_unknown_names_and_stay_native(spark, bars):
     out = indicators.compute(rows, ["sma_20", "no such", "cci", "aroon"])
     assert {"sma_20", "cci", "aroon_up"} <= set(out.columns)
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
-    both = indicators.compute(rows, ["obv", *recursive.RECURSIVE]).orderBy("d").collect()
-    assert both[-1]["adx"] == pytest.approx(recursive.directional(bars)["adx"][-1])
+    both = indicators.compute(rows, ["obv", "rsi", *recursive.RECURSIVE]).orderBy("d").collect()
+    assert both[-1]["sar"] == pytest.approx(recursive.parabolic(bars)[-1])
     assert both[0]["obv"] == bars["volume"][0] and both[0]["rsi"] is None
 
 

@@ -7,15 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import STEM_DROPS
-
 
 def stem_sql(name: str) -> str:
-    """The stem of a name, as functions.text has it."""
-    out = f"lower({name})"
-    for pattern in STEM_DROPS:
-        out = f"regexp_replace({out}, '{pattern.replace(chr(123), chr(123) * 2)}', ' ', 'g')"
-    return f"regexp_replace({out}, '[^a-z0-9]+', '', 'g')"
+    """The stem of a name by its words, as SURVEY has the rule; braces are doubled, as the text is formatted once more."""
+    gone = "direct regular retail institutional wholesale growth idcw dividend bonus reinvestment payout option plan daily fortnightly monthly quarterly halfyearly annual"
+    bare = f"regexp_replace(regexp_replace(lower({name}), '[(]\\s*(direct|regular|retail|institutional|wholesale)[^)]*[)]', ' ', 'g'), '\\bhalf\\s+yearly\\b', 'halfyearly', 'g')"
+    return f"regexp_replace(array_to_string(list_filter(string_split_regex({bare}, '[^a-z0-9_]+'), lambda w: NOT list_contains(string_split('{gone}', ' '), w)), ''), '[^a-z0-9]+', '', 'g')"
 
 
 class Book:

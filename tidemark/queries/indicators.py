@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.indicators import RECURSIVE, compute
+from tidemark.indicators import RECURSIVE, SCANNED, compute
+from tidemark.indicators.scanned import LEVELS
 from tidemark.operators.cluster import cluster_order
 from tidemark.operators.series import correlation_pairs, growth
 from tidemark.plans.relations import BARS_SQL, NUDGE, bars, nav, nav_sql
@@ -78,9 +79,49 @@ def oscillators(spark, sf_dir):
 
 @BOOK.add("i_recursive_indicators")
 def recursive(spark, sf_dir):
-    return _rounded(compute(bars(spark, sf_dir), list(RECURSIVE)), [c for columns, _ in RECURSIVE.values() for c in columns])
+    columns = [c for kinds in (SCANNED, RECURSIVE) for c in (x for names, _ in kinds.values() for x in names)]
+    return _rounded(compute(bars(spark, sf_dir), [*SCANNED, *RECURSIVE]), columns)
 
 
+#: The smoothings as states of a recursion from row to row: values seen, their sum at the start, and the mean.
+_INPUTS = {"_line": "quick_y1 - ema_26_y1", "_dx": "CASE WHEN pd + md > 0 THEN 100 * abs(pd - md) / (pd + md) WHEN pd + md IS NOT NULL THEN 0 END"}
+_NAMED = [{name.lstrip("_"): (_INPUTS.get(x, x.lstrip("_") + ("_y1" if x in ("_e20", "_e20b", "_e15", "_e15b") else "")), n, share) for name, (x, n, share) in level.items()} for level in LEVELS]
+
+
+def _stepped(name: str, x: str, n: int, share: float) -> str:
+    return f"""{name}_c + CASE WHEN ({x}) IS NULL THEN 0 ELSE 1 END AS {name}_c1, CASE WHEN ({x}) IS NOT NULL AND {name}_c < {n} THEN {name}_s + ({x}) ELSE {name}_s END AS {name}_s1,
+    CASE WHEN ({x}) IS NULL THEN {name}_y WHEN {name}_c + 1 < {n} THEN NULL WHEN {name}_c + 1 = {n} THEN ({name}_s + ({x})) / {n} ELSE {name}_y + {share!r} * (({x}) - {name}_y) END AS {name}_y1"""
+
+
+_STATES = [name for level in _NAMED for name in level]
+_LAYER = [", ".join(_stepped(name, *spec) for name, spec in level.items()) for level in _NAMED]
+_FLOW = "CASE WHEN high > low THEN ((close - low) - (high - close)) / (high - low) ELSE 0 END * volume"
+_RSI = "CASE WHEN gain_y + loss_y > 0 THEN 100 * gain_y / (gain_y + loss_y) WHEN gain_y + loss_y IS NOT NULL THEN 0 END"
+_SMOOTHED = {
+    "ema_12": "ema_12_y", "ema_26": "ema_26_y", "dema": "2 * e20_y - e20b_y", "tema": "3 * e20_y - 3 * e20b_y + e20c_y", "kama": "CASE WHEN n > 30 THEN kama END",
+    "kc_upper": "e20_y + 1.5 * tr20_y", "kc_middle": "e20_y", "kc_lower": "e20_y - 1.5 * tr20_y", "rsi": "rsi", "macd": "CASE WHEN signal_y IS NOT NULL THEN quick_y - ema_26_y END", "macd_signal": "signal_y", "macd_hist": "quick_y - ema_26_y - signal_y",
+    "atr": "tr14_y", "natr": "100 * tr14_y / close", "stochrsi_k": "fast_k", "stochrsi_d": "CASE WHEN count(fast_k) OVER v3 = 3 THEN avg(fast_k) OVER v3 END", "adx": "adx_y", "plus_di": "100 * plus_y / nullif(tr14_y, 0)", "minus_di": "100 * minus_y / nullif(tr14_y, 0)",
+    "adosc": "CASE WHEN n >= 10 THEN fast - slow END", "trix": "100 * (e15c_y / lag(e15c_y) OVER w - 1)",
+}
+
+
+@BOOK.add(
+    "i_smoothed_indicators",
+    f"""WITH RECURSIVE bars AS ({BARS_SQL}), p AS (SELECT *, row_number() OVER w AS n, lag(close) OVER w AS c0, lag(high) OVER w AS h0, lag(low) OVER w AS l0, lag(close, 30) OVER w AS c30 FROM bars WINDOW w AS (PARTITION BY k ORDER BY d)),
+b AS (SELECT k, d, n, close, CASE WHEN n > 14 THEN close END AS late, CASE WHEN n > 1 THEN greatest(high - low, abs(high - c0), abs(low - c0)) END AS tr, CASE WHEN n > 1 THEN greatest(close - c0, 0) END AS up, CASE WHEN n > 1 THEN greatest(c0 - close, 0) END AS down,
+  CASE WHEN n > 1 THEN CASE WHEN high - h0 > l0 - low AND high > h0 THEN high - h0 ELSE 0 END END AS plus_dm, CASE WHEN n > 1 THEN CASE WHEN l0 - low > high - h0 AND l0 > low THEN l0 - low ELSE 0 END END AS minus_dm, sum({_FLOW}) OVER (PARTITION BY k ORDER BY d) AS flow,
+  pow(coalesce(abs(close - c30) / nullif(sum(abs(close - c0)) OVER (PARTITION BY k ORDER BY d ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 0), 1) * (2.0 / 3 - 2.0 / 31) + 2.0 / 31, 2) AS share FROM p),
+e AS (SELECT DISTINCT k, 0::BIGINT AS n, {", ".join(f"0 AS {x}_c, 0.0::DOUBLE AS {x}_s, NULL::DOUBLE AS {x}_y" for x in _STATES)}, NULL::DOUBLE AS kama, NULL::DOUBLE AS fast, NULL::DOUBLE AS slow FROM bars
+  UNION ALL SELECT k, n1, {", ".join(f"{x}_c1, {x}_s1, {x}_y1" for x in _STATES)}, kama1, fast1, slow1 FROM (SELECT *, {_LAYER[2]} FROM (SELECT *, {_LAYER[1]} FROM (SELECT *, 100 * plus_y1 / nullif(tr14_y1, 0) AS pd, 100 * minus_y1 / nullif(tr14_y1, 0) AS md FROM (
+    SELECT e.*, b.n AS n1, {_LAYER[0]}, CASE WHEN b.n = 30 THEN close WHEN b.n > 30 THEN kama + share * (close - kama) END AS kama1, CASE WHEN b.n = 1 THEN flow ELSE fast + 2.0 / 4 * (flow - fast) END AS fast1, CASE WHEN b.n = 1 THEN flow ELSE slow + 2.0 / 11 * (flow - slow) END AS slow1
+    FROM e JOIN b ON b.k = e.k AND b.n = e.n + 1))))),
+r AS (SELECT e.*, b.d, b.close, {_RSI} AS rsi FROM e JOIN b ON b.k = e.k AND b.n = e.n),
+f AS (SELECT *, CASE WHEN count(rsi) OVER v5 = 5 THEN coalesce(100 * (rsi - min(rsi) OVER v5) / nullif(max(rsi) OVER v5 - min(rsi) OVER v5, 0), 0) END AS fast_k FROM r WINDOW v5 AS (PARTITION BY k ORDER BY n ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+SELECT k, d, {", ".join(f"round({x} + {1e3 * NUDGE}, 5) AS {c}" for c, x in _SMOOTHED.items())} FROM f WINDOW w AS (PARTITION BY k ORDER BY n), v3 AS (PARTITION BY k ORDER BY n ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""",
+    dates="d",
+)
+def smoothed(spark, sf_dir):
+    return _rounded(compute(bars(spark, sf_dir), list(SCANNED)), [c for columns, _ in SCANNED.values() for c in columns])
 
 
 @BOOK.add("i4_last_ema", f"WITH bars AS ({BARS_SQL}), s AS (SELECT k, list(close ORDER BY d) AS x FROM bars GROUP BY k) SELECT k, {', '.join(f'round(list_reduce(x[{n + 1}:], lambda a, v: a + 2.0 / {n + 1} * (v - a), list_avg(x[1:{n}])), 4) AS ema_{n}' for n in (12, 26))} FROM s")

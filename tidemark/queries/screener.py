@@ -14,7 +14,7 @@ from tidemark.queries.metrics import ORACLE_METRICS
 
 BOOK = Book()
 #: Literal names with plan and option words, which the tables lack.
-_SUFFIX = ("Direct Plan - Growth", "Regular Plan - IDCW", "Direct Plan - IDCW Payout", "Growth Option", "ETF", "Regular - Bonus", "(Growth)", "Growth Opportunities", "Income Distribution - Retail", "(Regular Plan) Monthly Dividend", "- Growth - Direct")
+_SUFFIX = ("Direct Plan - Growth", "Regular Plan - IDCW", "Direct Plan - IDCW Payout", "Growth Option", "ETF", "Regular - Bonus", "(Growth)", "Growth Opportunities", "Income Distribution - Retail", "(Regular Plan) Monthly Dividend", "- Growth - Direct", "- Growth.", "(Regular - Growth)", "-- Dividend Yield", "Cumulative", "Half  Yearly Payout")
 _NAME = f"p_name || ' Fund ' || CASE p_partkey % {len(_SUFFIX)} {' '.join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_SUFFIX))} END"
 
 
@@ -36,7 +36,9 @@ def _schemes(spark, sf_dir):
 _SCHEMES = f"schemes AS (SELECT p_partkey AS code, {_NAME} AS name, p_brand AS k, p_type AS category, p_size AS size, CASE WHEN p_partkey % 6 <> 0 THEN p_retailprice END AS aum, CASE WHEN p_partkey % 5 <> 0 THEN (p_size % 30) / 10 END AS ter FROM part)"
 _STATUS = "status AS (SELECT DISTINCT l_partkey AS code, 'available' AS status FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 20)"
 _PLAN = "CASE WHEN regexp_matches(name, '(?i)\\bdirect\\b') THEN 'Direct' WHEN regexp_matches(name, '(?i)\\bregular\\b') THEN 'Regular' END"
-_OPTION = f"CASE {' '.join(f"WHEN regexp_matches(name, '(?i){pattern}') THEN '{option}'" for option, pattern in text.OPTIONS.items())} ELSE 'Other' END"
+_OPTION = r"""CASE WHEN contains(lower(name), 'idcw') OR contains(lower(name), 'income distribution') OR list_contains(string_split_regex(lower(name), '\W+'), 'dividend') THEN 'IDCW'
+  WHEN regexp_matches(lower(name), '\bgrowth +(plan|option)\b') OR contains(replace(lower(name), ' ', ''), '-growth-') OR list_contains(string_split_regex(lower(name), '\W+'), 'cumulative') OR regexp_matches(rtrim(lower(name), ' .()'), '(^|[ -])growth$') THEN 'Growth'
+  WHEN list_contains(string_split_regex(lower(name), '\W+'), 'bonus') THEN 'Bonus' WHEN list_contains(string_split_regex(lower(name), '\W+'), 'etf') THEN 'ETF' ELSE 'Other' END"""
 _VIEW = f"{_SCHEMES}, {_STATUS}, met AS ({ORACLE_METRICS}), view AS (SELECT s.*, t.status, m.cagr_1y, m.sharpe_1y, m.max_dd_1y, m.inception_date, s.k AS house, {_PLAN} AS plan, {_OPTION} AS option FROM schemes AS s LEFT JOIN status AS t ON s.code = t.code LEFT JOIN met AS m ON s.k = m.k)"
 
 
@@ -90,14 +92,19 @@ def category_counts(spark, sf_dir):
     return _schemes(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"))
 
 
-_SHORT = f"regexp_replace(name, '(?i)({'|'.join(text.ENDINGS)})+$', '')"
-_SHORT = rf"trim(regexp_replace(regexp_replace({_SHORT}, '\s*-\s*$', ''), '\s+', ' ', 'g'))"
+#: One ending after another, six times over, as the rule has it; names here end in four at most.
+_PEELED = "name"
+for _ in range(6):
+    for _end in ("[(](direct|regular) +plan[)]", "(direct|regular) +plan", "growth +(option|plan)", "idcw( +(reinvestment|payout))?", "growth"):
+        _PEELED = f"regexp_replace({_PEELED}, '[ -]*{_end} *$', '', 'i')"
+    _PEELED = f"regexp_replace({_PEELED}, '[ -]+(direct|regular) *$', '', 'i')"
+_SHORT = f"trim(regexp_replace(regexp_replace({_PEELED}, ' *- *$', ''), ' +', ' ', 'g'))"
 
 
 @BOOK.add(
     "f1_names",
     rf"""WITH {_SCHEMES} SELECT code, {_SHORT} AS short, {_PLAN} AS plan, {_OPTION} AS option,
-  lower(array_to_string(list_filter(list_transform(string_split_regex(trim(regexp_replace(name, '[()]', ' ', 'g')), '\s+'), lambda w: trim(w, '-')), lambda w: length(w) > 0), '-')) AS slug,
+  lower(array_to_string(list_transform(list_filter(string_split_regex(trim(translate(name, '()', '  ')), ' +'), lambda w: w <> '-' AND w <> ''), lambda w: trim(w, '-')), '-')) AS slug,
   {stem_sql("name")} AS stem FROM schemes""",
 )
 def names(spark, sf_dir):
@@ -115,6 +122,9 @@ def isins(spark, sf_dir):
 _GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda w: length(w) > 0), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 _SIM = f"len(list_intersect({_GRAMS.format('name')}, {_GRAMS.format('q')})) * 1.0 / len(list_distinct(list_concat({_GRAMS.format('name')}, {_GRAMS.format('q')})))"
 
+#: Similarity of name and q, as text.trigram_similarity has it.
+TRIGRAMS = _SIM
+
 
 @BOOK.add("f10_trigram_search", f"WITH {_SCHEMES}, s AS (SELECT code, name, {_SIM} AS score FROM (SELECT code, name, 'direct growth fund blue' AS q FROM schemes)) SELECT code, name, round(score, 7) AS score FROM s WHERE score >= 0.3 ORDER BY round(score, 7) DESC, length(name), code LIMIT 20")
 def search(spark, sf_dir):
