@@ -13,11 +13,24 @@ def latest(rows: DataFrame, key: str = "k", day: str = "month") -> DataFrame:
     return both.drop("_key", "_last")
 
 
-def overlap(rows: DataFrame) -> DataFrame:
-    """a, b, overlap of every two keys: the sum of the smaller weights of common instruments, at most 100, and min(own sum, 100) for a key itself."""
+#: Holders of an instrument that are paired in one task.
+PIECE = 512
+
+
+def overlap(rows: DataFrame, piece: int = PIECE) -> DataFrame:
+    """a, b, overlap of every two keys: the sum of the smaller weights of common instruments, at most 100, and min(own sum, 100) for a key itself.
+
+    The holders of an instrument are dealt to pieces of about ``piece``, and
+    every two pieces meet under a key of their own, each two once, so an
+    instrument that all keys hold is spread over tasks.
+    """
     own = rows.groupBy("k", "instrument").agg(F.sum("weight").alias("weight"))
-    a, b = own.select(F.col("k").alias("a"), "instrument", F.col("weight").alias("x")), own.select(F.col("k").alias("b"), "instrument", F.col("weight").alias("y"))
-    pairs = a.join(b, "instrument").filter("a <= b").groupBy("a", "b").agg(F.sum(F.least("x", "y")).alias("s"))
+    pieces = own.groupBy("instrument").agg(F.ceil(F.count("*") / piece).cast("int").alias("pieces"))
+    dealt = own.join(pieces, "instrument").withColumn("piece", F.pmod(F.xxhash64("k"), F.col("pieces")).cast("int"))
+    low = dealt.select("instrument", F.col("piece").alias("low"), F.explode(F.sequence("piece", F.col("pieces") - 1)).alias("high"), F.col("k").alias("a"), F.col("weight").alias("x"))
+    high = dealt.select("instrument", F.explode(F.sequence(F.lit(0), "piece")).alias("low"), F.col("piece").alias("high"), F.col("k").alias("b"), F.col("weight").alias("y"))
+    met = low.join(high, ["instrument", "low", "high"]).filter("low < high or a <= b")
+    pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum(F.least("x", "y")).alias("s"))
     return pairs.select("a", "b", F.round(F.least("s", F.lit(100.0)), 2).alias("overlap"))
 
 

@@ -40,9 +40,10 @@ def corrected_kurtosis(x: str) -> Column:
 def marked(nav: DataFrame) -> DataFrame:
     """nav(k, d, nav) with daily return r, rank from the end, the last year's filtered returns q, and rolling growths."""
     w = ordered()
-    rows = nav.withColumn("r", growth("nav")).withColumn("back", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("d"))))
+    whole = Window.partitionBy("k")  # what follows a row is the whole less what came: one order, and no window starts anew at each row
+    rows = nav.withColumn("r", growth("nav")).withColumn("back", (F.count("*").over(whole) - F.row_number().over(w) + 1).cast("int"))
     sound = F.when(F.abs("r") <= 1, F.col("r"))
-    later = F.count(sound).over(w.rowsBetween(1, Window.unboundedFollowing))
+    later = F.count("all_r").over(whole) - F.count("all_r").over(w.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("all_r", sound).withColumn("q", F.when(later < YEAR, sound)).withColumn("q3", F.when(later < 3 * YEAR, sound))
     rows = rows.withColumns({f"g{y}": annual_growth("nav", YEAR * y) for y in (1, 3, 5)})
     grown = F.sum(F.log1p("q")).over(w.rowsBetween(Window.unboundedPreceding, 0))

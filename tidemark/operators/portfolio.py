@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.series import asof, densify, forward_filled, ordered
+from tidemark.operators.series import ordered, running_total
 
 #: Yearly rate of the fixed deposit that a portfolio is compared with.
 DEPOSIT_RATE = 0.065
@@ -27,27 +27,46 @@ def net_units(trades: DataFrame) -> DataFrame:
     return signed(trades).groupBy("k").agg(F.sum("signed_qty").alias("units")).filter("units > 0")
 
 
+def _events(trades: DataFrame, nav: DataFrame) -> DataFrame:
+    """k, d, q, nav, turn: the traded units and the values of traded funds as one stream of events, a day's trades before its value."""
+    daily = signed(trades).groupBy("k", "d").agg(F.sum("signed_qty").alias("q"))
+    both = daily.select("k", "d", "q", F.lit(None).cast("double").alias("nav"), F.lit(0).alias("turn")).unionByName(nav.select("k", "d", F.lit(None).cast("double").alias("q"), "nav", F.lit(1).alias("turn")))
+    return both.withColumn("_first", F.min("turn").over(Window.partitionBy("k"))).filter("_first = 0").drop("_first")
+
+
+def _change(value: Column) -> Column:
+    """What an event changes of its fund's value: units times value after it less before it."""
+    return value - F.lag(value, 1, 0.0).over(Window.partitionBy("k").orderBy("d", "turn"))
+
+
 def value_series(trades: DataFrame, nav: DataFrame) -> DataFrame:
-    """d, value: units held times value of all funds, on days of any of them; both carried forward, values of 0 or less left out."""
-    held = nav.join(trades.select("k").distinct(), "k", "left_semi")
-    rows = densify(held).join(cumulative_units(trades), ["k", "d"], "left")
-    rows = rows.withColumn("u", F.coalesce(forward_filled("units"), F.lit(0.0))).withColumn("v", forward_filled("nav"))
-    return rows.filter("v is not null").groupBy("d").agg(F.sum(F.col("u") * F.col("v")).alias("value")).filter("value > 0")
+    """d, value: units held times value of all funds, on days of any of them; both carried forward, values of 0 or less left out.
+
+    A sweep over events: what a fund's value or units change of the total is
+    summed by day and added up over the days, so no fund is put on the days of
+    the others.  Units of days on which no fund has a value are taken over with
+    the fund's next trade on a day that has one.
+    """
+    events = _events(trades, nav).withColumn("_spine", F.max("turn").over(Window.partitionBy("d")) == 1)
+    sofar = Window.partitionBy("k").orderBy("d", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    counted = events.withColumn("_units", F.when((F.col("turn") == 0) & F.col("_spine"), F.sum("q").over(sofar)))
+    held = F.coalesce(F.last("_units", ignorenulls=True).over(sofar), F.lit(0.0)) * F.coalesce(F.last("nav", ignorenulls=True).over(sofar), F.lit(0.0))
+    moves = counted.withColumn("_value", held).filter("_spine").withColumn("_move", _change(F.col("_value")))
+    return running_total(moves.groupBy("d").agg(F.sum("_move").alias("value")), "value").filter("value > 0")
 
 
 def rolled_flows(trades: DataFrame, nav: DataFrame) -> DataFrame:
-    """k, d, units and flow of each day, moved to the fund's first valuation at or after it; trades after the last one are dropped."""
-    daily = signed(trades).groupBy("k", "d").agg(F.sum("signed_qty").alias("q"))
-    rolled = asof(daily, nav, "nav", "forward").filter("matched is not null")
-    return rolled.groupBy("k", F.col("matched").alias("d")).agg(F.sum("q").alias("q"), F.sum(F.col("q") * F.col("nav")).alias("flow"))
+    """k, d, units, q and flow on each day with a value, of trades since the value before; trades after the last one are dropped."""
+    sofar = Window.partitionBy("k").orderBy("d", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    valued = _events(trades, nav).withColumn("units", F.coalesce(F.sum("q").over(sofar), F.lit(0.0))).filter("turn = 1")
+    q = F.col("units") - F.lag("units", 1, 0.0).over(Window.partitionBy("k").orderBy("d", "turn"))
+    return valued.withColumn("q", q).select("k", "d", "turn", "nav", "units", "q", (F.col("q") * F.col("nav")).alias("flow"))
 
 
 def time_weighted_returns(trades: DataFrame, nav: DataFrame) -> DataFrame:
     """d, value, flow, r: (value - flow) / value before - 1 with flows rolled forward; values of 0 or less give no return."""
-    held = nav.join(trades.select("k").distinct(), "k", "left_semi")
-    rows = densify(held).join(rolled_flows(trades, held), ["k", "d"], "left")
-    rows = rows.withColumn("u", F.coalesce(F.sum("q").over(ordered()), F.lit(0.0))).withColumn("v", forward_filled("nav"))
-    total = rows.groupBy("d").agg(F.sum(F.col("u") * F.col("v")).alias("value"), F.coalesce(F.sum("flow"), F.lit(0.0)).alias("flow"))
+    moves = rolled_flows(trades, nav).withColumn("_move", _change(F.col("units") * F.col("nav")))
+    total = running_total(moves.groupBy("d").agg(F.sum("_move").alias("value"), F.sum("flow").alias("flow")), "value")
     before = F.lag("value").over(Window.orderBy("d"))  # one row a day
     sound = F.when((F.col("value") > 0) & (before > 0), (F.col("value") - F.col("flow")) / before - 1)
     return total.select("d", "value", "flow", sound.alias("r"))
@@ -80,5 +99,5 @@ def deposit_growth(flows: DataFrame, days: DataFrame, rate: float = DEPOSIT_RATE
     years = F.datediff("d", zero) / 365.25
     rows = flows.select("d", "flow").unionByName(days.select("d", F.lit(0.0).alias("flow"))).groupBy("d").agg(F.sum("flow").alias("flow"))
     base = F.pow(F.lit(1 + rate), -years)
-    running = F.sum(F.col("flow") * base).over(Window.orderBy("d"))  # one row a day
-    return rows.withColumn("value", running / base).join(days.select("d").distinct(), "d", "left_semi").select("d", "value")
+    grown = running_total(rows.withColumn("value", F.col("flow") * base), "value")
+    return grown.withColumn("value", F.col("value") / base).join(days.select("d").distinct(), "d", "left_semi").select("d", "value")

@@ -51,7 +51,8 @@ def rescaled(nav: DataFrame, tolerance: float = SCALE) -> DataFrame:
     A series whose yearly growth over all its days would then lie outside ``GROWTH`` stays as it is.
     """
     rows = _with_breaks(nav, tolerance)
-    later = F.coalesce(F.sum("power").over(ordered().rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    sofar = F.sum("power").over(ordered().rowsBetween(Window.unboundedPreceding, 0))
+    later = F.coalesce(F.sum("power").over(Window.partitionBy("k")), F.lit(0)) - F.coalesce(sofar, F.lit(0))
     rows = rows.withColumn("fixed", F.col("nav") * F.pow(F.lit(10.0), later))
     whole = ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first, last = F.first("fixed").over(whole), F.last("nav").over(whole)

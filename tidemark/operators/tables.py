@@ -33,19 +33,42 @@ def replace_keys(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
+#: Ranges in which rows are numbered, and rows from which their bounds are taken.
+RANGES, BOUNDS = 200, 4000
+
+
+def numbered(rows: DataFrame, by: str, name: str = "n", ranges: int = RANGES) -> DataFrame:
+    """rows, whose values of ``by`` are distinct, with their place from 1 in its order.
+
+    Two passes: values fall into ranges, whose bounds come from the ``BOUNDS``
+    values of least hash, the ranges are counted, and each range is numbered from
+    what lies before it.  The driver sees the bounds and a count for each range.
+    """
+    some = sorted(r[0] for r in rows.select(by).orderBy(F.xxhash64(by), by).limit(BOUNDS).collect())
+    bounds = [some[k * len(some) // ranges] for k in range(1, ranges)] if len(some) >= ranges else []
+    kind = rows.schema[by].dataType
+    cuts = F.array(*(F.lit(b) for b in dict.fromkeys(bounds))).cast(f"array<{kind.simpleString()}>")
+    ranged = rows.withColumn("_range", F.size(F.filter(cuts, lambda b: b <= F.col(by))))
+    counts = dict(sorted((r["_range"], r["n"]) for r in ranged.groupBy("_range").agg(F.count("*").alias("n")).collect()))
+    before, starts = 0, {}
+    for k, n in counts.items():
+        starts[k], before = before, before + n
+    offset = F.element_at(F.create_map(*(F.lit(x) for pair in starts.items() for x in pair)), F.col("_range")) if starts else F.lit(0)
+    return ranged.withColumn(name, offset + F.row_number().over(Window.partitionBy("_range").orderBy(by))).drop("_range")
+
+
 def with_ids(known: DataFrame, names: DataFrame) -> DataFrame:
     """known(id, name) and, with the next ids in order of name, the names that are not known."""
     top = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     fresh = names.select("name").filter("name is not null").distinct().join(known, "name", "left_anti")
-    numbered = fresh.withColumn("n", F.row_number().over(Window.orderBy("name")))  # one row a new name
-    return known.select("id", "name").unionByName(numbered.crossJoin(F.broadcast(top)).select((F.col("top") + F.col("n")).cast(known.schema["id"].dataType).alias("id"), "name"))
+    return known.select("id", "name").unionByName(numbered(fresh, "name").crossJoin(F.broadcast(top)).select((F.col("top") + F.col("n")).cast(known.schema["id"].dataType).alias("id"), "name"))
 
 
 def synthetic_codes(known: DataFrame, names: DataFrame) -> DataFrame:
     """code, name of names(place, name): known codes, and for others negative ones that go down from the least so far."""
     low = known.agg(F.least(F.coalesce(F.min("code"), F.lit(0)), F.lit(0)).alias("low"))
     missing = names.join(known, "name", "left_anti").groupBy("name").agg(F.min("place").alias("place"))
-    minted = missing.withColumn("n", F.row_number().over(Window.orderBy("place"))).crossJoin(F.broadcast(low))  # one row a missing name
+    minted = numbered(missing, "place").crossJoin(F.broadcast(low))  # one row
     return names.join(known, "name").select("code", "name").distinct().unionByName(minted.select((F.col("low") - F.col("n")).cast("long").alias("code"), "name"))
 
 

@@ -16,6 +16,9 @@ def _latest(spark, sf_dir):
     return ops.latest(holdings(spark, sf_dir))
 
 
+latest_holdings = _latest
+
+
 def _r(c, digits=4):
     return F.round((F.col(c) if isinstance(c, str) else c) + 1e4 * NUDGE, digits)
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import text
 from tidemark.functions.dates import parsed_date, quarter_end
 from tidemark.functions.text import parsed_number
-from tidemark.operators import tables
+from tidemark.operators import names, tables
+from tidemark.operators.recurrence import exponential_means
 from tidemark.operators.series import growth, last_rows, ordered
 from tidemark.plans.relations import BARS_SQL, NUDGE, TRADES_SQL, bars, nav, nav_sql, table, trades
 from tidemark.queries.book import Book
@@ -36,12 +37,13 @@ def latest_by_subquery(spark, sf_dir):
 
 @BOOK.add(
     "j20_fallback_match",
-    "WITH a AS (SELECT p_partkey AS code, p_name AS s, CASE WHEN p_size % 3 = 0 THEN 'Direct' WHEN p_size % 3 = 1 THEN 'Regular' END AS plan FROM part), r AS (SELECT s, plan, min(code) AS real FROM a WHERE code % 2 = 1 GROUP BY 1, 2), f AS (SELECT l.code, r.real FROM a AS l JOIN r ON l.s = r.s AND l.plan = r.plan WHERE l.code % 2 = 0) SELECT code, real, 'exact' AS how FROM f UNION ALL SELECT l.code, r.real, 'assumed' FROM a AS l JOIN r ON l.s = r.s AND r.plan = 'Regular' WHERE l.code % 2 = 0 AND l.plan IS NULL",
+    "WITH a AS (SELECT p_partkey AS code, p_name AS s, CASE WHEN p_size % 3 = 0 THEN 'Direct' WHEN p_size % 3 = 1 THEN 'Regular' END AS plan FROM part), r AS (SELECT s, plan, min(code) AS real FROM a WHERE code IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50) GROUP BY 1, 2), f AS (SELECT l.code, r.real FROM a AS l JOIN r ON l.s = r.s AND l.plan = r.plan WHERE l.code NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)) SELECT code, real, 'exact' AS how FROM f UNION ALL SELECT l.code, r.real, 'assumed' FROM a AS l JOIN r ON l.s = r.s AND r.plan = 'Regular' WHERE l.code NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50) AND l.plan IS NULL",
 )
 def fallback(spark, sf_dir):
     plan = F.when(F.col("p_size") % 3 == 0, "Direct").when(F.col("p_size") % 3 == 1, "Regular")
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("code"), F.col("p_name").alias("s"), plan.alias("plan"))
-    left, right = rows.filter("code % 2 = 0"), rows.filter("code % 2 = 1").groupBy("s", "plan").agg(F.min("code").alias("real"))
+    large = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50").select(F.col("l_partkey").alias("code"))
+    left, right = rows.join(large, "code", "left_anti"), rows.join(large, "code", "left_semi").groupBy("s", "plan").agg(F.min("code").alias("real"))
     exact = left.join(right, ["s", "plan"]).select("code", "real", F.lit("exact").alias("how"))
     rest = left.filter("plan is null").join(exact.select("code"), "code", "left_anti").drop("plan")
     return exact.unionByName(rest.join(right.filter("plan = 'Regular'").drop("plan"), "s").select("code", "real", F.lit("assumed").alias("how")))
@@ -102,7 +104,7 @@ _TAILED = f"upper({_ASKED}) || list_extract({list(_TAILS)!r}, CAST(p_size % {len
 @BOOK.add(
     "f7_benchmark_lookup",
     rf"""WITH n AS (SELECT p_partkey AS code, {_TAILED} AS name FROM part), m(plain, symbol) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in text.BENCHMARKS.items())})
-SELECT code, name, symbol FROM n LEFT JOIN m ON m.plain = trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '{text.BENCHMARK_NOISE}', '', 'g'), '[^a-z0-9& ]', ' ', 'g'), '\s+', ' ', 'g'))""",
+SELECT code, name, symbol FROM n LEFT JOIN m ON m.plain = array_to_string(list_filter(string_split_regex(replace(replace(lower(name), 'total return', ''), 'price return', ''), '[^a-z0-9&]+'), lambda w: w NOT IN ('tri', 'pri', 'index', '')), ' ')""",
 )
 def benchmark_lookup(spark, sf_dir):
     """Names of benchmarks as metadata has them, dealt over the schemes."""
@@ -154,11 +156,10 @@ def symbol_lookup(spark, sf_dir):
     return hits.filter(F.col("n_name").isin("INDIA", "CHINA") & (F.col("s_acctbal") > 0)).select(F.col("n_name").alias("symbol"), F.col("s_suppkey").alias("code"), F.col("s_name").alias("name"))
 
 
-@BOOK.add("z9_filled_fields", "SELECT s_suppkey AS code, coalesce(nullif(CASE WHEN s_suppkey % 3 = 0 THEN '' WHEN s_suppkey % 3 = 1 THEN s_name END, ''), n_name) AS house FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
+@BOOK.add("z9_filled_fields", "SELECT s_suppkey AS code, coalesce(nullif(CASE WHEN s_acctbal < 0 THEN '' WHEN s_acctbal < 5000 THEN s_name END, ''), n_name) AS house FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
 def filled_fields(spark, sf_dir):
     """Missing or empty houses are filled from the dimension."""
-    turn = F.col("s_suppkey") % 3
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code"), "s_nationkey", F.when(turn == 0, "").when(turn == 1, F.col("s_name")).alias("house"))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code"), "s_nationkey", F.when(F.col("s_acctbal") < 0, "").when(F.col("s_acctbal") < 5000, F.col("s_name")).alias("house"))
     return tables.filled(rows, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("house")), "s_nationkey", ["house"]).select("code", "house")
 
 
@@ -182,6 +183,30 @@ def ladder(spark, sf_dir):
     return hits.withColumn("n", F.row_number().over(best)).filter("n = 1").select("q", "name", "code", "rank")
 
 
+_GRAMMED = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda w: length(w) > 0), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+@BOOK.add(
+    "f9_resolved_names",
+    rf"""WITH asked AS (SELECT upper(replace(p_brand || ' ' || p_name, ' ', '-')) AS name FROM part UNION SELECT p_brand || ' ' || p_name || ' ' || p_type FROM part UNION SELECT p_name || ' ' || p_type || ' of ' || p_brand FROM part UNION SELECT p_name FROM part),
+known AS (SELECT p_brand || ' ' || p_name AS name, min(p_partkey) AS code FROM part GROUP BY 1),
+a AS (SELECT name, unnest({_GRAMMED}) AS gram FROM asked), b AS (SELECT name, unnest({_GRAMMED}) AS gram FROM known),
+na AS (SELECT name, count(*) AS n FROM a GROUP BY 1), nb AS (SELECT name, count(*) AS n FROM b GROUP BY 1),
+m AS (SELECT a.name AS a, b.name AS b, count(*) AS s FROM a JOIN b USING (gram) GROUP BY 1, 2),
+c AS (SELECT a, b, s / (na.n + nb.n - s) AS score, trim(regexp_replace(lower(a), '[\s\-_]+', ' ', 'g')) AS x, trim(regexp_replace(lower(b), '[\s\-_]+', ' ', 'g')) AS y FROM m JOIN na ON na.name = a JOIN nb ON nb.name = b WHERE s >= 0.5 * (na.n + nb.n - s) - 1e-9),
+l AS (SELECT a, b, score, CASE WHEN x = y THEN 1 WHEN contains(x, y) OR contains(y, x) THEN 2 WHEN len(list_filter(string_split_regex(a, '\s+'), lambda w: length(w) > 1)) >= 4 THEN 3 END AS step FROM c),
+r AS (SELECT a, code, b, step, row_number() OVER (PARTITION BY a ORDER BY step, round(score, 12) DESC, length(b), code) AS n FROM l JOIN known ON known.name = b WHERE step IS NOT NULL)
+SELECT asked.name, coalesce(code, -1) AS code, b AS found, coalesce(step, 0) AS step FROM asked LEFT JOIN r ON a = asked.name AND n = 1""",
+)
+def resolved_names(spark, sf_dir):
+    """Four ways of writing every part's name, resolved against the names of all parts."""
+    part = table(spark, sf_dir, "part")
+    forms = ("upper(replace(p_brand || ' ' || p_name, ' ', '-'))", "p_brand || ' ' || p_name || ' ' || p_type", "p_name || ' ' || p_type || ' of ' || p_brand", "p_name")
+    asked = part.select(F.explode(F.array(*(F.expr(f) for f in forms))).alias("name"))
+    known = part.select(F.col("p_partkey").alias("code"), F.concat_ws(" ", "p_brand", "p_name").alias("name"))
+    return names.resolve(asked, known, 0.5).fillna({"code": -1, "step": 0})
+
+
 @BOOK.add("f20_parsed_dates", "SELECT * FROM (VALUES ('31-12-2024', '2024-12-31'), ('01-Jan-2024', '2024-01-01'), ('05/02/2024', '2024-02-05'), ('07 Mar 2024', '2024-03-07'), ('soon', NULL)) AS t(raw, d)")
 def parsed_dates(spark, sf_dir):
     return _values(spark, "('31-12-2024'), ('01-Jan-2024'), ('05/02/2024'), ('07 Mar 2024'), ('soon')", "raw").select("raw", parsed_date("raw").cast("string").alias("d"))
@@ -208,19 +233,21 @@ def calendar_parts(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.year(d).cast("long").alias("year"), F.month(d).cast("long").alias("month"), F.date_format(d, "MMMM").alias("name"), F.dayofweek(d).cast("long").alias("weekday")).agg(F.count("*").alias("n"))
 
 
-@BOOK.add("f28_fetch_gaps", f"WITH s AS (SELECT k, max(d) AS last FROM ({nav_sql('brand')}) WHERE k <> 'Brand#7' GROUP BY k), r AS (SELECT DISTINCT p_brand AS k FROM part) SELECT r.k, CASE WHEN s.last IS NULL THEN 'cold' WHEN DATE '2001-11-08' - s.last >= 5 THEN 'forward' ELSE 'none' END AS fetch FROM r LEFT JOIN s ON r.k = s.k")
+@BOOK.add("f28_fetch_gaps", f"WITH s AS (SELECT k, max(d) AS last FROM ({nav_sql('brand')}) GROUP BY k), r AS (SELECT DISTINCT p_brand AS k FROM part UNION ALL SELECT r_name FROM region) SELECT r.k, CASE WHEN s.last IS NULL THEN 'cold' WHEN DATE '2001-11-08' - s.last >= 5 THEN 'forward' ELSE 'none' END AS fetch FROM r LEFT JOIN s ON r.k = s.k")
 def fetch_gaps(spark, sf_dir):
-    last = nav(spark, sf_dir, "brand").filter("k <> 'Brand#7'").groupBy("k").agg(F.max("d").alias("last"))
+    last = nav(spark, sf_dir, "brand").groupBy("k").agg(F.max("d").alias("last"))
     need = F.when(F.col("last").isNull(), "cold").when(F.datediff(F.lit("2001-11-08").cast("date"), "last") >= 5, "forward").otherwise("none")
-    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("k")).distinct().join(last, "k", "left").select("k", need.alias("fetch"))
+    asked = table(spark, sf_dir, "part").select(F.col("p_brand").alias("k")).distinct().unionByName(table(spark, sf_dir, "region").select(F.col("r_name").alias("k")))
+    return asked.join(last, "k", "left").select("k", need.alias("fetch"))
 
 
-@BOOK.add("u10_nav_guard", f"WITH n AS (SELECT k, arg_max(nav, d) AS nav FROM ({nav_sql('brand')}) GROUP BY k), p AS (SELECT a.k AS a, b.k AS b, a.nav AS x, CASE WHEN b.k <> 'Brand#9' THEN b.nav END AS y FROM n AS a JOIN n AS b ON a.k < b.k) SELECT a, b, coalesce(abs(x - y) / y <= 0.05, true) AS trusted FROM p")
+@BOOK.add("u10_nav_guard", f"WITH n AS (SELECT k, arg_max(nav, d) AS nav FROM ({nav_sql('nation')}) GROUP BY k), r AS (SELECT k, arg_max(nav, d) AS nav FROM ({nav_sql('region')}) GROUP BY k) SELECT n_name AS code, r_name AS match, coalesce(abs(n.nav - r.nav) / r.nav <= 0.05, true) AS trusted FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN n ON n.k = n_name LEFT JOIN r ON r.k = r_name")
 def nav_guard(spark, sf_dir):
-    last = nav(spark, sf_dir, "brand").groupBy("k").agg(F.max_by("nav", "d").alias("nav"))
-    a, b = last.select(F.col("k").alias("a"), F.col("nav").alias("x")), last.select(F.col("k").alias("b"), F.when(F.col("k") != "Brand#9", F.col("nav")).alias("y"))
-    pairs = a.join(b, F.col("a") < F.col("b"))  # one row a fund: two dozen on each side
-    return pairs.select("a", "b", F.coalesce(F.abs(F.col("x") - F.col("y")) / F.col("y") <= 0.05, F.lit(True)).alias("trusted"))
+    """Each code against the one it is to be merged into: trusted if their last values differ by 5 percent at most or one is not known."""
+    last = lambda kind, key, value: nav(spark, sf_dir, kind).groupBy(F.col("k").alias(key)).agg(F.max_by("nav", "d").alias(value))
+    pairs = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("code"), F.col("r_name").alias("match"))
+    both = pairs.join(last("nation", "code", "x"), "code", "left").join(last("region", "match", "y"), "match", "left")
+    return both.select("code", "match", F.coalesce(F.abs(F.col("x") - F.col("y")) / F.col("y") <= 0.05, F.lit(True)).alias("trusted"))
 
 
 @BOOK.add("y11_buy_and_hold", f"SELECT k, round(100000 * arg_max(nav, d) / arg_min(nav, d), 3) AS final, round(100 * (arg_max(nav, d) / arg_min(nav, d) - 1), 5) AS gain FROM ({nav_sql('brand')}) GROUP BY k")
@@ -246,6 +273,28 @@ def rolling_variants(spark, sf_dir):
     return rows.select("k", "d", show(F.col("atr")).alias("atr"), show(100 * F.col("atr") / F.col("close")).alias("natr"), show(F.try_divide(100 * F.col("up"), F.col("up") + F.col("down"))).alias("rsi"))
 
 
+_WEEK = f"(SELECT k, max(d) AS d, arg_max(close, d) AS close, sum(volume) AS volume FROM ({BARS_SQL}) GROUP BY k, date_trunc('week', d))"
+
+
+@BOOK.add(
+    "i38_exponential_variants",
+    f"""WITH RECURSIVE b AS (SELECT *, lag(close) {_W} AS prev, row_number() {_W} AS n FROM {_WEEK}),
+e AS (SELECT k, d, n, close, volume, close AS fast, close AS slow, 0.0::DOUBLE AS signal, 0.0::DOUBLE AS obv FROM b WHERE n = 1
+  UNION ALL SELECT b.k, b.d, b.n, b.close, b.volume, e.fast + 2.0 / 13 * (b.close - e.fast), e.slow + 2.0 / 27 * (b.close - e.slow),
+    e.signal + 2.0 / 10 * ((e.fast + 2.0 / 13 * (b.close - e.fast)) - (e.slow + 2.0 / 27 * (b.close - e.slow)) - e.signal), e.obv + sign(b.close - b.prev) * b.volume FROM e JOIN b ON b.k = e.k AND b.n = e.n + 1)
+SELECT k, d, round(fast - slow + {1e3 * NUDGE}, 6) AS macd, round(signal + {1e3 * NUDGE}, 6) AS signal, round(obv, 3) AS obv FROM e""",
+    dates="d",
+)
+def exponential_variants(spark, sf_dir):
+    """Exponential means that begin with the first value, their difference and its mean, and volume signed by the change of price, of weekly bars."""
+    close = bars(spark, sf_dir).groupBy("k", F.trunc("d", "week").alias("_week")).agg(F.max("d").alias("d"), F.max_by("close", "d").alias("close"), F.sum("volume").alias("volume")).drop("_week")
+    rows = exponential_means(close, "close", {"fast": 2 / 13, "slow": 2 / 27}, span="year").withColumn("macd", F.col("fast") - F.col("slow"))
+    rows = exponential_means(rows, "macd", {"signal": 2 / 10}, span="year")
+    turn = F.coalesce(F.signum(F.col("close") - F.lag("close").over(ordered())), F.lit(0.0))
+    obv = F.sum(turn * F.col("volume")).over(ordered())
+    return rows.select("k", "d", F.round(F.col("macd") + 1e3 * NUDGE, 6).alias("macd"), F.round(F.col("signal") + 1e3 * NUDGE, 6).alias("signal"), F.round(obv, 3).alias("obv"))
+
+
 @BOOK.add("c2_clusters_of_funds")
 def clusters_of_funds(spark, sf_dir):
     """Funds grouped by standardised risk and return, with their first principal component."""

@@ -76,7 +76,7 @@ SELECT k, d, round(100 * nav / first_value(nav) {_W}, 6) AS fund, round(100 * v
 def rebased(spark, sf_dir):
     base = nav(spark, sf_dir, "flag").filter("k = 'N'").select("d", F.col("nav").alias("b"))
     rows = nav(spark, sf_dir, "brand").join(base, "d", "left").withColumn("v", forward_filled("b"))
-    rows = rows.withColumn("v", F.coalesce("v", F.first("v", ignorenulls=True).over(ordered().rowsBetween(0, Window.unboundedFollowing))))
+    rows = rows.withColumn("v", F.coalesce("v", F.first("v", ignorenulls=True).over(ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     rebase = lambda c: F.round(100 * F.col(c) / F.first(c).over(ordered()), 6)
     return rows.select("k", "d", rebase("nav").alias("fund"), rebase("v").alias("benchmark"))
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.plans.relations import HOLDINGS_SQL, TRADES_SQL, holdings, nav, nav_sql, table, trades
+from tidemark.operators import tables
+from tidemark.plans.relations import HOLDINGS_SQL, NUDGE, TRADES_SQL, holdings, nav, nav_sql, table, trades
 from tidemark.queries.book import Book
-from tidemark.sources import feeds
+from tidemark.sources import catalog, feeds
 from tidemark.sources.scratch import scratch
+from tidemark.sources.sink import Table
 
 BOOK = Book()
 
@@ -98,13 +100,12 @@ def trimmed(spark, sf_dir):
     return feeds.read_trimmed_csv(spark, path)
 
 
-@BOOK.add("s11_source_priority", f"WITH a AS (SELECT k, d, nav FROM ({nav_sql('flag')}) WHERE day(d) < 15), b AS (SELECT k, d, nav * 2 AS nav FROM ({nav_sql('flag')}) WHERE day(d) > 10) SELECT * FROM a UNION ALL SELECT * FROM b WHERE (k, d) NOT IN (SELECT k, d FROM a)", dates="d")
+@BOOK.add("s11_source_priority", f"WITH q AS (SELECT DISTINCT l_returnflag AS k, CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE l_quantity >= 50), a AS (SELECT k, d, nav FROM ({nav_sql('flag')}) SEMI JOIN q USING (k, d)), b AS (SELECT k, d, nav * 2 AS nav FROM ({nav_sql('flag')})) SELECT * FROM a UNION ALL SELECT * FROM b WHERE (k, d) NOT IN (SELECT k, d FROM a)", dates="d")
 def priority(spark, sf_dir):
-    from tidemark.operators.tables import prioritised
-
+    """Values of a source that has the days of large lines only, and of one that has all for the rest."""
     rows = nav(spark, sf_dir, "flag")
-    first, second = rows.filter(F.dayofmonth("d") < 15), rows.filter(F.dayofmonth("d") > 10).withColumn("nav", F.col("nav") * 2)
-    return prioritised([(1, first), (2, second)], ["k", "d"])
+    large = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50").select(F.col("l_returnflag").alias("k"), F.col("l_shipdate").cast("date").alias("d"))
+    return tables.prioritised([(1, rows.join(large, ["k", "d"], "left_semi")), (2, rows.withColumn("nav", F.col("nav") * 2))], ["k", "d"])
 
 
 @BOOK.add("s6_page_outline", r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS links, length(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<[^>]*>', '', 'g')) AS text_length FROM pages""")
@@ -119,7 +120,33 @@ def tsv(spark, sf_dir):
     return spark.read.schema("n_nationkey int, n_name string").option("sep", "\t").csv(path)
 
 
-@BOOK.add("s17_table_rows", "SELECT 'customer' AS name, count(*) AS rows FROM customer UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part")
+_ALL = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
+
+
+@BOOK.add("s17_table_rows", " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS rows FROM {n}" for n in _ALL))
 def table_rows(spark, sf_dir):
-    counts = [table(spark, sf_dir, n).agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows") for n in ("customer", "lineitem", "orders", "part")]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+    return catalog.sizes(spark, {n: f"{sf_dir}/{n}.parquet" for n in _ALL}).select("name", "rows")
+
+
+@BOOK.add("s17_table_bytes")
+def table_bytes(spark, sf_dir):
+    """Rows, files and bytes of every table, largest first; SQL here has no file sizes, tests hold them against the files."""
+    return catalog.sizes(spark, {n: f"{sf_dir}/{n}.parquet" for n in _ALL}).orderBy(F.desc("bytes"), "name")
+
+
+@BOOK.add(
+    "s14_written_table",
+    f"WITH u AS (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT'), r AS (SELECT o_custkey AS code, o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM u) UNION ALL SELECT o_custkey, o_orderkey, round(o_totalprice * 1.1 + {NUDGE * 1000}, 2) FROM u) SELECT code, id, CASE WHEN id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49) THEN 0 ELSE price END AS price FROM r",
+)
+def written(spark, sf_dir):
+    """A table written once, then replaced for customers with urgent orders, then changed row by row; each change is run twice."""
+    out = Table(spark, scratch(spark), "code long, id long, price double", ["code"])
+    rows = table(spark, sf_dir, "orders")
+    named = rows.select(F.col("o_custkey").alias("code"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    dearer = rows.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("code"), F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") * 1.1 + NUDGE * 1000, 2).alias("price"))
+    out.change("first", named)
+    for _ in range(2):
+        out.change("urgent", dearer)
+    large = table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_orderkey").alias("id"))
+    out.change("large", out.read().join(large, "id", "left_semi").withColumn("price", F.lit(0.0)), lambda old, new, _: tables.upsert(old, new, ["code", "id"]))
+    return out.read()

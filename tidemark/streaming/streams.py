@@ -11,9 +11,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators.tables import insert_absent
 from tidemark.sources.scratch import scratch
+from tidemark.sources.sink import Table
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -24,12 +27,28 @@ def events(spark: SparkSession, folder: str, name: str = "events.parquet") -> Da
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def appended(stream: DataFrame, path: str, store: str | None = None) -> StreamingQuery:
+    """Runs the stream to its end into the folder path, going on where an earlier run left off; ``store`` names the state store's class."""
+    conf = stream.sparkSession.conf
+    before = conf.get(_PROVIDER)
+    try:
+        if store:
+            conf.set(_PROVIDER, store)  # a query keeps the settings of its start
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
+    finally:
+        conf.set(_PROVIDER, before)
+    query.awaitTermination()
+    return query
+
+
+def to_end(stream: DataFrame, mode: str = "append", store: str | None = None) -> DataFrame:
     """What the stream gives until it has read all that is there."""
     spark, path = stream.sparkSession, scratch(stream.sparkSession)
     if mode == "append":
-        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
-        query.awaitTermination()
+        appended(stream, path, store)
         return spark.read.schema(stream.schema).parquet(f"{path}/out")
     last: list[str] = []
 
@@ -49,9 +68,33 @@ def bars(stream: DataFrame, length: str = "1 day", late: str = "2 hours") -> Dat
     return made.select(F.col("w.start").cast("date").alias("d"), "event_type", "open", "high", "low", "close", "n")
 
 
-def first_of_each(stream: DataFrame, key: str) -> DataFrame:
-    """Each key once, whatever comes again."""
-    return stream.dropDuplicates([key])
+def first_of_each(stream: DataFrame, keys: list[str], late: str) -> DataFrame:
+    """Rows of a key once within the watermark's delay; state holds keys that long and no longer."""
+    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
+def inserted(stream: DataFrame, table: Table) -> StreamingQuery:
+    """Inserts rows whose key the table does not have, one a key; a repeated batch changes nothing."""
+
+    def insert(batch: DataFrame, number: int) -> None:
+        table.change(f"batch-{number}", batch.select(*table.schema.names), lambda old, new, keys: old.unionByName(insert_absent(old, new, keys)))
+
+    return _each_batch(stream, table, insert)
+
+
+def replaced(stream: DataFrame, table: Table, fetched: str) -> StreamingQuery:
+    """Replaces all rows of the keys that come anew; keys whose fetch failed (``fetched`` is not true for any of their rows) are left alone."""
+
+    def replace(batch: DataFrame, number: int) -> None:
+        table.change(f"batch-{number}", batch.filter(fetched).select(*table.schema.names))
+
+    return _each_batch(stream, table, replace)
+
+
+def _each_batch(stream: DataFrame, table: Table, change: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    query = stream.writeStream.foreachBatch(change).option("checkpointLocation", f"{table.path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 def newer_than(stream: DataFrame, known: DataFrame, key: str) -> DataFrame:
