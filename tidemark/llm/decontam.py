@@ -43,8 +43,8 @@ from tidemark.llm.wordhash import Words, chained
 THRESHOLD, QUESTION, RESPONSE = 0.6, 0.5, 0.5
 #: BM25's parameters; an item's share of words that count as its answer; words in a verified run.
 K1, B, ANSWER, RUN = 1.2, 0.75, 0.25, 3
-#: Items in one broadcast index, items in a block, and the most that non-essential words may reach.
-ITEMS, BLOCK, IDLE = 20_000, 8, 0.3
+#: Items in one broadcast index and bytes of their texts, items in a block, and the most that non-essential words may reach.
+ITEMS, ITEM_BYTES, BLOCK, IDLE = 20_000, 32 << 20, 8, 0.3
 
 
 def _runs(words: np.ndarray, n: int) -> np.ndarray:
@@ -189,7 +189,8 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     """Pairs of docs(doc_id, text) and items(item_id, text): doc_id, item_id, first_word, score, question, answer."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = max(1, -(-items.count() // ITEMS))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    parts = max(1, -(-size["n"] // ITEMS), -(-size["bytes"] // ITEM_BYTES))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int").alias("part"))
     counts = items.select("part", "text").mapInArrow(_item_words, "part int, word long, items long, words long, longest long")
     counts = written(counts.groupBy("part", "word").agg(F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest")))
@@ -216,6 +217,9 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*hits, strict=True), kinds, strict=True)], ["doc_id", "item_id", "first_word", "score", "question", "answer"])
 
         part = rows.mapInArrow(search, "doc_id long, item_id long, first_word long, score double, question double, answer double")
+        if parts > 1:  # one index at a time is sent out
+            part = written(part)
+            held.destroy()
         found = part if found is None else found.unionByName(part)
     return found
 

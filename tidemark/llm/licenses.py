@@ -174,10 +174,10 @@ WITH low AS (
 ), mark AS (
   SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM worded
 ), near AS (
-  SELECT doc_id, id, label, len(tokens) AS size, count(DISTINCT word) OVER (PARTITION BY doc_id, id ORDER BY i RANGE BETWEEN CURRENT ROW AND width - 1 FOLLOWING) AS both
+  SELECT doc_id, id, label, len(tokens) AS size, count(DISTINCT word) OVER (PARTITION BY doc_id, id ORDER BY i RANGE BETWEEN CURRENT ROW AND width - 1 FOLLOWING) AS met
   FROM mark JOIN template ON list_contains(tokens, word)
 ), met AS (
-  SELECT doc_id, label, both * 1.0::DOUBLE / size AS containment FROM near WHERE both >= ceil({CONTAINMENT} * size - 1e-9)
+  SELECT doc_id, label, met * 1.0::DOUBLE / size AS containment FROM near WHERE met >= ceil({CONTAINMENT} * size - 1e-9)
 ), more AS (
   SELECT doc_id, list(DISTINCT label) AS labels, max(containment) AS best FROM met GROUP BY doc_id
 ), based AS (
