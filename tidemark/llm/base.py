@@ -39,6 +39,20 @@ def written(df: DataFrame, *sort_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written_and_tidied(df: DataFrame) -> DataFrame:
+    """written(df), whose shuffle files go as soon as the table is there; df is not to be run again."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP)
+    try:
+        conf.set(_CLEANUP, "true")
+        return written(df)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def byte_slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes each; one text is never split."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))

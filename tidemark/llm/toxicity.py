@@ -46,17 +46,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import byte_slices, crc_of_id, logistic, read, smallable, written
+from tidemark.llm.base import byte_slices, crc_of_id, logistic, read, smallable
+from tidemark.llm.base import written_and_tidied as written
 from tidemark.llm.runs import Runs
 from tidemark.llm.wordhash import Spans, Words, flat, folded, spelled
 
 #: Symbols of a context and of the longest shared order.
 ORDER, LOWER = 10, 5
 #: Rows of the model and words that are broadcast at once (16 and 12 bytes each), bytes of texts handled together, and most rows of a class that fit the curve.
-PART, WORDS, SLICE, CALIBRATION_ROWS = 4_000_000, 4_000_000, 4 << 20, 10_000
+PART, WORDS, SLICE, CALIBRATION_ROWS = 3_000_000, 4_000_000, 1 << 20, 10_000
+#: Most grams of the shared orders that are broadcast.
+TAILS = 500_000
+#: Rows at which a task merges its counts, and that a merge may leave.
+MERGE, SEND = 400_000, 250_000
 #: One of so many training rows fits the curve; how far the classes are weighted to count evenly (1: fully).
 FOLDS, EVEN = 10, 0.5
 
@@ -94,7 +99,13 @@ class Spelt:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic) to how often each symbol was seen in its context, added up by slice."""
+    """(text, toxic) to how often each symbol was seen in its context, added up by the task."""
+    runs = Runs(1, MERGE, SEND)
+
+    def rows(merged):
+        (_, *seen), grams = merged
+        return pa.RecordBatch.from_arrays([grams, *map(pa.array, seen)], ["gram", "ordinary", "toxic"])
+
     for batch in batches:
         texts, toxic = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         for a, b in byte_slices(texts, SLICE):
@@ -105,7 +116,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spelt, bad = Spelt(words.data, words.starts[at], words.ends[at]), toxic[a + words.rows]
             grams, one, at = np.unique(spelt.grams(), return_index=True, return_inverse=True)
             seen = [np.bincount(at, np.bincount(back[m], minlength=len(spelt.first))[spelt.word], len(grams)).astype(np.int64) for m in (~bad, bad)]
-            yield pa.RecordBatch.from_arrays([spelled(spelt.data, spelt.starts[one], spelt.stops[one]), *map(pa.array, seen)], ["gram", "ordinary", "toxic"])
+            for merged in runs.add([grams, *seen], spelled(spelt.data, spelt.starts[one], spelt.stops[one])):
+                yield rows(merged)
+    for merged in runs.rest():
+        yield rows(merged)
 
 
 def count(rows: DataFrame) -> DataFrame:
@@ -154,7 +168,7 @@ def _shared(counts: DataFrame) -> DataFrame:
 
 
 def steps(counts: DataFrame) -> DataFrame:
-    """(gram, gain, left) of count(): what a symbol behind its context has more than one not seen there, and the log-likelihood difference of one not seen behind ``gram``."""
+    """(gram, gain, left) of count(): what a symbol behind its context has more than one not seen there, and the log-likelihood difference of one not seen behind ``gram``; a gram that is a context too has a row for each, which add up."""
     classes = ("ordinary", "toxic")
     times = counts.agg(*(F.count_if(F.col(c) == k) for c in classes for k in (1, 2, 3, 4))).first()
     cuts = {}
@@ -163,19 +177,19 @@ def steps(counts: DataFrame) -> DataFrame:
         y = _discount(n[0], n[1])
         cuts[c] = [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1 * k), 0.9 * k) for k in (1, 2, 3)]
     cut = {c: F.when(F.col(c) == 0, 0.0).when(F.col(c) == 1, cuts[c][0]).when(F.col(c) == 2, cuts[c][1]).otherwise(cuts[c][2]) for c in classes}
-    counts = counts.withColumn("parent", F.expr("left(gram, length(gram) - 1)"))
-    after = counts.groupBy("parent").agg(*(F.sum(c).alias(f"all_{c}") for c in classes), *(F.sum(cut[c]).alias(f"cut_{c}") for c in classes))
-    free = {c: F.when(F.col(f"all_{c}") > 0, F.col(f"cut_{c}") / F.col(f"all_{c}")).otherwise(1.0) for c in classes}
-    after = written(after.select("parent", *(f"all_{c}" for c in classes), *(free[c].alias(f"free_{c}") for c in classes)))
+    context = Window.partitionBy("parent")
+    placed = counts.withColumn("parent", F.expr("left(gram, length(gram) - 1)"))
+    placed = placed.withColumns({**{f"all_{c}": F.sum(c).over(context) for c in classes}, **{f"cut_{c}": F.sum(cut[c]).over(context) for c in classes}, "lead": F.min("gram").over(context) == F.col("gram")})
+    placed = placed.withColumns({f"free_{c}": F.when(F.col(f"all_{c}") > 0, F.col(f"cut_{c}") / F.col(f"all_{c}")).otherwise(1.0) for c in classes})
 
     def likely(c: str) -> Column:
         return F.log((F.col(c) - cut[c]) / F.greatest(F.col(f"all_{c}"), F.lit(1)) + F.col(f"free_{c}") * F.col("likely"))
 
     shared = _shared(counts).select(F.col("gram").alias("tail"), "likely")
     unseen = F.log(F.col("free_toxic") / F.col("free_ordinary"))
-    each = counts.withColumn("tail", _tail()).join(after, "parent").join(shared, "tail").select("gram", (likely("toxic") - likely("ordinary") - unseen).alias("gain"))
-    left = after.select(F.col("parent").alias("gram"), unseen.alias("left"))
-    return written(each.join(left, "gram", "full").fillna(0.0))
+    each = placed.withColumn("tail", _tail()).join(smallable(shared, TAILS), "tail").select("gram", "parent", "lead", (likely("toxic") - likely("ordinary") - unseen).alias("gain"), unseen.alias("left"))
+    of_gram, of_context = F.struct("gram", "gain", F.lit(0.0).alias("left")), F.struct(F.col("parent").alias("gram"), F.lit(0.0).alias("gain"), "left")
+    return each.select(F.inline(F.when(F.col("lead"), F.array(of_gram, of_context)).otherwise(F.array(of_gram))))
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,11 +202,11 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct words of a task's texts and how often they occur."""
-    runs = Runs(1)
+    runs = Runs(1, MERGE, SEND)
 
     def rows(merged):
-        (key, times), names = merged
-        return pa.RecordBatch.from_arrays([pa.array(key), names, pa.array(times)], ["word", "spelling", "times"])
+        (_, times), names = merged
+        return pa.RecordBatch.from_arrays([names, pa.array(times)], ["spelling", "times"])
 
     for batch in batches:
         texts = batch.column(0)
@@ -208,13 +222,14 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Part:
-    """Some rows of the model in order of their hash, and what they add to words."""
+    """Some rows of the model in order of their hash, those of one hash added up, and what they add to words."""
 
     def __init__(self, rows: pa.Table):
         node = rows.column("node").to_numpy()
         order = np.argsort(node)
-        self.nodes = node[order]
-        self.gain, self.left = (rows.column(c).to_numpy().astype(np.float32)[order] for c in ("gain", "left"))
+        first = np.flatnonzero(np.r_[True, node[order][1:] != node[order][:-1]]) if len(node) else np.zeros(0, np.int64)
+        self.nodes = node[order][first]
+        self.gain, self.left = (np.add.reduceat(rows.column(c).to_numpy()[order], first) if len(node) else np.zeros(0, np.float32) for c in ("gain", "left"))
 
     def _at(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.nodes):
@@ -239,9 +254,9 @@ class Part:
 def word_values(docs: DataFrame, table: DataFrame) -> DataFrame:
     """(word, times, value) of every distinct word of docs(text) by steps(): the table goes out in parts over the words, not over the texts."""
     spark = docs.sparkSession
-    words = docs.select("text").mapInArrow(_distinct, "word long, spelling string, times long")
-    words = written(words.groupBy("word", "spelling").agg(F.sum("times").alias("times")).dropDuplicates(["word"]))
     keyed = written(table.select("gram", *(F.col(c).cast("float") for c in ("gain", "left"))).mapInArrow(_keyed, "node long, gain float, left float"))
+    words = docs.select("text").mapInArrow(_distinct, "spelling string, times long")
+    words = written(words.groupBy("spelling").agg(F.sum("times").alias("times")))
     parts = max(1, -(-keyed.count() // PART))
     found = None
     for part in range(parts):
@@ -251,7 +266,8 @@ def word_values(docs: DataFrame, table: DataFrame) -> DataFrame:
             for batch in batches:
                 data, offsets = flat(batch.column("spelling"))
                 if len(offsets) > 1:
-                    yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("times"), pa.array(held.value.values(Spelt(data, offsets[:-1], offsets[1:])))], ["word", "times", "value"])
+                    word = Spans(data).hashes(offsets[:-1], offsets[1:]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(word), batch.column("times"), pa.array(held.value.values(Spelt(data, offsets[:-1], offsets[1:])))], ["word", "times", "value"])
 
         one = written(words.mapInArrow(value, "word long, times long, value double"))
         held.destroy()
@@ -314,7 +330,7 @@ def features(docs: DataFrame, values: DataFrame, carried: str | None = None) ->
     if held < sum(n for _, n in sizes):
         found = written(found.withColumn("row", F.monotonically_increasing_id()))
         others = found.select("row", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("often").alias("often"))).alias("x")).select("row", "x.word", "x.often")
-        valued = others.join(values.filter(F.col("times") < float(2**least)).select("word", "value"), "word")
+        valued = others.join(values.filter(F.col("times") < float(2**least)).select("word", "value").dropDuplicates(["word"]), "word")
         more = valued.groupBy("row").agg(F.sum(F.col("value") * F.col("often")).alias("more"), F.max("value").alias("most"))
         found = found.join(more, "row", "left").withColumn("total", F.col("total") + F.coalesce("more", F.lit(0.0))).withColumn("peak", F.greatest("peak", "most"))
     has = F.col("count") > 0
