@@ -14,6 +14,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import scratch
+
+
+def _written(rows: DataFrame) -> DataFrame:
+    path = scratch(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
 
 def _applied(name: str) -> Callable[[Column, Column], Column]:
     return lambda y, maps: maps[name]["p"] * y + maps[name]["q"]
@@ -31,6 +39,7 @@ def linear(rows: DataFrame, maps: dict[str, tuple[Column | float, Column]], key:
     # the maps up to a row: its factor is the product, its offset a running sum on the scale of the block's beginning
     flat = rows.withColumns({"_span": F.trunc(day, span), **both}).withColumns({f"_p_{n}": F.product(f"_a_{n}").over(block) for n in maps})
     flat = flat.withColumns({f"_q_{n}": F.col(f"_p_{n}") * F.sum(F.col(f"_b_{n}") / F.col(f"_p_{n}")).over(block) for n in maps})
+    flat = _written(flat)  # read twice: for the blocks' maps and for the rows
     ends = flat.groupBy(key, "_span").agg(F.max_by(F.struct(*(F.struct(F.col(f"_p_{n}").alias("p"), F.col(f"_q_{n}").alias("q")).alias(n) for n in maps)), day).alias("_map"))
     earlier = Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block of the calendar
     chained = ends.withColumn("_maps", F.collect_list("_map").over(earlier))
