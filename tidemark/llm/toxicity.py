@@ -16,10 +16,10 @@ others::
 
 So an expression that is rare or has never been seen is judged where its
 contexts are known, and elsewhere by counts that favour no class.  A word's
-value is its toxic less its ordinary log-likelihood; a text's features are the
-mean over its words, which is the length-normalised difference, the highest
-value of a word, as one insult makes a long text toxic, and the log of its
-length.  A logistic curve of these, fitted on labelled rows that gave no
+value is its toxic less its ordinary log-likelihood over its symbols: without
+that a long word that was seen once outweighs any insult.  A text's features are
+the mean over its words, the highest value of a word, as one insult makes a long
+text toxic, and the log of its length.  A logistic curve of these, fitted on labelled rows that gave no
 counts, up to ``CALIBRATION_ROWS`` of each class, and weighted so that classes
 count more evenly, gives the score.  Words are judged without their neighbours:
 expressions of several words that are harmless one by one are not found.
@@ -267,12 +267,14 @@ def word_values(docs: DataFrame, table: DataFrame) -> DataFrame:
                 data, offsets = flat(batch.column("spelling"))
                 if len(offsets) > 1:
                     word = Spans(data).hashes(offsets[:-1], offsets[1:]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(word), batch.column("times"), pa.array(held.value.values(Spelt(data, offsets[:-1], offsets[1:])))], ["word", "times", "value"])
+                    spelt = Spelt(data, offsets[:-1], offsets[1:])
+                    yield pa.RecordBatch.from_arrays([pa.array(word), batch.column("times"), pa.array(spelt.symbols.astype(np.int64)), pa.array(held.value.values(spelt))], ["word", "times", "symbols", "value"])
 
-        one = written(words.mapInArrow(value, "word long, times long, value double"))
+        one = written(words.mapInArrow(value, "word long, times long, symbols long, value double"))
         held.destroy()
         found = one if found is None else found.unionByName(one)
-    return found if parts == 1 else written(found.groupBy("word", "times").agg(F.sum("value").alias("value")))
+    found = found if parts == 1 else written(found.groupBy("word", "times", "symbols").agg(F.sum("value").alias("value")))
+    return found.select("word", "times", (F.col("value") / F.col("symbols")).alias("value"))
 
 
 class Frequent:
