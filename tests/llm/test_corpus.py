@@ -165,7 +165,7 @@ def test_toxicity_is_kneser_ney(spark, texts, monkeypatch, part, known):
         assert got[g] == pytest.approx((want[g] - left[g[:-1]] if g in want else 0.0, left.get(g, 0.0)), abs=1e-9)
 
     def value(word):
-        return sum(want.get(g, left.get(g[:-1], 0.0)) for g in spelt_grams(word)) / len(spelt_grams(word))
+        return sum(want.get(g, left.get(g[:-1], 0.0)) for g in spelt_grams(word)) * min(1, toxicity.ORDER / len(spelt_grams(word)))
 
     asked = [*texts[50:80], *texts[-12:], (7, "abcdefghijklmnoq"), (7, "abcdefghijklmnoq"), (8, "zzz"), (9, long), (10, "abcdefghijklmnzz"), (11, "abcdefghijklmnyy"), (12, long[300:] + "q")]
     docs = spark.createDataFrame(asked, "doc_id long, text string")

@@ -16,9 +16,9 @@ others::
 
 So an expression that is rare or has never been seen is judged where its
 contexts are known, and elsewhere by counts that favour no class.  A word's
-value is its toxic less its ordinary log-likelihood over its symbols: without
-that a long word that was seen once outweighs any insult.  A text's features are
-the mean over its words, the highest value of a word, as one insult makes a long
+value is its toxic less its ordinary log-likelihood, that of a word of more than
+``ORDER`` symbols normalised to so many: without that a long word that was seen
+once outweighs any insult.  A text's features are the mean over its words, the highest value of a word, as one insult makes a long
 text toxic, and the log of its length.  A logistic curve of these, fitted on labelled rows that gave no
 counts, up to ``CALIBRATION_ROWS`` of each class, and weighted so that classes
 count more evenly, gives the score.  Words are judged without their neighbours:
@@ -274,7 +274,7 @@ def word_values(docs: DataFrame, table: DataFrame) -> DataFrame:
         held.destroy()
         found = one if found is None else found.unionByName(one)
     found = found if parts == 1 else written(found.groupBy("word", "times", "symbols").agg(F.sum("value").alias("value")))
-    return found.select("word", "times", (F.col("value") / F.col("symbols")).alias("value"))
+    return found.select("word", "times", (F.col("value") * F.least(F.lit(1.0), ORDER / F.col("symbols"))).alias("value"))
 
 
 class Frequent:
