@@ -34,14 +34,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import byte_slices, read, written
+from tidemark.llm.base import byte_slices, read, written, written_by_batches
 from tidemark.llm.runs import Runs
 from tidemark.llm.wordhash import PIECE_ENDS, Spans, Words, folded, mix, spelled
 
 #: Least occurrences of a phrase, percentage of them within one longer phrase that makes it a part of that, and phrases reported of a language.
 LEAST, COVERED, TOP = 10, 50, 2000
 #: Bytes of text counted together, log2 of a filter's most bits, bits of a filter for each member.
-SLICE, BITS, BITS_EACH = 2 << 20, 27, 16
+SLICE, BITS, BITS_EACH = 512 << 10, 27, 16
+#: Texts that are sent to a task's Python at a time.
+SENT = 1000
 #: Rows at which a task merges its runs, and that a merge may leave.
 MERGE, SEND = 400_000, 250_000
 #: Groups that rank a language's candidates before the last ranking.
@@ -108,7 +110,7 @@ def words(docs: DataFrame) -> tuple[DataFrame, int]:
     """(number, lang, word, times) of all words of docs(lang, text), and the seed by which no two share a number."""
     for turn in range(8):
         found = docs.select("lang", "text").mapInArrow(_roots(turn), "number long, lang string, word string, times long")
-        table = written(found.groupBy("number", "lang", "word").agg(F.sum("times").alias("times")))
+        table = written_by_batches(found.groupBy("number", "lang", "word").agg(F.sum("times").alias("times")), SENT)
         if table.groupBy("number").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
             return table, turn
     raise RuntimeError("no numbering of the words without a clash")
@@ -204,7 +206,7 @@ def paths(docs: DataFrame, depth: int, seed: int, allowed: Gate, least: int) ->
     """The merged trie's paths of one depth that were seen at least ``least`` times."""
     names = ["a", "b", "c"][:depth]
     held = docs.sparkSession.sparkContext.broadcast(allowed)
-    tries = written(docs.select("lang", "text").mapInArrow(_paths(depth, seed, held), ", ".join(f"{x} long" for x in (*names, "times"))))
+    tries = written_by_batches(docs.select("lang", "text").mapInArrow(_paths(depth, seed, held), ", ".join(f"{x} long" for x in (*names, "times"))), SENT)
     held.destroy()
     return written(tries.repartitionByRange(*names).groupBy(*names).agg(F.sum("times").alias("times")).filter(F.col("times") >= least))
 
