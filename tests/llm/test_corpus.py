@@ -641,6 +641,27 @@ def test_top_k_skips_blocks(spark):
     assert shard.read < 0.2 * shard.all
 
 
+def test_top_k_bounds_frequent_words_together(monkeypatch):
+    """Every block has both words, but only few rows do: a bound by the sum of both maxima would read all blocks."""
+    import pyarrow as pa
+
+    every = min((f"w{k}" for k in range(100)), key=lambda w: topk._distinct(pa.array([w]))[0][0])  # the first by hash, by which rows are laid in blocks
+    rows = [f"{every} red bolt"] * 16 + [f"{every} red rod" if k % 2 else f"{every} old bolt" for k in range(1_600)]
+    word, _, _, sizes = topk._distinct(pa.array(rows))
+    vocabulary, df = np.unique(word, return_counts=True)
+    idf = np.log1p((len(rows) - df + 0.5) / (df + 0.5))
+    shard = topk.Shard(np.arange(len(rows)), pa.array(rows), vocabulary, idf, sizes.mean())
+    asked = np.searchsorted(vocabulary, topk._distinct(pa.array(["red bolt"]))[0])
+    first = list(shard.search([asked], np.zeros(1), 10))
+    shard.read = shard.all = 0
+    again = list(shard.search([asked], np.array([first[0][2].min()]), 10))
+    assert [x[1].tolist() for x in (*first, *again)] == [list(range(10))] * 2
+    assert shard.read < 0.1 * shard.all
+    monkeypatch.setattr(topk, "IMPACTS", 2_000)
+    few = topk.Shard(np.arange(len(rows)), pa.array(rows), vocabulary, idf, sizes.mean())
+    assert few.exact.size <= 2_000 and [x[1].tolist() for x in few.search([asked], np.zeros(1), 10)] == [list(range(10))]
+
+
 @pytest.mark.parametrize("most", [4_000_000, 400])
 def test_top_k_is_exact(spark, docs, none, texts, monkeypatch, most):
     """One block of queries and several find the same."""

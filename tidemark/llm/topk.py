@@ -6,16 +6,16 @@ not depend on how rows are dealt to shards.  A shard is a bounded batch of rows
 within a task.  It is indexed in memory: posting lists with BM25 impacts, cut
 into blocks of ``BLOCK`` rows, each with its maximum.
 
-The search of a shard is block-max WAND.  A query adds up the maxima of its
-words' lists block by block; blocks whose sum stays below the query's k-th best
-score so far are skipped, and none of their postings are read.  In the others,
-the postings of the query's rarer words are added up by row; its most frequent
-words are bounded by their maxima in the block first, and only rows that can
-still reach the threshold get their exact scores.  A share of the rows is
-searched first, and its k-th best scores are thresholds for all other shards; in
-that share, a query's threshold comes from its ``AT_FIRST`` most promising
-blocks.  The best rows are merged exactly, as no shard drops one of its k best
-that reaches the threshold, and all scores are global.
+The search of a shard is block-max WAND.  What a query's most frequent words add
+to each row comes from a product of matrices for many queries at once.  To each
+block's largest such sum a query adds the maxima of its rarer words' lists in the
+block; blocks whose bound stays below the query's k-th best score so far are
+skipped, and none of their postings are read.  In the others, the postings are
+added up by row.  A share of the rows is searched first, and its k-th best scores
+are thresholds for all other shards; in that share, a query's threshold comes from
+its ``AT_FIRST`` most promising blocks.  The best rows are merged exactly, as no
+shard drops one of its k best that reaches the threshold, and all scores are
+global.
 
 Queries travel in broadcast blocks of at most ``QUERY_WORDS`` words in all; the
 collection is read once a block.
@@ -45,8 +45,10 @@ TOP, K1, B, QUERY_WORDS = 10, 1.2, 0.75, 4_000_000
 DIGITS, SLACK = 9, 1e-8
 #: One row of so many goes ahead to give thresholds, in tasks of about so many words.
 AHEAD, SHARD_WORDS = 8, 4_000_000
-#: Bytes of text in a shard, rows in a block, the share of a shard's rows from which a word is only bounded, the most such words, and queries handled together.
-SHARD_BYTES, BLOCK, FREQUENT, MOST, TOGETHER = 24 << 20, 8, 0.04, 256, 64
+#: Bytes of text in a shard, rows in a block, the share of a shard's rows from which a word is added up by matrices, the most such words, and queries handled together.
+SHARD_BYTES, BLOCK, FREQUENT, MOST, TOGETHER = 24 << 20, 16, 0.02, 512, 64
+#: Most values of these matrices: of words by rows, and of queries by rows.
+IMPACTS, SUMS = 1 << 23, 1 << 21
 #: Blocks of the highest bounds that are scored first, to give a threshold.
 AT_FIRST = 4
 
@@ -139,20 +141,19 @@ class Shard:
         self.begin = np.searchsorted(term[first], np.arange(len(vocabulary) + 1))  # a list's pieces
         counts = np.diff(np.searchsorted(term, np.arange(len(vocabulary) + 1)))
         often = np.flatnonzero(counts > FREQUENT * n)
-        often = often[np.argsort(-counts[often], kind="stable")][:MOST]
+        often = often[np.argsort(-counts[often], kind="stable")][: min(MOST, IMPACTS // max(1, n))]
         self.column = np.full(len(vocabulary), -1)
         self.column[often] = np.arange(len(often))
         self.exact = np.zeros((len(often), n))
         dense = self.column[term] >= 0
         self.exact[self.column[term[dense]], self.row[dense]] = self.impact[dense]
         self.blocks = -(-n // BLOCK)
-        self.peaks = np.maximum.reduceat(self.exact, np.arange(0, n, BLOCK), axis=1) if n and len(often) else self.exact[:, : self.blocks]
         self.read = self.all = 0  # blocks that were scored, and blocks in all, over all queries
 
-    def _scores(self, pieces: np.ndarray, live: np.ndarray, rest: np.ndarray, frequent: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the live blocks that can reach the floor, and their scores.
+    def _scores(self, pieces: np.ndarray, live: np.ndarray, rest: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the live blocks that reach the floor, and their scores.
 
-        pieces: those of the query's rarer words; rest: by block, the most that its frequent words, whose columns follow, can add.
+        pieces: those of the query's rarer words; rest: by row, what its frequent words add.
         """
         pieces = pieces[live[self.block[pieces]]]
         start = self.piece[pieces]
@@ -161,36 +162,37 @@ class Shard:
         at = np.repeat(start - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
         rows = (np.flatnonzero(live)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
         rows = rows[: np.searchsorted(rows, self.rows)]
-        sums = np.bincount(self.row[at], self.impact[at], self.rows)[rows]
-        near = (sums + rest[rows // BLOCK] >= floor - SLACK) & (sums + rest[rows // BLOCK] > 0)
-        rows = rows[near]
-        return rows, sums[near] + self.exact[frequent[:, None], rows].sum(0)
+        sums = np.bincount(self.row[at], self.impact[at], self.rows)[rows] + rest[rows]
+        near = (sums >= floor - SLACK) & (sums > 0)
+        return rows[near], sums[near]
 
     def search(self, queries: list[np.ndarray], least: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, ids, scores) of the k best rows that can be among the best; least: scores that others have already."""
-        for a in range(0, len(queries), TOGETHER):
-            some = queries[a : a + TOGETHER]
+        together = max(1, min(TOGETHER, SUMS // max(1, self.rows)))
+        for a in range(0, len(queries), together):
+            some = queries[a : a + together]
             weights = np.zeros((len(some), len(self.exact)))
             for i, terms in enumerate(some):
                 columns = self.column[terms]
                 weights[i, columns[columns >= 0]] = 1
-            rests = weights @ self.peaks
+            rests = weights @ self.exact
+            peaks = np.maximum.reduceat(rests, np.arange(0, self.rows, BLOCK), axis=1)
             for i, terms in enumerate(some):
                 rare = terms[self.column[terms] < 0]
                 begin, counts = self.begin[rare], self.begin[rare + 1] - self.begin[rare]
                 ends = np.cumsum(counts)
                 pieces = np.repeat(begin - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
-                bounds, floor, frequent = np.bincount(self.block[pieces], self.peak[pieces], self.blocks) + rests[i], least[a + i], np.flatnonzero(weights[i])
+                bounds, floor = np.bincount(self.block[pieces], self.peak[pieces], self.blocks) + peaks[i], least[a + i]
                 if floor <= 0 and self.rows > k:  # a first threshold from the blocks of the highest bounds
                     best = np.zeros(self.blocks, bool)
                     best[np.argpartition(-bounds, AT_FIRST)[:AT_FIRST] if self.blocks > AT_FIRST else slice(None)] = True
-                    _, scores = self._scores(pieces, best, rests[i], frequent, floor)
+                    _, scores = self._scores(pieces, best, rests[i], floor)
                     floor = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else floor
                 live = (bounds > 0) & (bounds >= floor - SLACK)
                 self.read, self.all = self.read + int(live.sum()), self.all + self.blocks
                 if not live.any():
                     continue
-                rows, scores = self._scores(pieces, live, rests[i], frequent, floor)
+                rows, scores = self._scores(pieces, live, rests[i], floor)
                 scores = np.round(scores, DIGITS)  # equal texts get equal scores in any shard
                 good = np.flatnonzero((scores > 0) & (scores >= least[a + i]))
                 rows, scores = rows[good], scores[good]
