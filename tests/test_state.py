@@ -155,6 +155,16 @@ def test_numbers_follow_the_order(spark, n):
     assert all(r["n"] == r["place"] + 1 for r in numbers.collect())
 
 
+def test_joins_of_large_groups_are_spread(spark):
+    """Two keys of many pairs and one of a single pair: no task makes more than a few pieces."""
+    left = spark.createDataFrame([("x", k) for k in range(300)] + [("y", k) for k in range(40)] + [("z", 0), ("alone", 1), (None, 2)], "n string, a int")
+    right = spark.createDataFrame([("x", k) for k in range(400)] + [("y", k) for k in range(100)] + [("z", 0), ("other", 1), (None, 2)], "n string, b int")
+    joined = tables.joined_by_pieces(left, right, "n", pairs=2_000)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, left.join(right, "n").collect()))
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 124_001 and max(sizes) < 20_000
+
+
 def grams(name):
     return {("  " + w + " ")[i : i + 3] for w in "".join(c if c.isascii() and c.isalnum() else " " for c in name.lower()).split() for i in range(len(w) + 1)}
 

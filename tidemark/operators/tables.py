@@ -33,6 +33,26 @@ def replace_keys(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
+#: Pairs that a task makes.
+PAIRS = 4_000_000
+
+
+def joined_by_pieces(left: DataFrame, right: DataFrame, key: str, pairs: int = PAIRS) -> DataFrame:
+    """left and right joined on ``key``, whose groups may be large on both sides.
+
+    The right rows of a key are dealt to pieces of about ``pairs`` pairs, each of
+    which meets the key's left rows under a key of its own, and there is a task
+    for so many pairs.  The driver sees one number, of all pairs.
+    """
+    both = left.groupBy(key).agg(F.count("*").alias("_left")).join(right.groupBy(key).agg(F.count("*").alias("_right")), key)
+    pieces = both.select(key, F.least(F.ceil(F.col("_left") / pairs * F.col("_right")), F.col("_right")).cast("int").alias("_pieces"))
+    made = both.agg(F.sum(F.col("_left").cast("double") * F.col("_right")).alias("n")).first()["n"] or 0.0
+    tasks = max(left.sparkSession.sparkContext.defaultParallelism, min(20_000, int(made // pairs) + 1))
+    dealt = right.join(pieces, key).withColumn("_piece", F.pmod(F.xxhash64(*right.columns), F.col("_pieces")).cast("int")).drop("_pieces")
+    copied = left.join(pieces, key).withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).drop("_pieces")
+    return copied.repartition(tasks, key, "_piece").join(dealt.repartition(tasks, key, "_piece"), [key, "_piece"]).drop("_piece")
+
+
 #: Ranges in which rows are numbered, and rows from which their bounds are taken.
 RANGES, BOUNDS = 200, 4000
 

@@ -138,7 +138,7 @@ def twins(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     a = part.filter("p_size > 45").select((-F.col("p_partkey")).alias("synthetic"), named(F.upper).alias("n"))
     b = part.filter("p_size <= 45").select(F.col("p_partkey").alias("code"), named(lambda c: c).alias("n"))
-    return a.join(b, "n").select("synthetic", "code")
+    return tables.joined_by_pieces(a, b, "n").select("synthetic", "code")
 
 
 _STEM = stem_sql("{}")
