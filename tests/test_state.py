@@ -68,6 +68,44 @@ def test_stops_do_not_depend_on_batches_or_restarts(spark, ticks, tmp_path, cuts
     assert {r[-1] for r in want} == {"signal", "stop"}
 
 
+class Held:
+    """State of one key in memory."""
+
+    def __init__(self):
+        self.rows, self.timers = [], []
+        self.getListState = lambda name, schema: self
+        self.getValueState = lambda name, schema: Held()
+        self.registerTimer = self.timers.append
+        self.appendValue, self.appendList = self.rows.append, self.rows.extend
+        self.clear, self.exists = self.rows.clear, lambda: bool(self.rows)
+
+    def get(self):
+        return self.rows[0] if not self.timers and self.rows else iter(list(self.rows))
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def update(self, row):
+        self.rows = [row]
+
+
+def test_stops_of_many_keys_share_a_state():
+    """A call and a stored value serve all rows of a bucket, whatever the number of its keys."""
+    step = stops.StopWalk(0.1, True)
+    held = Held()
+    step.init(held)
+    rows = [(f"k{k}", 1_000_000 * n, 500 * n + k, price, n == 0, False) for n, price in enumerate((10.0, 12.0, 9.0)) for k in range(500)]
+    list(step.handleInputRows((3,), iter([pd.DataFrame(rows, columns=["k", "at", "id", "price", "entry", "leave"])]), None))
+    assert len(held.rows) == 1 and held.timers == [0]
+
+    class Now:
+        getCurrentWatermarkInMs = staticmethod(lambda: 5_000)
+
+    got = pd.concat(step.handleExpiredTimer((3,), Now, None))
+    assert sorted(map(tuple, got.to_numpy().tolist())) == sorted((f"k{k}", k, 1_000 + k, 10.0, 9.0, 12.0, "stop") for k in range(500))
+    assert not held.rows
+
+
 def test_state_of_the_duplicates_is_bounded(spark, tmp_path):
     """Keys older than the delay leave the state, and the table still takes no key twice."""
     rows = [(START + dt.timedelta(hours=i), i % 300, "t") for i in range(600)]
