@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidemark.llm import divergence, phrases, rules
+from tidemark.llm import base, divergence, lines, neardup, phrases, rules, toxicity
 from tidemark.llm.runs import Runs
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -296,3 +296,51 @@ def test_collocations_of_many_texts_fit_a_task(depth):
         tracemalloc.stop()
     assert found == len(texts) * (601 - depth)
     assert peak < 90e6
+
+
+@pytest.mark.parametrize(("step", "most"), [(lines._lines(1), 60e6), (toxicity._counts, 60e6), (toxicity._distinct, 60e6), (neardup._profiles(5), 60e6)], ids=["lines", "counts", "distinct", "profiles"])
+def test_memory_of_a_step_over_texts(step, most):
+    """A step of the pipeline holds little besides the batch that it was sent, of 8 MB here; with lines in slices of 4 MB it was 196 MB."""
+    rng = random.Random(5)
+    known = [f"w{k}" for k in range(5_000)]
+    texts = ["\n".join(" ".join(rng.choices(known, k=60)) for _ in range(12)) for _ in range(1_900)]
+    columns = {"doc_id": pa.array(range(1_900)), "text_hash": pa.array(range(1_900)), "text": pa.array(texts), "toxic": pa.array([k % 9 == 0 for k in range(1_900)])}
+    names = ["text", "toxic"] if step is toxicity._counts else ["text"] if step is toxicity._distinct else ["doc_id", "text_hash", "text"]
+    batch = pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+    tracemalloc.start()
+    try:
+        found = sum(one.num_rows for one in step(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found
+    assert peak < most, peak
+
+
+def test_kept_lines_of_a_long_batch():
+    """Cut texts come back in slices, in order, with nulls and texts that lose nothing."""
+    texts = [None, "", *("\n".join(f"{k} {j} " + "x" * 2_000 for j in range(50)) for k in range(20)), "a\nb"]
+    gone = [np.zeros(1 if not t else t.count("\n") + 1, bool) for t in texts]
+    for k in range(2, 22):
+        gone[k][k % 50 :: 3] = True
+    packed = pa.array([lines.zlib.compress(np.packbits(~g).tobytes()) for g in gone], pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), *(pa.array([int(f(g)) for g in gone]) for f in (len, np.sum)), packed], ["rest", "text", "n_lines", "n_dropped", "keep"])
+    found = list(lines._kept(iter([batch])))
+    assert len(found) > 2
+    assert [x for one in found for x in one.column("rest").to_pylist()] == list(range(len(texts)))
+    assert [x for one in found for x in one.column("text").to_pylist()] == [t if not g.any() else "\n".join(x for x, cut in zip(t.split("\n"), g, strict=True) if not cut) for t, g in zip(texts, gone, strict=True)]
+
+
+def test_texts_are_sent_by_bytes(spark):
+    """Long texts come to Python some 2 MB at a time, whole, and the session's setting stays as it was."""
+    before = spark.conf.get(base._BYTES)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    texts = spark.range(0, 120, 1, 1).selectExpr("repeat(cast(id % 10 as string), 100000) as text")
+    sent = base.written_by_bytes(texts.mapInArrow(sizes, "n long, bytes long")).collect()
+    assert sum(r["n"] for r in sent) == 120 and sum(r["bytes"] for r in sent) >= 12_000_000
+    assert max(r["bytes"] for r in sent) < 2 * base.SENT
+    assert spark.conf.get(base._BYTES) == before

@@ -36,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import byte_slices, read, written
+from tidemark.llm.base import SLICE, byte_slices, read
+from tidemark.llm.base import written_by_bytes as written
 from tidemark.llm.wordhash import Words, chained
 
 #: Least share of an item's own score, and least overlaps of question and answer.
@@ -176,7 +177,7 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(part, text) to (part, word, items, words, longest): in how many of some items each word stands; word null: the items themselves."""
     names = ["part", "word", "items", "words", "longest"]
     for batch in batches:
-        for a, b in byte_slices(batch.column("text")):
+        for a, b in byte_slices(batch.column("text"), SLICE):
             words, part = Words(batch.column("text").slice(a, b - a), "alnum"), batch.column("part").slice(a, b - a)
             pairs = np.unique(np.rec.fromarrays([words.hashes.view(np.int64), words.rows]))
             counts = np.bincount(words.rows, minlength=b - a)
@@ -210,7 +211,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
             index = held.value
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
-                for a, b in byte_slices(batch.column("text")):
+                for a, b in byte_slices(batch.column("text"), SLICE):
                     hits = [(ids[a + r], None if index.ids[i] != index.ids[i] else int(index.ids[i]), w, s, q, r2) for r, i, w, s, q, r2 in index.matches(batch.column("text").slice(a, b - a), threshold)]
                     if hits:
                         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())

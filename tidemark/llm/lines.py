@@ -29,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import byte_slices, read, written
+from tidemark.llm.base import SLICE, byte_slices, read
+from tidemark.llm.base import written_by_bytes as written
 from tidemark.llm.wordhash import Spans, flat
 
 _KEYS = ("doc_id", "text_hash")
@@ -61,7 +62,7 @@ def _lines(min_chars: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            for a, b in byte_slices(texts, 4 << 20):
+            for a, b in byte_slices(texts, SLICE):
                 hashes, points, rows, position, _ = line_spans(texts.slice(a, b - a))
                 ok = np.flatnonzero(points >= min_chars)
                 at = pa.array(a + rows[ok])
@@ -194,7 +195,7 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 1, keep_first: bool = True, mi
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Joins the kept lines of ``text`` again, by the bitmap in ``keep``."""
-    for batch in batches:
+    for batch in (whole.slice(a, b - a) for whole in batches for a, b in byte_slices(whole.column("text"), SLICE)):
         out = []
         for text, n, less, keep in zip(*(batch.column(c).to_pylist() for c in ("text", "n_lines", "n_dropped", "keep")), strict=True):
             if less:

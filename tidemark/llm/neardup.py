@@ -40,7 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import byte_slices, read, smallable, written
+from tidemark.llm.base import SLICE, byte_slices, read, smallable
+from tidemark.llm.base import written_by_bytes as written
 from tidemark.llm.wordhash import bounds, hashed_words, mix, shingles
 
 #: Coordinates of a sketch, trees of the two rounds, levels before the first look at node sizes, and most levels.
@@ -91,7 +92,7 @@ def _profiles(n: int):
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in byte_slices(batch.column("text")):
+            for a, b in byte_slices(batch.column("text"), SLICE):
                 sets = shingle_sets(batch.column("text").slice(a, b - a), n)
                 body = pa.py_buffer(np.ascontiguousarray(sketches(sets)).tobytes())
                 packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * SKETCH), b - a, [None, body]).cast(pa.binary())
@@ -239,7 +240,7 @@ def _sets(n: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            for a, b in byte_slices(batch.column("text")):
+            for a, b in byte_slices(batch.column("text"), SLICE):
                 sets = shingle_sets(batch.column("text").slice(a, b - a), n)
                 marks = pa.RecordBatch.from_arrays(_marks(sets), list(MARK))
                 new = [k for k, m in enumerate(zip(*(c.to_pylist() for c in marks.columns), strict=True)) if not (m in seen or seen.add(m))]

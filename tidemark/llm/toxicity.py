@@ -46,18 +46,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import byte_slices, crc_of_id, logistic, read, smallable
+from tidemark.llm.base import SLICE, byte_slices, crc_of_id, logistic, read, smallable
 from tidemark.llm.base import written_and_tidied as written
 from tidemark.llm.runs import Runs
 from tidemark.llm.wordhash import Spans, Words, flat, folded, spelled
 
 #: Symbols of a context and of the longest shared order.
 ORDER, LOWER = 10, 5
-#: Rows of the model and words that are broadcast at once (16 and 12 bytes each), bytes of texts handled together, and most rows of a class that fit the curve.
-PART, WORDS, SLICE, CALIBRATION_ROWS = 3_000_000, 4_000_000, 1 << 20, 10_000
+#: Rows of the model and words that are broadcast at once (16 and 12 bytes each), and most rows of a class that fit the curve.
+PART, WORDS, CALIBRATION_ROWS = 3_000_000, 4_000_000, 10_000
 #: Most grams of the shared orders that are broadcast.
 TAILS = 500_000
 #: Rows at which a task merges its counts, and that a merge may leave.
@@ -312,9 +313,8 @@ class Frequent:
         return [pa.array(total), pa.array(peak), pa.array(count), *lists]
 
 
-def features(docs: DataFrame, values: DataFrame, carried: str | None = None) -> DataFrame:
-    """docs(doc_id, text, ...) to doc_id, the carried column of type long, peak, mean and length, by word_values()."""
-    rows = docs.select("doc_id", (F.col(carried) if carried else F.lit(None)).cast("long").alias("carried"), "text")
+def frequent(values: DataFrame) -> tuple[Broadcast, int, bool]:
+    """The most frequent words of word_values() as a broadcast Frequent, the power of two of times from which on they are there, and whether there are others."""
     often = F.floor(F.log2("times")).cast("int")
     sizes = sorted(((r["often"], r["n"]) for r in values.groupBy(often.alias("often")).agg(F.count("*").alias("n")).collect()), reverse=True)  # a row for each power of two
     held, least = 0, sizes[0][0] + 1 if sizes else 0
@@ -322,14 +322,21 @@ def features(docs: DataFrame, values: DataFrame, carried: str | None = None) ->
         if held + n > WORDS:
             break
         held, least = held + n, power
-    known = docs.sparkSession.sparkContext.broadcast(Frequent(values.filter(F.col("times") >= float(2**least)).select("word", F.col("value").cast("float")).toArrow()))
+    known = Frequent(values.filter(F.col("times") >= float(2**least)).select("word", F.col("value").cast("float")).toArrow())
+    return values.sparkSession.sparkContext.broadcast(known), least, held < sum(n for _, n in sizes)
+
+
+def features(docs: DataFrame, values: DataFrame, carried: str | None = None, words: tuple[Broadcast, int, bool] | None = None) -> DataFrame:
+    """docs(doc_id, text, ...) to doc_id, the carried column of type long, peak, mean and length, by word_values() and their frequent()."""
+    rows = docs.select("doc_id", (F.col(carried) if carried else F.lit(None)).cast("long").alias("carried"), "text")
+    known, least, rest = words or frequent(values)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("carried"), *known.value.features(batch.column("text"))], ["doc_id", "carried", "total", "peak", "count", "rare", "often"])
 
     found = rows.mapInArrow(score, "doc_id long, carried long, total double, peak double, count long, rare array<long>, often array<long>")
-    if held < sum(n for _, n in sizes):
+    if rest:
         found = written(found.withColumn("row", F.monotonically_increasing_id()))
         others = found.select("row", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("often").alias("often"))).alias("x")).select("row", "x.word", "x.often")
         valued = others.join(values.filter(F.col("times") < float(2**least)).select("word", "value").dropDuplicates(["word"]), "word")
@@ -345,7 +352,9 @@ def _curve(judged: DataFrame, values: DataFrame, sizes: dict[int, int]) -> np.nd
     """The curve's weights from judged(text, toxic), of which at most CALIBRATION_ROWS of a class are taken and stand for all of it."""
     taken = [judged.filter(F.col("toxic") == c).withColumn("turn", F.xxhash64("crc", "text")).orderBy("turn").limit(CALIBRATION_ROWS) for c in (False, True)]
     both = written(taken[0].unionByName(taken[1]).select(F.col("toxic").cast("long").alias("doc_id"), "text"))
-    curve = features(both, values).toArrow().to_pandas()
+    words = frequent(values)
+    curve = features(both, values, words=words).toArrow().to_pandas()
+    words[0].destroy()
     y = curve["doc_id"].to_numpy(float)
     n = np.array([(y == c).sum() for c in (0, 1)])
     own = np.array([sizes[c] / n[c] for c in (0, 1)]) * np.array([1.0, (sizes[0] / sizes[1]) ** EVEN])
