@@ -691,6 +691,53 @@ def test_top_k_is_exact(spark, docs, none, texts, monkeypatch, most):
     assert topk.top_k(docs, none).count() == 0
 
 
+@pytest.mark.parametrize("known", [False, True])
+def test_top_k_of_a_shard_in_small_steps(monkeypatch, known):
+    """Rows of three vocabularies in many groups, and every list, product and sum cut small: the same rows as by brute force, whatever is skipped."""
+    import pyarrow as pa
+
+    for name, value in {"GROUP": 50, "AT_ONCE": 7, "TOGETHER": 3, "SUMS": 200, "POSTINGS": 40, "MOST": 20}.items():
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(9)
+    rows = [" ".join(f"{'abc'[k % 3]}{int(rng.paretovariate(0.6))}" for _ in range(rng.choice([1, 5, 30, 30, 400]))) for k in range(600)] + ["", None, "only"]
+    rows += rows[:20]
+    ids = np.array(rng.sample(range(5_000), len(rows)))
+    word, row, times, sizes = topk._distinct(pa.array(rows))
+    vocabulary, df = np.unique(word, return_counts=True)
+    idf, mean = np.log1p((len(rows) - df + 0.5) / (df + 0.5)), sizes.mean()
+    impact = np.zeros((len(rows), len(vocabulary)))
+    term = np.searchsorted(vocabulary, word)
+    impact[row, term] = idf[term] * times * 2.2 / (times + 1.2 * (0.25 + 0.75 * sizes[row] / mean))
+    queries = [np.unique(term[row == k]) for k in range(0, len(rows), 4)]
+    scores = np.array([np.round(impact[:, q].sum(1), 9) for q in queries])
+    least = np.sort(scores, 1)[:, -12] if known else np.zeros(len(queries))
+    index = next(topk._indices(topk._index(iter([pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rows)], ["doc_id", "text"])]))))
+    shard = topk.Shard.of(index, vocabulary, idf, mean)
+    got = {q: list(zip(np.round(values, 7).tolist(), found.tolist(), strict=True)) for q, found, values in shard.search(queries, least, 10)}
+    for q, own in enumerate(scores):
+        want = [(round(own[d], 7), int(ids[d])) for d in np.lexsort((ids, -own))[:10] if own[d] > 0]
+        assert got.get(q, []) == want
+    assert len(shard.parts) > 10 and shard.read < (0.25 if known else 0.5) * shard.all
+
+
+def test_top_k_takes_texts_apart_once(spark, docs, monkeypatch):
+    """However many blocks the queries make, each text is read as often."""
+    counts = []
+    for most in (4_000_000, 200):
+        seen = spark.sparkContext.accumulator(0)
+
+        def counted(batches, seen=seen):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        monkeypatch.setattr(topk, "QUERY_WORDS", most)
+        watched = docs.select("doc_id", "text").mapInArrow(counted, "doc_id long, text string")
+        assert topk.top_k(watched, docs.filter("doc_id % 10 = 0"), 5).count() > 0
+        counts.append(seen.value)
+    assert counts[0] == counts[1] > 0
+
+
 def test_pipeline_stages_on_a_small_corpus(spark, tmp_path, docs, labels, texts):
     import corpus_pipeline
 
